@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, fold_is
 
 #: Training documents of each label, and characters taken of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 4_000, 6_000
+SAMPLE_DOCS, SAMPLE_CHARS = 3_000, 5_000
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 20, 8, 3, 5
 #: An n-gram is learned if so many training texts have it, with so large a G statistic
 #: and log odds ratio in favour of label 1.
