@@ -6,18 +6,44 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from silverleaf.llm import near_dedup
+from silverleaf.llm import decontamination, language_id, near_dedup, queries, toxicity
 from silverleaf.llm.common import checkpoint_dir, read
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language stays unclear, go."""
+    return language_id.keep_known(docs, language_id.train(docs))
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     return near_dedup.keep_one(docs)
 
 
-STAGES = [("near_dedup", near_duplicates)]
+def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item's question and answer go."""
+    return decontamination.keep_clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each document left: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return queries.encoded(docs)
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("toxicity", not_toxic),
+    ("near_dedup", near_duplicates),
+    ("decontamination", not_in_benchmark),
+    ("bpe", encoded),
+]
 
-#: No stage but the last is expressible in SQL; tests hold each against brute force.
+#: No stage is expressible in SQL; tests hold each against brute force.
 ORACLE_SQL = None
 
 

@@ -7,16 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, language_id, near_dedup, quality, quality_rules, sharding, token_counts, toxicity
+from . import bpe, chat_format, decontamination, language_id, near_dedup, quality, quality_rules, sharding, token_counts, toxicity
 from .common import fold_is, read
 
 
-def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bpe.encode_decode(read(spark, sf_dir, "documents"))
+def encoded(docs: DataFrame) -> DataFrame:
+    """Digests of each document's ids and of the text they decode to."""
+    rows = bpe.encode_decode(docs)
     ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256)
     return rows.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(read(spark, sf_dir, "documents"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontamination.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     rows = toxicity.predict(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
@@ -65,6 +75,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
     "op4_chat_format": op4_chat_format,
     "op5_token_counts": op5_token_counts,
