@@ -24,8 +24,9 @@ from .common import WORD_SPACE, bounded_sample
 BUCKETS = 1 << 14
 #: Trusted documents that are counted, at most about so many.
 TRUSTED_DOCS = 8_000
+PRIOR = 10.0
 #: The mean log ratio from which a document is kept.
-THRESHOLD = -0.08
+THRESHOLD = -0.06
 MIN_WORDS, WINDOW, MAX_REPEATED_PERCENT = 50, 3, 50
 SYMBOLS = "#*$%&|<>"
 
@@ -58,18 +59,17 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
 
 
 def log_ratios(counts: DataFrame) -> list[float]:
-    """log p_trusted - log p_corpus of each bucket, with one added to every count.
+    """log p_trusted - log p_corpus of each bucket, both smoothed by the same prior.
 
-    Without trusted text nothing is known and every ratio is 0.
+    A bucket's trusted count is held against what the corpus leads one to expect of so
+    much trusted text; PRIOR is added to both, so rare n-grams say little. Without
+    trusted text nothing is known and every ratio is 0.
     """
-    corpus, trusted = [1] * BUCKETS, [1] * BUCKETS
+    corpus, trusted = [0] * BUCKETS, [0] * BUCKETS
     for r in counts.collect():  # at most BUCKETS rows
-        corpus[r["bucket"]] += r["corpus"]
-        trusted[r["bucket"]] += r["trusted"]
-    if sum(trusted) == BUCKETS:
-        return [0.0] * BUCKETS
-    shift = math.log(sum(corpus)) - math.log(sum(trusted))
-    return [math.log(t) - math.log(c) + shift for t, c in zip(trusted, corpus)]
+        corpus[r["bucket"]], trusted[r["bucket"]] = r["corpus"], r["trusted"]
+    share = sum(trusted) / max(1, sum(corpus))
+    return [math.log(t + PRIOR) - math.log(c * share + PRIOR) for t, c in zip(trusted, corpus)]
 
 
 def train(docs: DataFrame, labels: DataFrame, trusted_docs: int = TRUSTED_DOCS) -> list[float]:
