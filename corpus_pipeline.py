@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from silverleaf.lineage import checkpoint_dir
 from silverleaf.llm import decontamination, language_id, near_dedup, queries, toxicity
-from silverleaf.llm.common import checkpoint_dir, read
+from silverleaf.llm.common import read
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

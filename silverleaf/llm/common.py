@@ -1,9 +1,7 @@
-"""What the text operators share: reading tables, cutting lineage, splitting rows by id."""
+"""What the text operators share: reading tables, folds by id, bounded samples."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,26 +13,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a private one only where none is set (tests)."""
-    sc = spark.sparkContext
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        current = sc._jsc.sc().getCheckpointDir()
-        there = current.get() if current.isDefined() else None
-    if not there:
-        there = tempfile.mkdtemp(prefix="silverleaf-ckpt-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(there)
-    return there
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def id_bucket(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo: the fold that a row belongs to (null id: null)."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
