@@ -5,7 +5,7 @@ words' ids in order, so each distinct word is encoded once in the whole corpus:
 
 1. split: tasks cut their documents into words and pack them into blocks of bounded
    size: the block's own word list, and for every document the list positions of its
-   words. Packed blocks go through one exchange, which both later branches read.
+   words. Packed blocks are checkpointed: both later branches read the same ones.
 2. encode: the blocks' word lists are exploded, dealt out by word and sorted, so that
    one task meets all rows of a word in a row, encodes it once, and looks its pieces
    up by id (the decoding join). A row is a word of a block, not an occurrence, so a
@@ -30,6 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import checkpoint
+
 #: Characters of text in a block, of text in an output batch, words packed at once.
 BLOCK_CHARS, OUT_CHARS, PACK_WORDS = 32 << 20, 2 << 20, 200_000
 DEFAULT_MODEL = "word_bpe_49k.json"
@@ -106,10 +108,7 @@ def _load(blob: bytes) -> list[np.ndarray]:
 
 
 def split_blocks(docs: DataFrame, path: str, id_col: str, text_col: str, block_chars: int) -> DataFrame:
-    """(block, body): packed blocks of whole documents, the word list first.
-
-    One column, so that both branches need the same ones and Spark reuses the exchange.
-    """
+    """(block, body): packed blocks of whole documents, the word list first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, made = WordBpe(path), 0
@@ -216,9 +215,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     Other columns of docs are not read.
     """
     path = path or public_tokenizers.path(DEFAULT_MODEL)
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = split_blocks(docs, path, id_col, text_col, block_chars).repartition(n, "block")
+    blocks = checkpoint(split_blocks(docs, path, id_col, text_col, block_chars))
     packs = encode_words(blocks, path).groupBy("block").agg(F.collect_list("pack").alias("packs"))
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
