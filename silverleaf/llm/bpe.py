@@ -5,13 +5,16 @@ words' ids in order, so each distinct word is encoded once in the whole corpus:
 
 1. split: tasks cut their documents into words and pack them into blocks of bounded
    size: the block's own word list, and for every document the list positions of its
-   words. Packed blocks are checkpointed: both later branches read the same ones.
+   words. A block's name is a hash of all it holds.
 2. encode: the blocks' word lists are exploded, dealt out by word and sorted, so that
-   one task meets all rows of a word in a row, encodes it once, and looks its pieces
-   up by id (the decoding join). A row is a word of a block, not an occurrence, so a
-   very frequent word weighs no more than a rare one.
-3. join back: each block gets its words' ids and pieces by position and writes out
-   its documents.
+   one task meets all rows of a word in a row and encodes it once. A row is a word of a
+   block, not an occurrence, so a very frequent word weighs no more than a rare one.
+3. join back: each block gets its words' ids by position, joins ids to pieces, and
+   writes out its documents.
+
+Splitting is cheap and blocks are large, so both branches split for themselves, and only
+the second moves whole blocks. Should the input's order change in between (it does not
+for files), blocks get other names, find no words, and the job fails instead of mixing.
 """
 
 from __future__ import annotations
@@ -21,19 +24,18 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import checkpoint
-
 #: Characters of text in a block, of text in an output batch, words packed at once.
-BLOCK_CHARS, OUT_CHARS, PACK_WORDS = 32 << 20, 2 << 20, 200_000
+BLOCK_CHARS, OUT_CHARS, PACK_WORDS = 24 << 20, 2 << 20, 200_000
 DEFAULT_MODEL = "word_bpe_49k.json"
 
 
@@ -49,19 +51,33 @@ _OTHER = re.compile("[^\x00-ſ]")
 
 
 class WordBpe:
-    """The tokenizer file, cut into its steps: added tokens, normalise and split, merge."""
+    """The tokenizer file, cut into its steps: added tokens, normalise and split, merge.
+
+    The library's own tokenizer is loaded only where it is needed.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers
-
+        self.path = path
         spec = json.load(open(path, encoding="utf-8"))
-        self.whole = Tokenizer.from_file(path)
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = normalizers.Sequence([])
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
+        self.vocabulary = spec["model"]["vocab"]
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.pieces = [self.whole.id_to_token(i) for i in range(self.whole.get_vocab_size())]
+
+    @cached_property
+    def steps(self):
+        """(normalizer, pre-tokenizer, tokenizer without a normalizer)."""
+        from tokenizers import Tokenizer, normalizers
+
+        tok = Tokenizer.from_file(self.path)
+        normalizer = tok.normalizer
+        tok.normalizer = normalizers.Sequence([])
+        return normalizer, tok.pre_tokenizer, tok
+
+    def pieces(self) -> list[str]:
+        """The piece of each id."""
+        named = {i: p for p, i in (self.vocabulary | self.added).items()}
+        return [named.get(i, "") for i in range(max(named) + 1)]
 
     def words(self, text: str) -> list[str]:
         if self.cut is None or not self.cut.search(text):
@@ -74,11 +90,12 @@ class WordBpe:
     def _plain(self, text: str) -> list[str]:
         if not _OTHER.search(text):  # no composition below U+0180, and lower() agrees
             return _WORDS.findall(text.lower())
-        norm = self.whole.normalizer.normalize_str(text)
-        return [norm[a:z] for _, (a, z) in self.whole.pre_tokenizer.pre_tokenize_str(norm)]
+        normalizer, splitter, _ = self.steps
+        norm = normalizer.normalize_str(text)
+        return [norm[a:z] for _, (a, z) in splitter.pre_tokenize_str(norm)]
 
     def encode(self, words: list[str]) -> list[list[int]]:
-        plain = self.bare.encode_batch([w for w in words if w not in self.added], add_special_tokens=False)
+        plain = self.steps[2].encode_batch([w for w in words if w not in self.added], add_special_tokens=False)
         ids = iter(plain)
         return [[self.added[w]] if w in self.added else next(ids).ids for w in words]
 
@@ -90,12 +107,6 @@ def _dump(*arrays: np.ndarray) -> bytes:
     return head + zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
 
 
-def _cut(body: bytes) -> tuple[bytes, bytes]:
-    """The word list and the places of a packed block."""
-    n = int(np.frombuffer(body, np.int64, 1)[0])
-    return body[8 : 8 + n], body[8 + n :]
-
-
 def _load(blob: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(blob, np.int64, 1)[0])
     head = np.frombuffer(blob, np.int64, 2 * n, 8).tolist()
@@ -107,54 +118,43 @@ def _load(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def split_blocks(docs: DataFrame, path: str, id_col: str, text_col: str, block_chars: int) -> DataFrame:
-    """(block, body): packed blocks of whole documents, the word list first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, made = WordBpe(path), 0
-        at: dict[str, int] = {}
-        ids, nulls, counts, places, chars = [], [], [], [], 0
-
-        def packed() -> pa.RecordBatch:
-            nonlocal at, ids, nulls, counts, places, chars, made
-            words = zstandard.ZstdCompressor(level=3).compress("\n".join(at).encode("utf-8", "surrogatepass"))
-            body = _dump(np.array(ids, np.int64).view(np.uint64), np.array(nulls, np.uint8), np.array(counts, np.uint32), np.concatenate(places) if places else np.zeros(0, np.uint32))
-            block = (TaskContext.get().partitionId() << 32) + made
-            at, ids, nulls, counts, places, chars, made = {}, [], [], [], [], 0, made + 1
-            body = np.int64(len(words)).tobytes() + words + body
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([body], pa.binary())], ["block", "body"])
-
-        for b in batches:
-            for i, t in zip(b.column(0), b.column(1)):
-                text = t.as_py() or ""
-                ws = bpe.words(text)
-                places.append(np.fromiter((at.setdefault(w, len(at)) for w in ws), np.uint32, len(ws)))
-                ids.append(i.as_py() or 0)
-                nulls.append(not i.is_valid)
-                counts.append(len(ws))
-                chars += len(text)
-                if chars >= block_chars:
-                    yield packed()
-        if ids:
-            yield packed()
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "block long, body binary")
+def _blocks(batches: Iterator[pa.RecordBatch], path: str, block_chars: int) -> Iterator[tuple[int, list[str], bytes]]:
+    """(name, words, places) of each block of a task's (id, text) rows."""
+    bpe = WordBpe(path)
+    at: dict[str, int] = {}
+    ids, nulls, counts, places, chars = [], [], [], [], 0
+
+    def packed() -> tuple[int, list[str], bytes]:
+        words = list(at)
+        body = _dump(np.array(ids, np.int64).view(np.uint64), np.array(nulls, np.uint8), np.array(counts, np.uint32), np.concatenate(places))
+        name = xxhash.xxh64(body)
+        name.update("\n".join(words).encode("utf-8", "surrogatepass"))
+        return name.intdigest() - (1 << 63), words, body
+
+    for b in batches:
+        for i, t in zip(b.column(0), b.column(1)):
+            text = t.as_py() or ""
+            ws = bpe.words(text)
+            places.append(np.fromiter((at.setdefault(w, len(at)) for w in ws), np.uint32, len(ws)))
+            ids.append(i.as_py() or 0)
+            nulls.append(not i.is_valid)
+            counts.append(len(ws))
+            chars += len(text)
+            if chars >= block_chars:
+                yield packed()
+                at, ids, nulls, counts, places, chars = {}, [], [], [], [], 0
+    if ids:
+        yield packed()
 
 
-def encode_words(blocks: DataFrame, path: str) -> DataFrame:
-    """(block, pack): the ids and pieces of each block's words, each word encoded once."""
+def encode_words(rows: DataFrame, path: str, block_chars: int) -> DataFrame:
+    """(block, pack): the ids of each block's words, each word encoded once."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block, body in zip(b.column(0), b.column(1)):
-                text = zstandard.ZstdDecompressor().decompress(_cut(body.as_py())[0]).decode("utf-8", "surrogatepass")
-                every = text.split("\n") if text else []
-                for at in range(0, len(every), 50_000):
-                    part = every[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(part, pa.string()), pa.array(np.full(len(part), block.as_py(), np.int64)), pa.array(np.arange(at, at + len(part), dtype=np.int32))], ["word", "block", "place"]
-                    )
+        for block, words, _ in _blocks(batches, path, block_chars):
+            for at in range(0, len(words), 50_000):
+                part = words[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), block, np.int64)), pa.array(np.arange(at, at + len(part), dtype=np.int32))], ["word", "block", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe(path)
@@ -194,7 +194,7 @@ def encode_words(blocks: DataFrame, path: str) -> DataFrame:
         if size:
             yield packed()
 
-    words = blocks.mapInArrow(explode, "word string, block long, place int")
+    words = rows.mapInArrow(explode, "word string, block long, place int")
     return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, pack binary")
 
 
@@ -215,28 +215,33 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     Other columns of docs are not read.
     """
     path = path or public_tokenizers.path(DEFAULT_MODEL)
-    blocks = checkpoint(split_blocks(docs, path, id_col, text_col, block_chars))
-    packs = encode_words(blocks, path).groupBy("block").agg(F.collect_list("pack").alias("packs"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, words, body in _blocks(batches, path, block_chars):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(words)], pa.int64()), pa.array([body], pa.binary())], ["block", "n_words", "body"])
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(path)
+        pieces = WordBpe(path).pieces()
         for b in batches:
-            for body, packs in zip(b.column("body"), b.column("packs")):
-                yield from _render(_cut(body.as_py())[1], packs.as_py() or [], bpe.pieces)
+            for n, body, packs in zip(b.column("n_words"), b.column("body"), b.column("packs")):
+                yield from _render(n.as_py(), body.as_py(), packs.as_py() or [], pieces)
 
-    joined = blocks.join(packs, "block", "left").select("body", "packs")
-    return joined.mapInArrow(render, "id long, ids array<int>, decoded string")
+    packs = encode_words(rows, path, block_chars).groupBy("block").agg(F.collect_list("pack").alias("packs"))
+    joined = rows.mapInArrow(split, "block long, n_words long, body binary").join(packs, "block", "left")
+    return joined.select("n_words", "body", "packs").mapInArrow(render, "id long, ids array<int>, decoded string")
 
 
-def _render(places: bytes, packs: list[bytes], pieces: list[str]) -> Iterator[pa.RecordBatch]:
-    ids, nulls, counts, place = _load(places)
+def _render(words: int, body: bytes, packs: list[bytes], pieces: list[str]) -> Iterator[pa.RecordBatch]:
+    ids, nulls, counts, place = _load(body)
     ids = ids.view(np.int64)
     parts = [_load(p) for p in packs]
     order = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint32)
-    n = np.zeros(len(order), np.int64)
-    start = np.zeros(len(order), np.int64)
+    if len(np.unique(order)) != words:
+        raise RuntimeError("the words of a block are missing: the input's order changed between its two readings")
+    n, start = np.zeros(words, np.int64), np.zeros(words, np.int64)
     flat = np.concatenate([p[2] for p in parts]).astype(np.int32) if parts else np.zeros(0, np.int32)
-    each = np.concatenate([p[1] for p in parts]).astype(np.int64) if parts else n
+    each = np.concatenate([p[1] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
     n[order], start[order] = each, np.cumsum(each) - each
     texts = [" ".join([pieces[i] for i in flat[a : a + k].tolist()]) for a, k in zip(start.tolist(), n.tolist())]
     ends = np.cumsum(counts.astype(np.int64))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from silverleaf.llm import bpe, token_counts
@@ -38,10 +39,10 @@ def test_encoding_and_decoding_are_the_librarys(spark, docs):
         assert got[r["doc_id"]] == (ids_, tok.decode(ids_, skip_special_tokens=False))
 
 
-def test_documents_are_split_once(spark, docs):
-    plan = bpe.encode_decode(docs)._jdf.queryExecution().optimizedPlan().toString()
-    assert "ExistingRDD" in plan or "LogicalRDD" in plan
-    assert "text" not in plan  # both branches start from the packed blocks
+def test_blocks_without_their_words_fail():
+    body = bpe._dump(np.array([1], np.uint64), np.zeros(1, np.uint8), np.ones(1, np.uint32), np.zeros(1, np.uint32))
+    with pytest.raises(RuntimeError):
+        list(bpe._render(1, body, [], []))
 
 
 @pytest.mark.parametrize("chunk, overlap", [(1 << 16, 256), (50, 4), (7, 2)])
