@@ -28,11 +28,12 @@ PRIOR = 10.0
 #: The mean log ratio from which a document is kept.
 THRESHOLD = -0.06
 MIN_WORDS, WINDOW, MAX_REPEATED_PERCENT = 50, 3, 50
-SYMBOLS = "#*$%&|<>"
+SYMBOLS, SPACE = "#*$%&|<>", " \t\n\x0b\x0c\r"
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, WORD_SPACE), lambda w: w != "")
+    inner = F.btrim(text, F.lit(SPACE))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, WORD_SPACE))
 
 
 def _unit(x: Column) -> Column:
@@ -93,7 +94,7 @@ def score(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, id
     made = rows.select(
         "id",
         n.cast("long").alias("n_words"),
-        F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        F.length(F.translate("text", SPACE, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         lines.alias("lines"),
         windows.alias("windows"),
