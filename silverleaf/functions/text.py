@@ -57,7 +57,8 @@ def human_size(size: Column) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """Within low..high; null stays null."""
+    return F.when(x < low, F.lit(low)).when(x > high, F.lit(high)).otherwise(x)
 
 
 def rescale(x: Column, low: float, high: float, to_low: float, to_high: float) -> Column:
