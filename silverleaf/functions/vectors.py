@@ -20,9 +20,13 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def once(value: Column, body) -> Column:
+    """body(value) with the value worked out once, not again in each step of a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def unit(v: Column) -> Column:
-    length = norm(v)
-    return F.transform(v, lambda x: x.cast("double") / length)
+    return once(norm(v), lambda length: F.transform(v, lambda x: x.cast("double") / length))
 
 
 def valid(v: Column, dim: int | None = None) -> Column:
@@ -62,8 +66,9 @@ def check(metric: str) -> None:
 
 def min_max(v: Column) -> Column:
     """Scaled to 0..1 and rounded to 4 places; 0.5 throughout if all are equal."""
-    low, high = F.array_min(v).cast("double"), F.array_max(v).cast("double")
-    return F.transform(v, lambda x: F.when(high > low, F.round((x.cast("double") - low) / (high - low), 4)).otherwise(F.lit(0.5)))
+    ends = F.struct(F.array_min(v).cast("double").alias("low"), F.array_max(v).cast("double").alias("high"))
+    part = lambda x, e: F.when(e["high"] > e["low"], F.round((x.cast("double") - e["low"]) / (e["high"] - e["low"]), 4)).otherwise(F.lit(0.5))
+    return once(ends, lambda e: F.transform(v, lambda x: part(x, e)))
 
 
 def softmax_first(a: Column, b: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits, vectors
@@ -81,13 +81,16 @@ def search(embeddings: DataFrame, vector: list[float], limit: int = 50, page: in
 def terms_of_assets(embeddings: DataFrame, vocabulary: DataFrame, top_k: int = 20) -> DataFrame:
     """(asset_id, term, score): the best terms of each given asset; vocabulary: term, vector.
 
-    The vocabulary is a fixed list, so each asset is scored against a broadcast copy.
+    The vocabulary is a fixed list (hundreds of terms), sent to every task as one row; an
+    asset's terms are ranked inside its own row, so nothing is shuffled.
     """
     k = max(1, min(100, top_k))
-    pairs = embeddings.join(F.broadcast(vocabulary))
-    score = F.round(vectors.dot(vectors.unit(F.col("embedding")), vectors.unit(F.col("vector"))), 4)
-    rank = F.row_number().over(Window.partitionBy("asset_id").orderBy(F.desc("score"), "term"))
-    return pairs.select("asset_id", "term", score.alias("score")).withColumn("rn", rank).filter(F.col("rn") <= k).drop("rn")
+    terms = vocabulary.agg(F.array_sort(F.collect_list(F.struct("term", vectors.unit(F.col("vector")).alias("v")))).alias("terms"))
+    rows = embeddings.join(F.broadcast(terms)).select("asset_id", vectors.unit(F.col("embedding")).alias("u"), "terms")
+    score = lambda t: F.round(vectors.dot(F.col("u"), t["v"]), 4)
+    scored = F.transform("terms", lambda t: F.struct((-score(t)).alias("s"), t["term"].alias("term")))
+    best = rows.select("asset_id", F.explode(F.slice(F.array_sort(scored), 1, k)).alias("t"))
+    return best.select("asset_id", "t.term", (-F.col("t.s")).alias("score"))
 
 
 def centroids(vecs: DataFrame, group: str, dim: int | None = None) -> DataFrame:
