@@ -10,9 +10,12 @@ Within a group the index does the work: fingerprints are sorted by Gray rank (wh
 puts similar ones side by side), cut into leaves, and every node keeps the bits that
 all its members share; bits that a parent already shares are taken out of the child.
 A query walks down adding up the differences with each node's own pattern, and drops
-a whole subtree as soon as the sum is over the limit. A Gray index alone cannot be
-spread over machines at this radius: a query's 4-bit ball meets most nodes of the
-upper levels, so every fingerprint would be sent to almost every partition.
+a whole subtree as soon as the sum is over the limit, or if all its members are known
+to be in the query's own component; single-bit neighbours, found by look-up, are joined
+first, so a large group of near copies is mostly one component before the search. A
+Gray index alone cannot be spread over machines at this radius: a query's 4-bit ball
+meets most nodes of the upper levels, so every fingerprint would be sent to almost
+every partition.
 
 Only a spanning forest of each group leaves a task, never its pairs.
 """
@@ -34,6 +37,9 @@ from ..operators.graph import components
 SHINGLE_WORDS, MAX_BITS, SEED = 4, 4, 42
 #: Rows in a leaf of the index, children of an inner node, queries walked at once.
 LEAF, FANOUT, QUERIES = 64, 16, 256
+#: Rows of a group that get one index; rows of a group that go to one task, and groups
+#: above that at most (their keys are broadcast).
+INDEXED, GROUP, LARGE_GROUPS = 8_192, 50_000, 100_000
 #: Shingles hashed before their bits are counted; bounds memory on very long texts.
 CHUNK = 1 << 16
 
@@ -107,13 +113,29 @@ class GrayIndex:
             above, fan_above = shared, fan
         self.rows = rows
 
-    def matches(self, queries: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row of the original order) of all pairs within the limit."""
+    def uniform(self, labels: np.ndarray) -> list[np.ndarray]:
+        """For every level: the label that all rows below a node share, -1 where they differ."""
+        low = high = labels[self.order]
+        out = []
+        for _, _, fan in reversed(self.levels):
+            if fan > 1:
+                cuts = np.arange(0, len(low), fan)
+                low, high = np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
+            out.append(np.where(low == high, low, -1))
+        return out[::-1]
+
+    def matches(self, queries: np.ndarray, limit: int, own: np.ndarray | None = None, known: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row of the original order) of all pairs within the limit.
+
+        With own (the queries' labels) and known (of uniform()), pairs of one label are left out.
+        """
         q, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
         acc = np.zeros(len(queries), np.uint8)
         for k, (value, mask, fan) in enumerate(self.levels):
             acc = acc + np.bitwise_count((queries[q] ^ value[node]) & mask[node])
             live = acc <= limit
+            if known is not None:
+                live &= known[k][node] != own[q]
             q, node, acc = q[live], node[live], acc[live]
             if k + 1 < len(self.levels):
                 below = len(self.levels[k + 1][0])
@@ -149,6 +171,42 @@ def _merge(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return to[lab]
 
 
+def _group_labels(fps: np.ndarray, limit: int) -> np.ndarray:
+    """Labels of one large group: neighbours by look-up first, then the index for the rest.
+
+    A group too large for one index is split as the whole was: of limit + 1 parts of the
+    bits that differ in it, a linked pair shares at least one.
+    """
+    n = len(fps)
+    lab, order = np.arange(n), np.argsort(fps)
+    ordered = fps[order]
+    for bit in range(64):
+        near = ordered ^ (np.uint64(1) << np.uint64(bit))
+        place = np.minimum(np.searchsorted(ordered, near), n - 1)
+        hit = np.flatnonzero(ordered[place] == near)
+        lab = _merge(lab, order[hit], order[place[hit]])
+    if not lab.any():
+        return lab
+    differ = int(np.bitwise_or.reduce(fps) ^ np.bitwise_and.reduce(fps))
+    bits = [b for b in range(64) if differ >> b & 1]
+    if n > INDEXED and len(bits) > limit + 1:
+        for part in np.array_split(np.array(bits, np.uint64), limit + 1):
+            key = np.zeros(n, np.int64)
+            for k, b in enumerate(part):
+                key |= ((fps >> b) & np.uint64(1)).astype(np.int64) << k
+            by_key = np.argsort(key, kind="stable")
+            a, b = _forest(key[by_key], fps[by_key], limit)
+            lab = _merge(lab, order[np.searchsorted(ordered, a)], order[np.searchsorted(ordered, b)])
+        return lab
+    index = GrayIndex(fps)
+    for k, s in enumerate(range(0, n, QUERIES)):
+        if k & (k - 1) == 0:  # 0, 1, 2, 4, 8, ...: labels change most at first
+            known = index.uniform(lab)
+        q, row = index.matches(fps[s : s + QUERIES], limit, lab[s : s + QUERIES], known)
+        lab = _merge(lab, s + q, row)
+    return lab
+
+
 def _forest(key: np.ndarray, fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links (fp, fp) of whole groups; key is sorted, fps are distinct in a group."""
     n = len(key)
@@ -166,22 +224,34 @@ def _forest(key: np.ndarray, fps: np.ndarray, limit: int) -> tuple[np.ndarray, n
         i = i[np.bitwise_count(x[i] ^ x[i + d]) <= limit]
         lab = _merge(lab, small[i], small[i + d])
     for at, count in zip(cuts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
-        index = GrayIndex(fps[at : at + count])
-        for s in range(0, count, QUERIES):
-            q, row = index.matches(fps[at + s : at + min(count, s + QUERIES)], limit)
-            lab = _merge(lab, at + s + q, at + row)
+        lab[at : at + count] = at + _group_labels(fps[at : at + count], limit)
     linked = np.flatnonzero(lab != np.arange(n))
     return fps[linked], fps[lab[linked]]
 
 
-def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b): a spanning set of the links among distinct fingerprints."""
+def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, group: int = GROUP) -> DataFrame:
+    """(a, b): a spanning set of the links among distinct fingerprints.
+
+    A group of over `group` rows is dealt out again: max_bits + 1 parts of the bits that
+    its two blocks don't cover, one of which a linked pair shares. A task that still gets
+    a large part splits it further for itself.
+    """
     tiles = blocks(max_bits)
-    keys = []
+    keys, again = [], []
     for i, (one, two) in enumerate(combinations(tiles, 2)):
         part = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in (one, two)]
         keys.append((F.lit(i << 56).cast("long")).bitwiseOR(F.shiftleft(part[0], two[1])).bitwiseOR(part[1]))
+        rest = [s + k for s, w in tiles if (s, w) not in (one, two) for k in range(w)]
+        masks = [sum(1 << int(b) for b in p) for p in np.array_split(rest, max_bits + 1)]
+        again.append(F.array(*(F.xxhash64("key", F.lit(k), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long"))) for k, m in enumerate(masks))))
     rows = distinct_fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+    group = max(group, distinct_fps.count() * len(keys) // LARGE_GROUPS)
+    large = checkpoint(rows.groupBy("key").count().filter(F.col("count") > group).select("key"))
+    if not large.isEmpty():
+        kind = F.shiftrightunsigned("key", 56)
+        split = F.coalesce(*(F.when(kind == i, a) for i, a in enumerate(again)))
+        hot = rows.join(F.broadcast(large), "key", "left_semi").select("fp", F.explode(split).alias("key"))
+        rows = rows.join(F.broadcast(large), "key", "left_anti").select("fp", "key").unionByName(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k, held_x = [], []

@@ -55,6 +55,26 @@ def test_gray_index_finds_exactly_what_is_near(n):
     assert len(q) == near.sum() and near[q, row].all()
 
 
+@pytest.mark.parametrize("indexed", [100, 8192])
+@pytest.mark.parametrize("n", [65, 700, 2500])
+def test_labels_of_large_groups_equal_brute_force(monkeypatch, n, indexed):
+    monkeypatch.setattr(nd, "INDEXED", indexed)
+    rng = np.random.default_rng(n)
+    centres = rng.integers(0, 1 << 63, 5, np.uint64)
+    fps = centres[rng.integers(0, 5, n)]
+    for _ in range(9):
+        fps = fps ^ np.where(rng.random(n) < 0.8, np.uint64(1) << rng.integers(0, 30, n).astype(np.uint64), np.uint64(0))
+    fps = rng.permutation(np.unique(fps))
+    want = np.arange(len(fps))
+    near = np.bitwise_count(fps[:, None] ^ fps[None]) <= 4
+    while True:
+        low = np.where(near, want[None], len(fps)).min(axis=1)
+        if (low == want).all():
+            break
+        want = low
+    assert (nd._group_labels(fps, 4) == want).all()
+
+
 def test_blocks_tile_and_pairs_meet():
     tiles = nd.blocks(4)
     assert sum(w for _, w in tiles) == 64 and len(tiles) == 6
@@ -64,6 +84,16 @@ def test_blocks_tile_and_pairs_meet():
         assert sum(not any(s <= f < s + w for f in flips) for s, w in tiles) >= 2
 
 
+def test_groups_dealt_out_again_lose_no_link(spark):
+    rng = np.random.default_rng(4)
+    fps = [int(x) for x in np.unique(rng.integers(0, 1 << 26, 3000)) << 20]
+    rows = spark.createDataFrame([(x,) for x in fps], "fp long")
+    want = {(r["node"], r["root"]) for r in nd.components(nd.links(rows)).collect()}
+    assert want and {(r["node"], r["root"]) for r in nd.components(nd.links(rows, group=20)).collect()} == want
+    both = np.bitwise_count(np.array(fps)[:, None] ^ np.array(fps)[None]) <= 4
+    assert {n for n, _ in want} == {fps[i] for i in np.flatnonzero(both.sum(axis=1) > 1)}
+
+
 @pytest.mark.parametrize("spread", [40, 4000])
 def test_large_dense_groups_are_linked_whole(spark, spread):
     """Chains of single-bit steps within one group: everything is one component."""
