@@ -105,8 +105,8 @@ def centroids(vecs: DataFrame, group: str, dim: int | None = None) -> DataFrame:
 
 
 def medoids(vecs: DataFrame, group: str, id_col: str = "asset_id") -> DataFrame:
-    """(group, id, distance): the member nearest to its group's centroid, the smallest id of equals."""
-    scored = vecs.filter(vectors.valid(F.col("embedding"))).join(centroids(vecs, group), group).select(group, id_col, vectors.dot(vectors.unit(F.col("embedding")), F.col("centroid")).alias("sim"))
+    """(group, id, distance): the member nearest to its group's centroid, the smallest id of equals (to 9 places)."""
+    scored = vecs.filter(vectors.valid(F.col("embedding"))).join(centroids(vecs, group), group).select(group, id_col, F.round(vectors.dot(vectors.unit(F.col("embedding")), F.col("centroid")), 9).alias("sim"))
     best = scored.groupBy(group).agg(F.min_by(F.struct(id_col, "sim"), F.struct((-F.col("sim")).alias("s"), F.col(id_col))).alias("m"))
     return best.select(group, F.col(f"m.{id_col}").alias(id_col), (1 - F.col("m.sim")).alias("distance"))
 

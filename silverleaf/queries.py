@@ -426,7 +426,11 @@ def _(members, embeddings):
     return similarity.centroids(rows, "cluster_id").select("cluster_id", F.round(F.get("centroid", 0), 4).alias("first"), F.size("centroid").cast("long").alias("dim"))
 
 
-@query("similar_to_group", "face_cluster_members clip_embeddings")
+_MEAN = "SELECT g, list(x / length ORDER BY k) AS c FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY g)) AS length FROM (SELECT g, k, avg(u[k]) AS x FROM ({units}), (SELECT unnest(range(1, 65)) AS k) GROUP BY g, k)) GROUP BY g"
+_GROUP_UNITS = f"SELECT label AS g, {_UNIT.format(v='embedding')} AS u FROM embeddings WHERE label = 2"
+
+
+@query("similar_to_group", "face_cluster_members clip_embeddings", f"SELECT asset_id, score FROM (SELECT vec_id AS asset_id, round(list_inner_product({_UNIT.format(v='embedding')}, c), 4) AS score FROM embeddings, ({_MEAN.format(units=_GROUP_UNITS)}) WHERE label <> 2) WHERE score >= 0.05 ORDER BY score DESC, asset_id LIMIT 50", "")
 def _(members, embeddings):
     own = members.filter("cluster_id = 2").select(F.col("face_id").alias("asset_id"))
     return similarity.similar_to_group(embeddings, own, 0.05)
@@ -493,6 +497,10 @@ def _(embeddings):
     return similarity.medoids(found.join(embeddings, "asset_id"), "root").withColumn("distance", F.round("distance", 4))
 
 
+_COMP_UNITS = f"SELECT root AS g, node, {_UNIT.format(v='embedding')} AS u FROM comp JOIN embeddings ON vec_id = node"
+ORACLE_SQL["component_medoid"] = duck("SELECT 1", "clip_embeddings").replace(" SELECT 1", f", {_COMPONENTS}, units AS ({_COMP_UNITS}), centres AS ({_MEAN.format(units='SELECT g, u FROM units')}) SELECT root, asset_id, round(1 - sim, 4) AS distance FROM (SELECT u.g AS root, u.node AS asset_id, round(list_inner_product(u.u, c.c), 9) AS sim, row_number() OVER (PARTITION BY u.g ORDER BY round(list_inner_product(u.u, c.c), 9) DESC, u.node) AS rn FROM units u JOIN centres c ON c.g = u.g) WHERE rn = 1")
+
+
 @query("hash_clusters", "phash")
 def _(phash):
     return cluster.hash_clusters(phash, HAMMING, WINDOW, algo=None)[0]
@@ -508,6 +516,10 @@ def _(embeddings):
     return cluster.dbscan(embeddings, 1 - CLUSTER, 3)
 
 
+_DBSCAN = f"edges AS (SELECT a, b FROM ({_PAIRS}) WHERE c >= {CLUSTER}), both_ways AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges), core AS (SELECT a AS p FROM both_ways GROUP BY a HAVING count(*) + 1 >= 3), inner_edges AS (SELECT a, b FROM both_ways WHERE a IN (SELECT p FROM core) AND b IN (SELECT p FROM core)), reach(node, seen) AS (SELECT p, p FROM core UNION SELECT e.b, r.seen FROM reach r JOIN inner_edges e ON e.a = r.node), comp AS (SELECT node, min(seen) AS root FROM reach GROUP BY node)"
+ORACLE_SQL["dbscan"] = duck("SELECT 1", "clip_embeddings").replace(" SELECT 1", f", {_DBSCAN} SELECT node AS asset_id, root AS cluster_id FROM comp UNION ALL SELECT e.a, min(root) FROM both_ways e JOIN comp ON node = e.b WHERE e.a NOT IN (SELECT p FROM core) GROUP BY e.a")
+
+
 @query("face_clusters", "face_embeddings")
 def _(faces):
     return cluster.face_clusters(faces, "dbscan", 1 - CLUSTER, 2)
