@@ -5,7 +5,7 @@ words' ids in order, so each distinct word is encoded once in the whole corpus:
 
 1. split: tasks cut their documents into words and pack them into blocks of bounded
    size: the block's own word list, and for every document the list positions of its
-   words. A block's name is a hash of all it holds.
+   words. A block's name is a hash of its word list.
 2. encode: the blocks' word lists are exploded, dealt out by word and sorted, so that
    one task meets all rows of a word in a row and encodes it once. A row is a word of a
    block, not an occurrence, so a very frequent word weighs no more than a rare one.
@@ -118,32 +118,35 @@ def _load(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], path: str, block_chars: int) -> Iterator[tuple[int, list[str], bytes]]:
-    """(name, words, places) of each block of a task's (id, text) rows."""
+def _blocks(batches: Iterator[pa.RecordBatch], path: str, block_chars: int, with_places: bool) -> Iterator[tuple[int, list[str], bytes]]:
+    """(name, words, places) of each block of a task's (id, text) rows; places only if asked for."""
     bpe = WordBpe(path)
     at: dict[str, int] = {}
-    ids, nulls, counts, places, chars = [], [], [], [], 0
+    ids, nulls, counts, places, chars, held = [], [], [], [], 0, False
 
     def packed() -> tuple[int, list[str], bytes]:
-        words = list(at)
-        body = _dump(np.array(ids, np.int64).view(np.uint64), np.array(nulls, np.uint8), np.array(counts, np.uint32), np.concatenate(places))
-        name = xxhash.xxh64(body)
-        name.update("\n".join(words).encode("utf-8", "surrogatepass"))
-        return name.intdigest() - (1 << 63), words, body
+        words, body = list(at), b""
+        if with_places:
+            body = _dump(np.array(ids, np.int64).view(np.uint64), np.array(nulls, np.uint8), np.array(counts, np.uint32), np.concatenate(places))
+        return xxhash.xxh64_intdigest("\n".join(words).encode("utf-8", "surrogatepass")) - (1 << 63), words, body
 
     for b in batches:
         for i, t in zip(b.column(0), b.column(1)):
             text = t.as_py() or ""
             ws = bpe.words(text)
-            places.append(np.fromiter((at.setdefault(w, len(at)) for w in ws), np.uint32, len(ws)))
-            ids.append(i.as_py() or 0)
-            nulls.append(not i.is_valid)
-            counts.append(len(ws))
-            chars += len(text)
+            for w in dict.fromkeys(ws):  # in order, so that both branches number words alike
+                if w not in at:
+                    at[w] = len(at)
+            if with_places:
+                places.append(np.fromiter(map(at.__getitem__, ws), np.uint32, len(ws)))
+                ids.append(i.as_py() or 0)
+                nulls.append(not i.is_valid)
+                counts.append(len(ws))
+            chars, held = chars + len(text), True
             if chars >= block_chars:
                 yield packed()
-                at, ids, nulls, counts, places, chars = {}, [], [], [], [], 0
-    if ids:
+                at, ids, nulls, counts, places, chars, held = {}, [], [], [], [], 0, False
+    if held:
         yield packed()
 
 
@@ -151,7 +154,7 @@ def encode_words(rows: DataFrame, path: str, block_chars: int) -> DataFrame:
     """(block, pack): the ids of each block's words, each word encoded once."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, words, _ in _blocks(batches, path, block_chars):
+        for block, words, _ in _blocks(batches, path, block_chars, False):
             for at in range(0, len(words), 50_000):
                 part = words[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), block, np.int64)), pa.array(np.arange(at, at + len(part), dtype=np.int32))], ["word", "block", "place"])
@@ -218,7 +221,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, words, body in _blocks(batches, path, block_chars):
+        for block, words, body in _blocks(batches, path, block_chars, True):
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(words)], pa.int64()), pa.array([body], pa.binary())], ["block", "n_words", "body"])
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
