@@ -457,3 +457,22 @@ def test_sidecar_stream_reads_each_file_once(spark, tree):
     work = lambda q: q.withColumns({"phash_hex": F.lit("0f"), "algo": F.lit("dhash16"), "computed_at": F.lit(1)})
     assert incremental.derive(lib, "phash", queue, work) and not incremental.derive(lib, "phash", queue.limit(0), work)
     assert rows(lib.read("phash"), "asset_id", "phash_hex") == [(5, "0f")]
+
+
+def test_registry(spark, tmp_path):
+    from datetime import UTC, datetime
+
+    from silverleaf.plans.registry import DEFAULTS, Registry, library_id
+
+    reg = Registry(spark, f"file://{tmp_path}/registry.json")
+    assert reg.libraries() == [] and reg.settings() == DEFAULTS
+    for k, root in enumerate(["/photos/My Trip!", "/photos/b", "/photos/My Trip!"]):
+        reg.open(root, f"{root}/lib", datetime(2024, 1, 1 + k, tzinfo=UTC))
+    assert [r["name"] for r in reg.libraries()] == ["My Trip!", "b"]
+    assert library_id("/photos/My Trip!").startswith("My-Trip-")
+    assert reg.set(batch_size=64)["batch_size"] == 64 and len(reg.libraries()) == 2
+    with pytest.raises(ValueError):
+        reg.set(batch_size=7)
+    (tmp_path / "registry.json").write_text('{"settings": {"batch_size": "x", "accelerator": "onnx"}, "libraries": 3}')
+    (tmp_path / ".registry.json.crc").unlink(missing_ok=True)
+    assert reg.libraries() == [] and reg.settings() == DEFAULTS | {"accelerator": "onnx"}
