@@ -28,7 +28,7 @@ PRIOR = 10.0
 #: The mean log ratio from which a document is kept.
 THRESHOLD = -0.06
 MIN_WORDS, WINDOW, MAX_REPEATED_PERCENT = 50, 3, 50
-SYMBOLS, SPACE = "#*$%&|<>", " \t\n\x0b\x0c\r"
+SYMBOL, SPACE = "[#*$%&|<>]", " \t\n\x0b\x0c\r"
 
 
 def _words(text: Column) -> Column:
@@ -94,8 +94,8 @@ def score(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, id
     made = rows.select(
         "id",
         n.cast("long").alias("n_words"),
-        F.length(F.translate("text", SPACE, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        (F.size(F.split("text", SYMBOL)) - 1).cast("long").alias("n_symbols"),
         lines.alias("lines"),
         windows.alias("windows"),
         F.aggregate(each, F.lit(0.0), lambda a, x: a + x).alias("total"),
