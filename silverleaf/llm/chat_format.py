@@ -147,3 +147,27 @@ def read_back(made: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if "sha" in n else pa.int64()) for c, n in zip(zip(*out), names)], names)
 
     return made.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def _escaped_length(x: str) -> str:
+    return rf"length({x}) + length(regexp_replace({x}, '[^\\<\[]', '', 'g'))"
+
+
+#: What read_back(examples(conversations and conversation -7)) gives, without the template.
+ORACLE_SQL = rf"""
+WITH said AS (SELECT '</s>[INST] ok [/INST]' AS s), turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', s FROM said UNION ALL SELECT -7, 1, 'assistant', s FROM said
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+           CASE role {" ".join(f"WHEN '{r}' THEN {len(a) + len(z)}" for r, (a, z) in MARKS.items())} ELSE {len("<r></r><e>")} + {_escaped_length("role")} END + {_escaped_length("text")} AS size
+    FROM turns
+), prefixed AS (
+    SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY k) AS prefix FROM placed
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = '{TRAINED}'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = '{TRAINED}'), '')) AS loss_sha256,
+       sum(CASE WHEN role = '{TRAINED}' OR k = n THEN prefix ELSE 0 END)::BIGINT AS formatted_chars
+FROM prefixed GROUP BY conv_id
+"""

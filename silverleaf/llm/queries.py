@@ -86,4 +86,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_sharding": sharding.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_chat_format": chat_format.ORACLE_SQL, "op8_sharding": sharding.ORACLE_SQL}
