@@ -601,6 +601,6 @@ def _(events):
     return windowed_counts(events, "ts", "event_type")
 
 
-@query("gradient_hash", "clip_embeddings")
+@query("gradient_hash", "clip_embeddings", "SELECT asset_id, lpad(lower(to_hex(list_reduce(list_transform(range(60), lambda k: CASE WHEN embedding[k // 15 * 16 + k % 15 + 1] > embedding[k // 15 * 16 + k % 15 + 2] THEN 1::BIGINT << k ELSE 0 END), lambda a, b: a | b))), 15, '0') AS phash_hex FROM clip_embeddings")
 def _(embeddings):
     return embeddings.select("asset_id", bits.gradient_hash(F.col("embedding"), 4, 15).alias("phash_hex"))
