@@ -6,7 +6,8 @@ the logistic function of the difference of their scores, and a score is linear i
 features (and their squares), so fitting is logistic regression on feature differences
 without an intercept. Scores only rank; a threshold comes from a quantile: the cut
 leaves as large a share of the training texts above it as have label 1, and the logistic
-scale is placed so that the cut has score 0.7.
+scale is placed so that the cut has score 0.7. Weights are fitted on a bounded sample; the
+quantile is taken over all labelled documents of the training folds, ranked in Spark.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import checkpoint
 from .common import bounded_sample, fold_is
 
 #: Training documents of each label, characters taken of each, preference pairs drawn.
@@ -28,6 +30,8 @@ STEPS, DECAY, CLIP = 400, 1e-3, 5.0
 THRESHOLD = 0.7
 #: Words looked at in one go for repeated runs; the runs of all pieces are added up.
 PIECE = 1 << 16
+#: Parts that the range of ranks is cut into in one step towards a quantile.
+BINS = 4_096
 _KINDS = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "high": range(128, 256), "mark": b"#*$%&|<>~^_=+@\\/{}[]", "pipe": b"|", "loud": b"!?", "stop": b".,;:", "line": b"\n"}
 _TABLE = np.stack([np.isin(np.arange(256), list(v)) for v in _KINDS.values()], 1).astype(np.float64)
 
@@ -100,17 +104,55 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> QualityModel:
     return model
 
 
+def quantile(rows: DataFrame, share: float, bins: int = BINS) -> float:
+    """The quantile of column rank over all rows, as numpy has it; at most bins rows are collected at once."""
+    total, lo, hi = rows.agg(F.count("rank"), F.min("rank"), F.max("rank")).first()
+    place, below = share * (total - 1), 0
+    while lo < hi:  # the bin that holds the place becomes the range
+        part = F.least(F.floor((F.col("rank") - lo) / (hi - lo) * bins), F.lit(bins - 1))
+        found = rows.filter(F.col("rank").between(lo, hi)).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("rank").alias("lo"), F.max("rank").alias("hi"))
+        for r in sorted(found.collect()):
+            lo, hi = r["lo"], r["hi"]
+            if below + r["n"] > int(place):
+                break
+            below += r["n"]
+    upto, after = rows.agg(F.count_if(F.col("rank") <= lo), F.min(F.when(F.col("rank") > lo, F.col("rank")))).first()
+    return lo if upto > int(place) + 1 or after is None else lo + (after - lo) * (place - int(place))
+
+
+def ranked(docs: DataFrame, known: DataFrame, model: QualityModel) -> DataFrame:
+    """(quality, rank) of the whole text of every row of docs with a label in known.
+
+    Ranks are worked out where the texts are and then joined, so no text is moved. Of an
+    id with several rows or labels each distinct pair is one row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [features(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(model.rank(np.stack(x)) if x else [], pa.float64())], ["doc_id", "h", "rank"])
+
+    rows = docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~fold_is("doc_id", 4, 2))
+    rows = rows.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, rank double")
+    return rows.join(known, "doc_id").groupBy("doc_id", "h", "quality").agg(F.min("rank").alias("rank")).select("quality", "rank")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> QualityModel:
     """Fit on at most about sample_docs labelled documents of each label outside fold 2 of 4.
 
-    Both labels are drawn apart, and the quantile is taken over what was drawn. Of an id
-    with several rows or labels each distinct pair is one training row.
+    Both labels are drawn apart. The quantile is taken over all labelled documents outside
+    the fold, at the share of them that is poor. Of an id with several rows or labels each
+    distinct pair is one training row.
     """
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality").distinct().filter(~fold_is("doc_id", 4, 2))
     chosen = bounded_sample(known, sample_docs, "quality", "doc_id", 7)
     rows = docs.filter("text IS NOT NULL").select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").distinct().collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"], r["quality"]))
-    return fit([r["text"] for r in rows], [int(r["quality"]) for r in rows])
+    model = fit([r["text"] for r in rows], [int(r["quality"]) for r in rows])
+    if model.weight.any():
+        every = checkpoint(ranked(docs, known, model))
+        model.cut = quantile(every, every.agg(F.avg((F.col("quality") == 0).cast("int"))).first()[0])
+    return model
 
 
 def predict(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -137,6 +137,26 @@ def test_quality_of_held_out_documents(spark, labelled):
     assert sum((got[r["doc_id"]] >= 0.7) == (r["quality"] == 1) for r in held) >= 0.8 * len(held)
 
 
+def test_quality_cut_is_over_all_labelled_documents(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, int(k % 8 > 0), " ".join(["tree", "house", "the"] * 20 + ["##"] * int(rng.integers(0, 16) + 6 * (k % 8 == 0)))) for k in range(600)]
+    docs = spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, y, _ in rows], "doc_id long, quality int")
+    kept = [r for r in rows if fold(r[0], 4) != 2]
+    ranks = quality.train(docs, labels, 40)
+    x = ranks.rank(np.stack([quality.features(t) for _, _, t in kept]))
+    assert ranks.cut == pytest.approx(np.quantile(x, np.mean([y == 0 for _, y, _ in kept])))
+
+
+@pytest.mark.parametrize("bins", [50, 4096])
+def test_quantile_equals_numpy(spark, bins):
+    rng = np.random.default_rng(bins)
+    for x in (rng.normal(size=400), rng.integers(0, 4, 300).astype(float), np.r_[np.zeros(50), 1e9, np.full(50, 1e-9)], np.ones(1)):
+        df = spark.createDataFrame([(float(v),) for v in x], "rank double").cache()
+        for share in (0.145, 1.0):
+            assert quality.quantile(df, share, bins) == pytest.approx(np.quantile(x, share), rel=1e-12, abs=1e-15)
+
+
 def test_quality_of_awkward_rows(spark):
     model = quality.train(awkward(spark, False), spark.createDataFrame([(4, 1), (5, 0)], "doc_id long, quality int"))
     assert ids(quality.predict(awkward(spark), model).collect()) == ALL_IDS
