@@ -8,8 +8,9 @@ threshold, so equal texts always get equal verdicts.
 
 Counting explodes n-grams into a hash aggregate with at most as many keys as buckets in
 each task, so what is shuffled does not grow with the text and no bucket is hot; the
-two counts of each bucket are all that comes to the driver. No join moves a text: the
-trusted ids are a bounded sample and broadcast.
+two counts of each bucket are all that comes to the driver. Every trusted document
+counts, so ids are joined with texts by shuffle and each text is moved once; rows
+without an id stay where they are.
 """
 
 from __future__ import annotations
@@ -19,11 +20,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, bounded_sample
+from .common import WORD_SPACE
 
 BUCKETS = 1 << 14
-#: Trusted documents that are counted, at most about so many.
-TRUSTED_DOCS = 8_000
 PRIOR = 10.0
 #: The mean log ratio from which a document is kept.
 THRESHOLD = -0.06
@@ -51,11 +50,14 @@ def with_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bucket, corpus, trusted): n-grams in all rows, and in rows with a trusted id."""
-    known = F.broadcast(trusted.select(F.col("doc_id").alias("tid")).distinct())
-    rows = with_words(docs, id_col, text_col).join(known, F.col("id") == F.col("tid"), "left")
+    # A hash join, as a sorted one would sort the texts.
+    known = trusted.select(F.col("doc_id").alias("tid")).filter("tid IS NOT NULL").distinct().hint("shuffle_hash")
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL").join(known, F.col("id") == F.col("tid"), "left")
+    others = docs.filter(F.col(id_col).isNull()).select(F.col(text_col).alias("text"), F.lit(False).alias("t"))
+    rows = with_words(named.select("text", F.col("tid").isNotNull().alias("t")).unionByName(others), "t", "text")
     units = F.transform("w", _unit)
     pairs = F.transform(F.slice("w", 1, F.greatest(F.col("n") - 1, F.lit(0))), lambda x, i: _pair(x, F.get("w", i + 1)))
-    grams = rows.select(F.col("tid").isNotNull().alias("t"), F.explode(F.concat(units, pairs)).alias("bucket"))
+    grams = rows.select(F.col("id").alias("t"), F.explode(F.concat(units, pairs)).alias("bucket"))
     return grams.groupBy("bucket").agg(F.count("*").alias("corpus"), F.count_if("t").alias("trusted"))
 
 
@@ -73,9 +75,8 @@ def log_ratios(counts: DataFrame) -> list[float]:
     return [math.log(t + PRIOR) - math.log(c * share + PRIOR) for t, c in zip(trusted, corpus)]
 
 
-def train(docs: DataFrame, labels: DataFrame, trusted_docs: int = TRUSTED_DOCS) -> list[float]:
-    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id", "quality").distinct()
-    return log_ratios(bucket_counts(docs, bounded_sample(good, trusted_docs, "quality", "doc_id", 9)))
+def train(docs: DataFrame, labels: DataFrame) -> list[float]:
+    return log_ratios(bucket_counts(docs, labels.filter("quality = 1")))
 
 
 def score(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

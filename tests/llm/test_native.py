@@ -90,6 +90,15 @@ def test_log_ratios_equal_brute_force(spark):
         assert r["log_ratio"] == pytest.approx(sum(want[g] for g in gs) / max(1, len(gs)))
 
 
+def test_every_trusted_document_counts(spark):
+    docs = spark.range(9_000).selectExpr("id AS doc_id", "concat('w', id, ' and') AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    assert set(rules.train(docs, labels)) == {0.0}
+    nameless = spark.createDataFrame([(None, "w1 and")], "doc_id long, text string")
+    counts = rules.bucket_counts(docs.unionByName(nameless), labels).selectExpr("sum(corpus)", "sum(trusted)").first()
+    assert tuple(counts) == (27_003, 27_000)
+
+
 def test_awkward_rows(spark):
     labels = spark.createDataFrame([(5, 1), (8, 1), (4, 0)], "doc_id long, quality int")
     got = rules.score(awkward(spark), rules.train(awkward(spark), labels)).collect()
