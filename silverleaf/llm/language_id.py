@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, fold_is
 
 ORDER = 4
-#: Training documents of each language, and characters taken of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 250, 2_000
+#: Training documents of each language, each with its whole text.
+SAMPLE_DOCS = 250
 #: Bytes scored at once.
 CHUNK = 1 << 19
 UNKNOWN = "und"
@@ -178,10 +178,10 @@ class PpmModel:
         return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known)], np.where(known, score, 0.0)
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, order: int = ORDER) -> PpmModel:
-    """Fit on at most about sample_docs documents of each language outside fold 0 of 5."""
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, order: int = ORDER) -> PpmModel:
+    """Fit on at most about sample_docs documents of each language outside fold 0 of 5, on whole texts."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~fold_is("doc_id", 5, 0))
-    rows = bounded_sample(labelled, sample_docs, "lang", "doc_id", 6).select("lang", "doc_id", F.substring("text", 1, sample_chars).alias("text")).collect()
+    rows = bounded_sample(labelled, sample_docs, "lang", "doc_id", 6).select("lang", "doc_id", "text").collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"])

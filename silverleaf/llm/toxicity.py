@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, fold_is
 
-#: Training documents of each label, and characters taken of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 3_000, 5_000
+#: Training documents of each label, each with its whole text.
+SAMPLE_DOCS = 3_000
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 20, 8, 3, 5
 #: An n-gram is learned if so many training texts have it, with so large a G statistic
 #: and log odds ratio in favour of label 1.
@@ -185,14 +185,15 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 3)
     return ToxicityModel({int(b): float(w) for b, w in zip(learned, final) if w}, float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ToxicityModel:
     """Fit on at most about sample_docs labelled documents of each label outside fold 1 of 3.
 
-    Of an id with several rows or labels each distinct pair is one training row.
+    Texts are read whole. Of an id with several rows or labels each distinct pair is one
+    training row.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "toxic").distinct().filter(~fold_is("doc_id", 3, 1))
     chosen = bounded_sample(known, sample_docs, "toxic", "doc_id", 3)
-    rows = docs.filter("text IS NOT NULL").select("doc_id", F.substring("text", 1, sample_chars).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").distinct().collect()
+    rows = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").distinct().collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"], r["toxic"]))
     return fit([r["text"] for r in rows], [int(r["toxic"]) for r in rows])
 

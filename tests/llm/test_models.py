@@ -75,6 +75,13 @@ def test_languages_of_held_out_documents(spark, labelled):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_languages_are_learned_from_whole_texts(spark):
+    rows = [(k, "aa" if k % 2 else "bb", "the same " * 300 + ("zqzq " * 50 if k % 2 else "the same " * 25)) for k in range(20)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    bits = model.code_lengths(["zqzq zqzq"])[0]
+    assert model.languages == ["aa", "bb"] and bits[0] < 0.5 * bits[1]
+
+
 def test_language_of_awkward_rows(spark):
     model = language_id.PpmModel(TEXTS)
     got = language_id.predict(awkward(spark), model).collect()
@@ -97,6 +104,13 @@ def test_misspellings_share_n_grams():
     assert s[0] > 0.7 > s[2] and s[1] > s[2] and s[3] < 0.7
 
 
+def test_toxicity_is_learned_from_whole_texts(spark):
+    rows = [(k, int(k % 3 == 0), "some neutral words " * 300 + ("blockhead " * 20 if k % 3 == 0 else "")) for k in range(60)]
+    docs = spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(k, y) for k, y, _ in rows], "doc_id long, toxic int"))
+    assert model.word("blockhead") > 0 == model.word("neutral")
+
+
 def test_toxicity_of_held_out_documents(spark):
     docs, labels = table(spark, "documents", "sf0.01"), table(spark, "labels", "sf0.01")
     got = {r["id"]: r["score"] for r in toxicity.predict(docs, toxicity.train(docs, labels)).collect()}
