@@ -179,9 +179,12 @@ class PpmModel:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, order: int = ORDER) -> PpmModel:
-    """Fit on at most about sample_docs documents of each language outside fold 0 of 5, on whole texts."""
+    """Fit on at most about sample_docs documents of each language outside fold 0 of 5, on whole texts.
+
+    Rows without an id, text or language are left out; equal rows count once.
+    """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~fold_is("doc_id", 5, 0))
-    rows = bounded_sample(labelled, sample_docs, "lang", "doc_id", 6).select("lang", "doc_id", "text").collect()
+    rows = bounded_sample(labelled, sample_docs, "lang", ["doc_id", "text"], 6).select("lang", "doc_id", "text").distinct().collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"])
@@ -207,7 +210,12 @@ def predict(docs: DataFrame, model: PpmModel, id_col: str = "doc_id", text_col:
 
 
 def keep_known(docs: DataFrame, model: PpmModel, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of docs, all columns, whose language the model knows well enough."""
+    """The rows of docs, all columns, whose language the model knows well enough.
+
+    Null and empty texts, and texts without a letter, go; a null id changes nothing;
+    repeated rows all stay or all go; an empty table stays empty. docs must have a
+    column text; any other names may be there.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,10 +5,14 @@ and of the whole word, all hashed into one table; a document is the mean of its
 a two-class softmax reads the mean. A misspelling that was never seen shares most
 n-grams with what was.
 
-Toxic words are a few in a hundred and most n-grams tell nothing, so plain fitting
-learns documents by heart. An n-gram therefore gets an embedding only if its document
-counts tie it to label 1 (a likelihood-ratio test), starts from its log odds, and stays
-on label 1's side; embeddings and softmax are then fitted together in numpy.
+Embeddings are signed, start at zero and are fitted together with the softmax in numpy,
+under a penalty on the length of each n-gram's embedding (a group lasso), as there are
+far more n-grams than documents and plain fitting learns documents by heart. The penalty
+is set from the number of n-grams and the noise of the labels, not by hand, and is the
+same for all n-grams once their shares are brought to one scale. Steps work on the
+n-grams that are not zero; whoever else the gradient would move is taken in until none
+is left, so the result is that of fitting all n-grams at once. A last round takes most of
+the penalty off what is left, so that weights are not shrunk.
 
 Both steps are linear, so a trained model scores a word by one number and a document
 by the mean of its words' numbers; each worker keeps the numbers of words it has met.
@@ -26,15 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold_is
+from .common import fold_is, labelled_texts
 
 #: Training documents of each label, each with its whole text.
 SAMPLE_DOCS = 3_000
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 20, 8, 3, 5
-#: An n-gram is learned if so many training texts have it, with so large a G statistic
-#: and log odds ratio in favour of label 1.
-MIN_TEXTS, MIN_G, MIN_ODDS = 4, 10.0, 1.0
-STEPS, DECAY, SCALE = 400, 1e-6, 50.0
+#: An n-gram gets an embedding from so many training texts on, whatever their labels.
+MIN_TEXTS = 2
+#: The penalty, as a multiple of what noise alone would reach over all n-grams; its bound as
+#: a share of the strongest n-gram's pull; the decay that shares weight among n-grams that say
+#: the same (a share's own curvature is 0.25); and what the last round keeps of both.
+PENALTY, PENALTY_BOUND, DECAY, RELAXED = 0.7, 0.6, 15.0, 1e-3
+ROUNDS, STEPS = 12, 60
+#: Words that say nothing, added to every text's mean, so that one word of a very short text isn't all of it.
+PAD = 30
 #: A word is cut into n-grams over its first so many characters; the rest of a longer
 #: one goes on as further words, so no text is left out.
 WORD_CHARS = 40
@@ -78,7 +87,7 @@ class ToxicityModel:
                 memory.clear()
             for w in set(ws).difference(memory):
                 memory[w] = self.word(w)
-            out[i] = self.bias + (sum(map(memory.__getitem__, ws)) / len(ws) if ws else 0.0)
+            out[i] = self.bias + (sum(map(memory.__getitem__, ws)) / (len(ws) + PAD))
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
@@ -93,21 +102,30 @@ class _Bags:
             self.sizes[r] = n = sum(bag.values())
             rows.append(np.full(len(bag), r))
             cols.append(np.fromiter((place.setdefault(w, len(place)) for w in bag), np.int64, len(bag)))
-            shares.append(np.fromiter(bag.values(), np.float64, len(bag)) / max(1, n))
+            shares.append(np.fromiter(bag.values(), np.float64, len(bag)) / (n + PAD))
         self.row, self.col, self.share = (np.concatenate(x) if x else np.zeros(0) for x in (rows, cols, shares))
         grams = [buckets(w) for w in place]
         self.each = np.fromiter(map(len, grams), np.int64, len(grams))
         self.gram = np.fromiter((b for g in grams for b in g), np.int64, int(self.each.sum()))
         self.start = np.cumsum(self.each) - self.each
 
-    def texts_with(self, chosen: np.ndarray) -> np.ndarray:
-        """How many of the chosen texts have each n-gram."""
-        out = np.zeros(BUCKETS, np.int64)
+    def moments(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each n-gram: how many texts have it, and the weighted mean square of its share of a text."""
+        texts, square = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS)
         edges = np.searchsorted(self.row, np.arange(len(self.sizes) + 1))
-        for r in np.flatnonzero(chosen):
+        for r in np.flatnonzero(weight):
             at = self.col[edges[r] : edges[r + 1]].astype(np.int64)
-            out[np.unique(self.gram[_spans(self.start[at], self.each[at])])] += 1
-        return out
+            each = self.each[at]
+            grams, place = np.unique(self.gram[_spans(self.start[at], each)], return_inverse=True)
+            share = np.bincount(place, np.repeat(self.share[edges[r] : edges[r + 1]] / each, each))
+            texts[grams] += 1
+            square[grams] += weight[r] * share * share
+        return texts, square
+
+    def pulls(self, r: np.ndarray) -> np.ndarray:
+        """Of each n-gram: the sum of its shares of the texts, each times the text's number."""
+        of_word = np.bincount(self.col.astype(np.int64), r[self.row.astype(np.int64)] * self.share, len(self.each)) / self.each
+        return np.bincount(self.gram, np.repeat(of_word, self.each), BUCKETS)
 
     def entries(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, learned n-gram, share of the text's mean) of the n-grams with a place."""
@@ -127,32 +145,58 @@ def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def fit(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 3) -> ToxicityModel:
-    """Embeddings and softmax together, by accelerated projected gradient steps.
+def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS, steps: int = STEPS, seed: int = 3) -> ToxicityModel:
+    """Embeddings and softmax together, by accelerated proximal gradient steps.
 
-    Texts without words are left out. Without texts of both labels the model gives every
-    text the share of label 1 as its score.
+    Texts without words are left out, and copies count once. Without texts of both labels
+    the model gives every text the share of label 1 as its score.
     """
-    bags = _Bags(texts)
-    y = np.array(labels, np.float64)
+    pairs = sorted(set(zip(texts, map(int, labels))))
+    bags = _Bags([t for t, _ in pairs])
+    y = np.array([k for _, k in pairs], np.float64)
     use = bags.sizes > 0
     ones, zeros = int((y[use] == 1).sum()), int((y[use] == 0).sum())
     if not ones or not zeros:
         share = (ones + 0.5) / (ones + zeros + 1)
         return ToxicityModel({}, float(np.log(share / (1 - share))) if ones else -10.0)
-    c1, c0 = bags.texts_with(use & (y == 1)), bags.texts_with(use & (y == 0))
-    there = c1 + c0
-    expected = there * ones / (ones + zeros)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (np.where(c1 > 0, c1 * np.log(c1 / expected), 0) + np.where(c0 > 0, c0 * np.log(c0 / (there - expected)), 0))
-    odds = np.log((c1 + 0.5) / (ones + 1)) - np.log((c0 + 0.5) / (zeros + 1))
-    learned = np.flatnonzero((there >= MIN_TEXTS) & (g > MIN_G) & (odds > MIN_ODDS))
+    weight = np.where(y == 1, 0.5 / ones, 0.5 / zeros) * use  # each label weighs as much as the other
+    there, square = bags.moments(weight)
+    known = there >= min(MIN_TEXTS, ones)
+    scale = np.where(known, 1 / np.sqrt(np.maximum(square, 1e-300)), 0.0)  # embeddings are of shares of one size
+    pull = np.abs(bags.pulls(weight * (0.5 - y))) * scale
+    noise = np.sqrt(0.25 * float((weight**2).sum()) * 2 * np.log(max(2, int(known.sum()))))
+    penalty = min(PENALTY * noise, PENALTY_BOUND * float(pull.max(initial=0.0)))
+
+    rng = np.random.default_rng(seed)
+    side = rng.normal(size=DIM)
+    side /= np.linalg.norm(side)  # the softmax's weights are -side / 2 and side / 2, of fixed length
+    table, bias = np.zeros((BUCKETS, DIM)), 0.0
+    active = np.zeros(BUCKETS, bool)
+    r = weight * (1 / (1 + np.exp(-bias)) - y)
+    for k in range(rounds):
+        last = k + 1 == rounds
+        if not last:
+            fresh = known & ~active & (np.abs(bags.pulls(r)) * scale > penalty * 1.01)
+            active |= fresh
+            last = not fresh.any()
+        if last:  # what is not zero by now, almost freely
+            active &= np.linalg.norm(table, axis=1) > 0
+            penalty *= RELAXED
+        learned = np.flatnonzero(active)
+        side, bias, r = _steps(bags, learned, scale, table, side, bias, weight, y, penalty, DECAY * (RELAXED if last else 1), steps * (6 if last else 1))
+        if last:
+            break
+    final = (table @ side) * scale
+    return ToxicityModel({int(b): float(final[b]) for b in np.flatnonzero(final)}, float(bias))
+
+
+def _steps(bags: _Bags, learned: np.ndarray, scale: np.ndarray, table: np.ndarray, side: np.ndarray, bias: float, weight: np.ndarray, y: np.ndarray, penalty: float, decay: float, steps: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """Fit the learned n-grams' rows of the table, the softmax's side and bias; then also each text's pull."""
     place = np.full(BUCKETS, -1, np.int64)
     place[learned] = np.arange(len(learned))
     row, col, share = bags.entries(place)
-    share = share * SCALE * odds[learned][col]  # the embeddings' starting size, and the steps' scale
-    n, p = len(texts), len(learned)
-    weight = np.where(y == 1, 0.5 / ones, 0.5 / zeros) * use  # each label weighs as much as the other
+    share = share * scale[learned][col]
+    n, p = len(y), len(learned)
 
     def mean(x: np.ndarray) -> np.ndarray:
         return np.stack([np.bincount(row, x[col, k] * share, n) for k in range(x.shape[1])], 1)
@@ -160,29 +204,25 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 3)
     def back(r: np.ndarray) -> np.ndarray:
         return np.bincount(col, r[row] * share, p)
 
-    rng = np.random.default_rng(seed)
-    softmax = np.stack([-np.ones(DIM), np.ones(DIM)], 1) / 2 / np.sqrt(DIM)
-    emb = rng.dirichlet(np.ones(DIM), p) * np.sqrt(DIM) if p else np.zeros((0, DIM))
-    bias = np.zeros(2)
-    u = rng.random((p, 1))
-    for _ in range(12):
+    u = np.ones((p, 1))
+    for _ in range(15):
         u = back(weight * mean(u / max(1e-12, np.linalg.norm(u)))[:, 0])[:, None]
     lipschitz = max(1e-9, float(np.linalg.norm(u)) * 0.3)
-    ahead, t = emb, 1.0
+    emb = ahead = table[learned]
+    t = 1.0
     for _ in range(steps):
         doc = mean(ahead)
-        z = doc @ softmax + bias
-        gap = np.clip(z[:, 1] - z[:, 0], -50, 50)
-        r = weight * (1 / (1 + np.exp(-gap)) - y)
-        side = softmax[:, 1] - softmax[:, 0]
-        new = np.maximum(ahead - (back(r)[:, None] * side + DECAY * ahead) / (lipschitz * float(side @ side)), 0)
-        pull = 0.01 * doc.T @ r / max(1e-9, float(np.abs(doc).max()) ** 2)
-        softmax = softmax + np.stack([pull, -pull], 1)
-        bias = bias + np.array([1.0, -1.0]) * r.sum()
+        r = weight * (1 / (1 + np.exp(-np.clip(doc @ side + bias, -50, 50))) - y)
+        new = ahead - np.outer(back(r), side) / lipschitz
+        length = np.linalg.norm(new, axis=1, keepdims=True)
+        new = new * np.maximum(0, 1 - penalty / lipschitz / np.maximum(length, 1e-300)) / (1 + decay / lipschitz)
+        side = side - 0.1 * (doc.T @ r) / max(1e-9, float(np.abs(doc).max(initial=0.0)) ** 2)
+        side = side / np.linalg.norm(side)
+        bias = bias - 2 * float(r.sum())
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, emb, t = new + (t - 1) / t2 * (new - emb), new, t2
-    final = (emb @ (softmax[:, 1] - softmax[:, 0])) * SCALE * odds[learned]
-    return ToxicityModel({int(b): float(w) for b, w in zip(learned, final) if w}, float(bias[1] - bias[0]))
+    table[learned] = emb
+    return side, bias, weight * (1 / (1 + np.exp(-np.clip(mean(emb) @ side + bias, -50, 50))) - y)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ToxicityModel:
@@ -192,9 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     training row.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "toxic").distinct().filter(~fold_is("doc_id", 3, 1))
-    chosen = bounded_sample(known, sample_docs, "toxic", "doc_id", 3)
-    rows = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").distinct().collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"], r["toxic"]))
+    rows = labelled_texts(docs, known, "toxic", sample_docs, 3)
     return fit([r["text"] for r in rows], [int(r["toxic"]) for r in rows])
 
 
@@ -215,7 +253,12 @@ def predict(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, that score below the threshold."""
+    """The rows of docs, all columns, that score below the threshold.
+
+    Null and empty texts score the model's bias; a null id changes nothing; repeated rows
+    all stay or all go; an empty table stays empty. docs must have a column text; any
+    other names may be there.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
