@@ -96,12 +96,59 @@ def test_language_of_awkward_rows(spark):
 # Toxicity.
 
 
-def test_misspellings_share_n_grams():
-    bad = [f"some neutral words w{k} here blockhead and more" for k in range(30)]
-    good = [f"some neutral words w{k} here and more" for k in range(60)]
-    model = toxicity.fit(bad + good, [1] * 30 + [0] * 60)
-    s = model.scores(["you blockhead of words", "you blockhaed of words here", "you clever one of words", ""], {})
-    assert s[0] > 0.7 > s[2] and s[1] > s[2] and s[3] < 0.7
+def brute_toxicity(model, text):
+    """Bias and the padded mean over words of the mean over hashed n-grams, one by one."""
+    word_sum, n = 0.0, 0
+    word = ""
+    for c in (text or "").lower() + " ":
+        if (c.isalnum()) and len(word) < toxicity.WORD_CHARS:
+            word += c
+            continue
+        if word:
+            marked = f"<{word}>"
+            at = [zlib.crc32(marked.encode(), 7)] + [zlib.crc32(marked[i : i + k].encode()) for k in (3, 4, 5) for i in range(len(marked) - k + 1)]
+            word_sum, n = word_sum + sum(model.weight.get(b % toxicity.BUCKETS, 0.0) for b in at) / len(at), n + 1
+        word = c if c.isalnum() else ""
+    return 1 / (1 + math.exp(-(model.bias + word_sum / (n + toxicity.PAD))))
+
+
+def toxic_texts(n=60):
+    bad = [f"some neutral words w{k} here blockhead and more {'friendly' if k % 9 == 0 else ''}" for k in range(n // 2)]
+    good = [f"some neutral words w{k} here and more {'friendly' if k % 2 else ''}" for k in range(n)]
+    return bad + good, [1] * len(bad) + [0] * len(good)
+
+
+def test_toxicity_scores_equal_brute_force():
+    model = toxicity.fit(*toxic_texts())
+    probe = ["", None, "you blockhead of words", "Blockhaed, FRIENDLY  blockhead!", "x" * 95 + " blockhead", "Ärger mit dem blockhead_und so 12", "word " * 3000 + "blockhead " * 50]
+    assert model.scores(probe, {}) == pytest.approx([brute_toxicity(model, t) for t in probe], abs=1e-9)
+
+
+def test_pulls_and_moments_equal_brute_force():
+    texts = ["a blockhead is a blockhead", "here and there", "there is a head"]
+    bags, r, weight = toxicity._Bags(texts), np.array([0.5, -1.0, 2.0]), np.array([0.2, 0.3, 0.5])
+    shares = []
+    for t in texts:
+        ws, share = toxicity.words(t), Counter()
+        for w in ws:
+            for b in toxicity.buckets(w):
+                share[b] += 1 / (len(ws) + toxicity.PAD) / len(toxicity.buckets(w))
+        shares.append(share)
+    pulls, (there, square) = bags.pulls(r), bags.moments(weight)
+    for b in {b for s in shares for b in s}:
+        assert pulls[b] == pytest.approx(sum(x * s[b] for x, s in zip(r, shares)))
+        assert there[b] == sum(s[b] > 0 for s in shares) and square[b] == pytest.approx(sum(x * s[b] ** 2 for x, s in zip(weight, shares)))
+
+
+def test_embeddings_are_signed_and_misspellings_score_as_toxic():
+    model = toxicity.fit(*toxic_texts())
+    s = model.scores(["you blockhead of words", "blockhaed, you blockhaed of words", "you blokhead of words here", "you clever one of words", "friendly words", ""], {})
+    assert min(s[:3]) > 0.7 > max(s[3:]) and model.word("blockhead") > 0 > model.word("friendly")
+
+
+def test_toxicity_is_learned_from_few_documents(spark):
+    docs, labels = table(spark, "documents"), table(spark, "labels")
+    assert sum(r["toxic"] for r in labels.collect()) < 20 and len(toxicity.train(docs, labels).weight) > 20
 
 
 def test_toxicity_is_learned_from_whole_texts(spark):
@@ -144,6 +191,47 @@ def test_bradley_terry_ranks_and_cuts():
     assert np.isclose(np.mean(model.scores(good + junk) >= 0.7), 0.75, atol=0.05)
 
 
+def brute_features(text):
+    ws = text.split()
+    if not ws:
+        return [0.0] * 16
+    raw, n = text.encode(), len(ws)
+    share = lambda chars: sum(c in chars for c in raw)
+    upper, lower, high = share(range(65, 91)), share(range(97, 123)), share(range(128, 256))
+    counts = Counter(ws)
+    runs = [tuple(ws[k : k + 3]) for k in range(n - 2)]
+    lines = [x for x in text.split("\n") if x.strip()]
+    return [
+        math.log(1 + n), share(b"#*$%&|<>~^_=+@\\/{}[]") / len(raw), upper / (upper + lower + high + 1), share(range(48, 58)) / len(raw), share(b"!?") / n, share(b".,;:") / n, share(b"|") / n, high / len(raw),
+        math.log(1 + len(counts)) / math.log(1 + n), max(counts.values()) / n, 1 - len(set(runs)) / len(runs) if runs else 0.0, 1 - len(set(lines)) / max(1, len(lines)),
+        math.log(len(raw) / n), sum(len(w) <= 3 for w in ws) / n, share(b"\n") / n, len(counts) / n,
+    ]
+
+
+@pytest.mark.parametrize("bits", [1, 21])
+def test_quality_features_equal_brute_force(monkeypatch, bits):
+    monkeypatch.setattr(quality, "BITS", bits)  # 1: more words than one key holds
+    texts = ["a b c d e f a b c"] * (bits == 1) or ["", " \n ", "one", "one two", "a b c a b c a b c", "THE cat, the cat!\nthe cat\n\nthe cat 12 | ü", "x y " * 70_000 + "end " + "p q r " * 10]
+    for t in [*texts, " ".join(f"w{k % 90}" for k in range(3000))]:
+        assert quality.features(t) == pytest.approx(brute_features(t), abs=1e-12)
+
+
+def test_bradley_terry_weights_are_the_optimum():
+    """The loss over the drawn pairs falls nowhere: its gradient is almost zero."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, quality.SIZE))
+    y = (x[:, 0] + 0.5 * x[:, 1] + rng.normal(size=80) > 0).astype(int)
+    model = quality.fit_features(x, list(y))
+    z, draw = model.expand(x), np.random.default_rng(7)
+    d = z[draw.choice(np.flatnonzero(y == 1), quality.PAIRS)] - z[draw.choice(np.flatnonzero(y == 0), quality.PAIRS)]
+    loss = lambda w: np.log1p(np.exp(-d @ w)).mean() + quality.DECAY / 2 * (w @ w)
+    best = loss(model.weight)
+    for k in range(len(model.weight)):
+        step = np.zeros(len(model.weight))
+        step[k] = 1e-2
+        assert loss(model.weight + step) > best - 1e-7 and loss(model.weight - step) > best - 1e-7
+
+
 def test_quality_of_held_out_documents(spark, labelled):
     docs, labels, rows = labelled
     got = {r["id"]: r["score"] for r in quality.predict(docs, quality.train(docs, labels)).collect()}
