@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,10 +10,18 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; a private folder only where nothing is set (tests)."""
+    """What spark.checkpoint.dir names.
+
+    Where nothing is set, a local session gets a private folder; on a cluster that is an
+    error, as no folder of one machine can be read by the others.
+    """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
-    there = spark.conf.get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else None) or tempfile.mkdtemp(prefix="silverleaf-")
+    there = spark.conf.get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else None)
+    if not there:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        there = tempfile.mkdtemp(prefix="silverleaf-")
     if not current.isDefined():
         sc.setCheckpointDir(there)
     return there

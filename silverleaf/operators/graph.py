@@ -2,30 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import checkpoint
 
+#: Parts that a node's edges are dealt into where they meet the node's minimum.
+SALTS = 32
+
+
+def _salt(end: str) -> Column:
+    return F.pmod(F.xxhash64(end), F.lit(SALTS)).cast("int")
+
+
+def _spread(nodes: DataFrame) -> DataFrame:
+    """One row of each node for each salt that its mask holds."""
+    salts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k)) != 0)
+    return nodes.withColumn("s", F.explode(salts)).drop("mask")
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the undirected edges (a, b); the root is the smallest node.
 
-    Alternating large-star and small-star rounds, each cut by a checkpoint. A node's
-    minimum is aggregated before it is joined back, so a hub never gathers in one task.
+    Alternating large-star and small-star rounds, each cut by a checkpoint, until every
+    node with a smaller neighbour has no other. A hub's edges never gather in one task: its
+    minimum and the salts that its edges have are aggregated before the shuffle, and edges
+    are joined with them by node and salt. Edges whose lower end is already a root, which
+    most soon are, find nothing to join and stay as they are.
     """
     e = checkpoint(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
     while True:
-        state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == seen or not state[0]:
+        none = F.lit(0).cast("long")
+        both = e.select(F.col("u").alias("node"), F.col("v").alias("other"), none.alias("bit")).unionByName(
+            e.select(F.col("v").alias("node"), F.col("u").alias("other"), F.call_function("shiftleft", F.lit(1).cast("long"), _salt("u")).alias("bit"))
+        )
+        below = F.when(F.col("other") < F.col("node"), F.col("other"))
+        nodes = both.groupBy("node").agg(F.min("other").alias("m"), F.max(below).alias("high"), F.bit_or("bit").alias("mask"))
+        unsettled = checkpoint(nodes.filter("m < node AND (mask != 0 OR high > m)"))
+        if unsettled.isEmpty():
             break
-        seen = state
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        lower = _spread(unsettled.filter("mask != 0").select(F.col("node").alias("v"), "m", "mask"))
+        large = e.withColumn("s", _salt("u")).join(lower, ["v", "s"], "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), _salt("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("high"), F.bit_or(bit).alias("mask"))
+        several = _spread(low.filter("high > m").select("u", "m", "mask"))
+        small = large.withColumn("s", _salt("v")).join(several, ["u", "s"]).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpoint(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-    roots = e.groupBy("u").agg(F.min("v").alias("root"))
-    return roots.select(F.col("u").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
