@@ -42,56 +42,89 @@ def test_fingerprint(text):
     assert nd.fingerprint(text) == brute_fingerprint(text)
 
 
-@pytest.mark.parametrize("n", [1, 63, 64, 65, 300, 3000])
-def test_gray_index_finds_exactly_what_is_near(n):
-    rng = np.random.default_rng(n)
-    centres = rng.integers(0, 1 << 63, 8, np.uint64)
-    fps = centres[rng.integers(0, 8, n)]
-    for _ in range(5):
-        fps = fps ^ np.where(rng.random(n) < 0.7, np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64), np.uint64(0))
-    fps = np.unique(fps)
-    q, row = nd.GrayIndex(fps).matches(fps, 4)
-    near = np.bitwise_count(fps[:, None] ^ fps[None]) <= 4
-    assert len(q) == near.sum() and near[q, row].all()
+def scattered(n, rng, centres, flips, bits=64):
+    fps = rng.integers(0, 1 << 63, centres, np.uint64)[rng.integers(0, centres, n)]
+    for _ in range(flips):
+        fps = fps ^ np.where(rng.random(n) < 0.75, np.uint64(1) << rng.integers(0, bits, n).astype(np.uint64), np.uint64(0))
+    return np.unique(fps)
 
 
-@pytest.mark.parametrize("indexed", [100, 8192])
-@pytest.mark.parametrize("n", [65, 700, 2500])
-def test_labels_of_large_groups_equal_brute_force(monkeypatch, n, indexed):
-    monkeypatch.setattr(nd, "INDEXED", indexed)
+@pytest.mark.parametrize("fanout", [2, 4, 16])
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 63, 65, 300, 3000])
+def test_gray_index_finds_exactly_what_is_near_in_each_group(monkeypatch, n, fanout):
+    monkeypatch.setattr(nd, "FANOUT", fanout)
     rng = np.random.default_rng(n)
-    centres = rng.integers(0, 1 << 63, 5, np.uint64)
-    fps = centres[rng.integers(0, 5, n)]
-    for _ in range(9):
-        fps = fps ^ np.where(rng.random(n) < 0.8, np.uint64(1) << rng.integers(0, 30, n).astype(np.uint64), np.uint64(0))
-    fps = rng.permutation(np.unique(fps))
+    fps = scattered(n, rng, 8, 5)
+    group = np.sort(rng.integers(0, 1 + len(fps) // 40, len(fps)) ** 2)  # of very different sizes, some of one row
+    fps = rng.permutation(fps)
+    index = nd.GrayIndex(group, fps)
+    asked = np.flatnonzero(index.top > 0)
+    one, two = index.matches(asked, 4)
+    got = {tuple(sorted(p)) for p in zip(index.order[one].tolist(), index.order[two].tolist())}
+    near = (np.bitwise_count(fps[:, None] ^ fps[None]) <= 4) & (group[:, None] == group[None])
+    assert len(got) == len(one) and got == {(i, j) for i, j in np.argwhere(near).tolist() if i < j}
+
+
+def test_patterns_are_factored_and_groups_are_pruned():
+    """A node's own mask holds no bit of a node above it, and whole subtrees are dropped."""
+    fps = scattered(4000, np.random.default_rng(8), 4000, 3)
+    index = nd.GrayIndex(np.zeros(len(fps), np.int64), fps)
+    assert len(index.levels) >= 6
+    for (_, mask, _, _, _), (_, above, _, first, fan) in zip(index.levels, index.levels[1:]):
+        assert not (mask[first] & above).any() and (fan <= nd.FANOUT).all()
+    value, mask, _, _, _ = index.levels[1]
+    met = np.bitwise_count((index.rows[:200, None] ^ value[None]) & ~(np.bitwise_or.reduceat(index.rows, index.levels[1][3]) ^ np.bitwise_and.reduceat(index.rows, index.levels[1][3]))[None]) <= 4
+    assert met.mean() < 0.25
+
+
+def brute_labels(key, fps):
     want = np.arange(len(fps))
-    near = np.bitwise_count(fps[:, None] ^ fps[None]) <= 4
+    near = (np.bitwise_count(fps[:, None] ^ fps[None]) <= 4) & (key[:, None] == key[None])
     while True:
         low = np.where(near, want[None], len(fps)).min(axis=1)
         if (low == want).all():
-            break
+            return want
         want = low
-    assert (nd._group_labels(fps, 4) == want).all()
 
 
-def test_blocks_tile_and_pairs_meet():
-    tiles = nd.blocks(4)
-    assert sum(w for _, w in tiles) == 64 and len(tiles) == 6
+@pytest.mark.parametrize("indexed", [100, 8192])
+@pytest.mark.parametrize("meetings", [500, 1 << 20])
+@pytest.mark.parametrize("n", [65, 700, 2500])
+def test_labels_of_groups_equal_brute_force(monkeypatch, n, meetings, indexed):
+    monkeypatch.setattr(nd, "INDEXED", indexed)
+    monkeypatch.setattr(nd, "MEETINGS", meetings)
+    rng = np.random.default_rng(n)
+    fps = rng.permutation(scattered(n, rng, 5, 9, 30))
+    for key in (np.zeros(len(fps), np.int64), np.sort(rng.integers(0, 9, len(fps)))):
+        assert (nd._labels(key, fps, 4) == brute_labels(key, fps)).all()
+
+
+@pytest.mark.parametrize("distinct,r", [(0, 1), (10_000, 1), (10_000_000, 2), (40_000_000_000, 3)])
+def test_groups_of_even_fingerprints_stay_small(distinct, r):
+    assert nd.shared_blocks(distinct, 4) == r
+
+
+@pytest.mark.parametrize("r", [1, 2, 3])
+def test_blocks_tile_and_pairs_meet(r):
+    tiles = nd.blocks(4 + r)
+    assert sum(w for _, w in tiles) == 64 and len(tiles) == 4 + r
     rng = np.random.default_rng(1)
     for _ in range(200):
         flips = rng.choice(64, 4, replace=False)
-        assert sum(not any(s <= f < s + w for f in flips) for s, w in tiles) >= 2
+        assert sum(not any(s <= f < s + w for f in flips) for s, w in tiles) >= r
 
 
-def test_groups_dealt_out_again_lose_no_link(spark):
+@pytest.mark.parametrize("r", [1, 2, 3])
+def test_groups_dealt_out_again_lose_no_link(spark, monkeypatch, r):
+    monkeypatch.setattr(nd, "shared_blocks", lambda distinct, max_bits: r)
     rng = np.random.default_rng(4)
     fps = [int(x) for x in np.unique(rng.integers(0, 1 << 26, 3000)) << 20]
-    rows = spark.createDataFrame([(x,) for x in fps], "fp long")
+    rows = spark.createDataFrame([(x, k) for k, x in enumerate(fps)], "fp long, node long")
     want = {(r["node"], r["root"]) for r in nd.components(nd.links(rows)).collect()}
     assert want and {(r["node"], r["root"]) for r in nd.components(nd.links(rows, group=20)).collect()} == want
-    both = np.bitwise_count(np.array(fps)[:, None] ^ np.array(fps)[None]) <= 4
-    assert {n for n, _ in want} == {fps[i] for i in np.flatnonzero(both.sum(axis=1) > 1)}
+    brute = brute_labels(np.zeros(len(fps), np.int64), np.array(fps, np.uint64))
+    sizes = np.bincount(brute, minlength=len(fps))
+    assert want == {(k, int(b)) for k, b in enumerate(brute) if sizes[b] > 1}
 
 
 @pytest.mark.parametrize("spread", [40, 4000])
@@ -102,11 +135,27 @@ def test_large_dense_groups_are_linked_whole(spark, spread):
     for _ in range(400):
         fps.append(fps[-1] ^ (1 << int(rng.integers(0, 22))))
     fps = sorted(set(fps))
-    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    df = spark.createDataFrame([(x, x) for x in fps], "fp long, node long")
     roots = nd.components(nd.links(df)).collect()
     assert {r["node"] for r in roots} == set(fps) and {r["root"] for r in roots} == {0}
 
 
+def test_every_group_goes_through_the_index(spark, monkeypatch):
+    """On the whole table too, links come from the Gray index alone."""
+    docs = table(spark, "documents", "sf0.01")
+    fps = np.array(sorted({r["fp"] for r in nd.fingerprints(docs).collect()}), np.int64).view(np.uint64)
+    tiles, linked = nd.blocks(4 + nd.shared_blocks(len(fps), 4)), set()
+    for shift, width in tiles:
+        key = (fps >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+        order = np.argsort(key, kind="stable")
+        index = nd.GrayIndex(key[order], fps[order])
+        assert (index.top[index.size > 1] > 0).all() and (index.size > 1).any()
+        one, two = index.matches(np.flatnonzero(index.top > 0), 4)
+        linked |= {tuple(sorted(p)) for p in zip(order[index.order[one]].tolist(), order[index.order[two]].tolist())}
+    near = np.bitwise_count(fps[:, None] ^ fps[None]) <= 4
+    assert linked == {(i, j) for i, j in np.argwhere(near).tolist() if i < j}
+
+
 def test_query_equals_brute_force(spark):
     docs = table(spark, "documents")
     rows = [(r["doc_id"], brute_fingerprint(r["text"])) for r in docs.collect()]
@@ -125,5 +174,15 @@ def test_awkward_rows(spark):
     assert by_id[6]["component_id"] == 5 and by_id[3]["component_id"] == by_id[2]["component_id"] == 1 and by_id[1]["fp"] == 0
     kept = nd.keep_one(awkward(spark))
     assert kept.columns == awkward(spark).columns
-    assert ids(kept.collect(), "doc_id") == [1, 4, 5, 7, 8, 9, None, None]
+    assert ids(kept.collect(), "doc_id") == [1, 4, 5, 7, 8, 9, None]
     assert nd.near_duplicates(empty(spark)).count() == nd.keep_one(empty(spark)).count() == 0
+
+
+def test_rows_without_ids_and_with_one_id_are_deduplicated_by_text(spark):
+    text = lambda k: " ".join(f"w{(k * 7919 + j) % 1000}" for j in range(60))
+    data = [(None, text(1), "b"), (None, text(1), "a"), (None, text(2), "c"), (3, text(2), "d"), (4, text(3), "e"), (4, text(4), "f"), (4, text(4), "g"), (9, text(3), "h"), (None, None, "i"), (None, "", "j")]
+    df = spark.createDataFrame(data, "doc_id long, text string, row string").repartition(4)
+    kept = sorted(r["row"] for r in nd.keep_one(df).collect())
+    assert kept == ["a", "d", "e", "f", "i"]
+    found = {(r["id"], r["component_id"]) for r in nd.near_duplicates(df.withColumnRenamed("row", "root")).collect()}
+    assert found == {(None, None), (None, 3), (3, 3), (4, 4), (9, 4)}
