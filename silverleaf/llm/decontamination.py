@@ -7,7 +7,13 @@ every passage is a query: all items whose BM25 score is at least a share of thei
 score against themselves are retrieved, with block-max WAND skipping postings that
 can't reach it. Impacts are divided by the item's own score, so one threshold serves
 all items. A retrieved item counts as found if the passage also holds enough of both
-its question and its answer.
+its question and its answer. Items of a few words, which any passage may half hold by chance,
+must stand in the passage whole and in order; items of one word or two, which make no
+telling pairs, must be a line of their own.
+
+Words are runs of letters and digits; in scripts that put no spaces between words every
+character counts as one. Items of like length share an index, whose passages are twice
+as long as its longest item.
 
 The index is sent to tasks whole, so its size is bounded: items go into as many indexes
 as it takes for each to stay below ``index_bytes``, and documents are held against one
@@ -34,9 +40,14 @@ K1, B = 1.2, 0.75
 RETRIEVE, QUESTION, ANSWER = 0.4, 0.5, 0.5
 #: Items in a posting block, text in one index, shortest passage step in words.
 BLOCK, INDEX_BYTES, MIN_STEP = 64, 8 << 20, 32
+#: Words below which an item must stand whole and in order; the longest of the first length
+#: class of longer ones, and the factor from one class to the next.
+SHORT, FIRST, CLASSES = 10, 64, 4
 #: Words of a document looked at together; passages overlap across the seams.
 PIECE = 1 << 16
-_WORD = re.compile(r"[^\W_]+")
+#: Thai to Lao, Myanmar, Khmer, kana, Han: written without spaces.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
 
 
 def words(text: str) -> list[str]:
@@ -61,11 +72,13 @@ def halves(text: str) -> tuple[list[str], list[str]]:
 class Index:
     """Items and their postings; impacts are shares of the item's own score."""
 
-    def __init__(self, items: list[tuple[int, str]], frequency: dict[tuple[str, str], int], total: int, mean_length: float):
-        kept = [(i, t, words(t)) for i, t in sorted(items)]
+    def __init__(self, items: list[tuple[int | None, str]], frequency: dict[tuple[str, str], int], total: int, mean_length: float):
+        """Items of three words or more (shorter ones have no postings) and the document frequencies of their pairs."""
+        kept = [(i, t, words(t)) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1]))]
         kept = [(i, t, ws) for i, t, ws in kept if len(ws) >= 3]
         self.ids = [i for i, _, _ in kept]
         self.parts = [tuple(set(pairs(h)) for h in halves(t)) for _, t, _ in kept]
+        self.whole = [f" {' '.join(ws)} " if len(ws) < SHORT else None for _, _, ws in kept]
         self.step = max([MIN_STEP, *(len(ws) for _, _, ws in kept)])
         self.word: dict[str, int] = {}
         lists: dict[tuple[str, str], list[tuple[int, float]]] = {}
@@ -134,12 +147,11 @@ class Index:
                 at = [c for c in at if c[0] >= item or forward(c, item)]
         return found
 
-    def find(self, text: str) -> dict[int, tuple[float, float, float]]:
-        """Items found in a text: place -> best (score, question, answer) of a passage."""
+    def find(self, ws: list[str]) -> dict[int, tuple[float, float, float]]:
+        """Items found among a text's words: place -> best (score, question, answer) of a passage."""
         best: dict[int, tuple[float, float, float]] = {}
         if not self.ids:
             return best
-        ws = words(text)
         ids = np.fromiter(map(self.word.get, ws, repeat(-1)), np.int64, len(ws))
         for start in range(0, max(1, len(ws)), PIECE):
             own = ids[start : start + PIECE + 2 * self.step]
@@ -166,51 +178,78 @@ class Index:
             if not found:
                 continue
             a = start + int(begin[k])
-            passage = set(pairs(ws[a : a + 2 * self.step]))
+            here = ws[a : a + 2 * self.step]
+            passage, line = set(pairs(here)), f" {' '.join(here)} "
             for item, score in found:
+                if self.whole[item] is not None and self.whole[item] not in line:
+                    continue
                 q, ans = (len(part & passage) / len(part) if part else 1.0 for part in self.parts[item])
                 if q >= QUESTION and ans >= ANSWER:
                     best[item] = max(best.get(item, (0.0, 0.0, 0.0)), (score, q, ans))
 
 
-def indexes(benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> Iterator[Index]:
-    """The benchmark's items in indexes of bounded size, with frequencies over all items."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+class Items:
+    """Part of a benchmark: an index of each length class, and the items of one word or two."""
+
+    def __init__(self, items: list[tuple[int | None, str]], frequency: dict[tuple[str, str], int], total: int, mean_length: float):
+        by_class: dict[int, list[tuple[int | None, str]]] = {}
+        self.lines: dict[tuple[str, ...], list[int | None]] = {}
+        for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])):
+            ws = words(t)
+            if len(ws) >= 3:
+                k = 0 if len(ws) < SHORT else 1 + max(0, math.ceil(math.log(len(ws) / FIRST, CLASSES)))
+                by_class.setdefault(k, []).append((i, t))
+            elif ws:
+                self.lines.setdefault(tuple(ws), []).append(i)
+        self.indexes = [Index(part, frequency, total, mean_length) for _, part in sorted(by_class.items())]
+
+    def find(self, text: str) -> list[tuple[int | None, float, float, float]]:
+        """(item id, score, question, answer) of every item found in a text."""
+        ws = words(text)
+        found = [(index.ids[k], *x) for index in self.indexes for k, x in sorted(index.find(ws).items())]
+        if self.lines:
+            own = {tuple(words(line)) for line in text.split("\n")}
+            found += [(i, 1.0, 1.0, 1.0) for line in sorted(own & self.lines.keys()) for i in self.lines[line]]
+        return found
+
+
+def indexes(benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> Iterator[Items]:
+    """The benchmark's items in parts of bounded size, with frequencies over all items."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").distinct()
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ws = words(t)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in ([" ".join(p) for p in dict.fromkeys(pairs(ws))],)], ["term"])
+            for t in b.column(1).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([" ".join(p) for p in dict.fromkeys(pairs(words(t)))], pa.string())], ["term"])
 
     size, total = items.agg(F.sum(F.length("text")), F.count("*")).first()
     if not total:
         return
-    length = size / total / 6  # about: characters of a word with its space
-    parts = math.ceil(size / index_bytes)
+    length = max(1.0, size / total / 6)  # about: characters of a word with its space
+    parts = max(1, math.ceil(size / index_bytes))
     frequency = items.mapInArrow(listed, "term string").groupBy("term").count()
     for k in range(parts):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
         known = frequency if parts == 1 else frequency.join(own.mapInArrow(listed, "term string").distinct(), "term", "left_semi")
         counts = {tuple(r["term"].split(" ")): r["count"] for r in known.collect()}
-        yield Index([(r["item_id"], r["text"]) for r in own.collect()], counts, total, length)
+        yield Items([(r["item_id"], r["text"]) for r in own.collect()], counts, total, length)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """(id, item_id, score, question, answer): every item found in every document.
 
-    Null and empty texts match nothing, nor do items of fewer than three words; repeated
-    rows are reported as often as they stand there; equal items are each reported; empty
-    tables give no rows. Other columns are not read.
+    Null and empty texts match nothing, nor do items without a letter or digit; repeated
+    rows are reported as often as they stand there; equal items are each reported, also
+    those without an id; empty tables give no rows. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, item_id long, score double, question double, answer double"
     out = docs.sparkSession.createDataFrame([], schema)
-    for index in indexes(benchmark, index_bytes):
+    for items in indexes(benchmark, index_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = [(i.as_py(), index.ids[k], *x) for i, t in zip(b.column(0), b.column(1)) if t.is_valid for k, x in sorted(index.find(t.as_py()).items())]
+                found = [(i.as_py(), *x) for i, t in zip(b.column(0), b.column(1)) if t.is_valid for x in items.find(t.as_py())]
                 columns = zip(*found) if found else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.float64()] * 3)], ["id", "item_id", "score", "question", "answer"])
 
@@ -219,13 +258,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """The rows of docs, all columns, in which no item is found."""
+    """The rows of docs, all columns, in which no item is found.
+
+    Rows with null and empty texts stay; a null id changes nothing; repeated rows all stay
+    or all go; items without an id count; an empty table stays empty, and an empty
+    benchmark removes nothing. docs must have a column text; any other names may be there.
+    """
     at = docs.columns.index("text")
-    for index in indexes(benchmark, index_bytes):
+    for items in indexes(benchmark, index_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b.filter(pa.array([not (t.is_valid and index.find(t.as_py())) for t in b.column(at)], pa.bool_()))
+                yield b.filter(pa.array([not (t.is_valid and items.find(t.as_py())) for t in b.column(at)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -5,7 +5,7 @@ import random
 import pytest
 from silverleaf.llm import decontamination as dec
 
-from .data import awkward, empty, table
+from .data import AWKWARD, awkward, empty, table
 
 
 def items(spark, texts):
@@ -20,7 +20,7 @@ def words(n, rng, k=300):
 def test_wand_retrieves_all_above_any_threshold(spark, monkeypatch, block):
     monkeypatch.setattr(dec, "BLOCK", block)
     rng = random.Random(block)
-    index = next(dec.indexes(items(spark, [words(rng.randint(3, 40), rng, 25) for _ in range(150)])))
+    index = max(next(dec.indexes(items(spark, [words(rng.randint(3, 32), rng, 25) for _ in range(150)]))).indexes, key=lambda x: len(x.ids))
     for _ in range(60):
         terms = sorted(rng.sample(range(len(index.keys)), rng.randint(1, 60)))
         score = {}
@@ -64,10 +64,37 @@ def test_whole_tables(spark):
 
 
 def test_awkward_rows(spark):
-    bench = spark.createDataFrame([(1, "the same text as another document"), (2, None), (None, "some text"), (3, ""), (4, "x"), (5, "the same text as another document")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, "the same text as another document"), (2, None), (None, "some text"), (3, ""), (4, "x"), (5, "the same text as another document"), (None, "with some words")], "item_id long, text string")
     got = dec.matches(awkward(spark), bench).collect()
-    assert sorted((r["id"], r["item_id"]) for r in got) == [(5, 1), (5, 1), (5, 5), (5, 5), (6, 1), (6, 5)]
+    assert sorted(((r["id"], r["item_id"]) for r in got if r["id"])) == [(5, 1), (5, 1), (5, 5), (5, 5), (6, 1), (6, 5)]
+    assert [r["item_id"] for r in got if r["id"] is None] == [None]
+    left = dec.keep_clean(awkward(spark), bench).collect()
+    assert len(left) == len(AWKWARD) - 4 and not any(r["text"] and "some words" in r["text"] for r in left)
     assert dec.keep_clean(awkward(spark), bench).columns == awkward(spark).columns
     none = spark.createDataFrame([], "item_id long, text string")
     assert dec.matches(awkward(spark), none).count() == 0 == dec.matches(empty(spark), bench).count()
     assert dec.keep_clean(awkward(spark), none).count() == awkward(spark).count()
+
+
+def test_short_items_stand_whole_and_in_order(spark):
+    bench = items(spark, ["river bank holiday", "north", "two words", "one two three four five six seven"])
+    docs = [(0, "a river bank holiday trip"), (1, "river bank and a bank holiday"), (2, "the north wind"), (3, "before\nNorth.\nafter"), (4, "two words\n"), (5, "two words more"), (6, "so one two three four five six seven eight"), (7, "one two three and four five six seven")]
+    got = {(r["id"], r["item_id"]) for r in dec.matches(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(0, 0), (3, 1), (4, 2), (6, 3)}
+
+
+def test_scripts_without_spaces(spark):
+    japanese, thai = "日本語のテスト問題です。答えは東京です。", "เมืองหลวงของประเทศไทยคือกรุงเทพมหานคร"
+    bench = items(spark, [japanese, thai])
+    docs = [(0, f"前文があります。{japanese}後文もあります。"), (1, f"นี่คือข้อความ {thai} และอื่นๆ"), (2, "日本語の別の文章です。大阪は大きい町です。"), (3, "ข้อความอื่นที่ไม่เกี่ยวข้องกันเลย")]
+    got = {(r["id"], r["item_id"]) for r in dec.matches(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(0, 0), (1, 1)}
+
+
+def test_items_of_all_lengths_keep_their_own_passages(spark):
+    rng = random.Random(3)
+    tests = [words(n, rng, 5000) for n in (3, 9, 10, 33, 200, 1500)]
+    part = next(dec.indexes(items(spark, tests)))
+    assert sorted(i for index in part.indexes for i in index.ids) == list(range(6)) and [index.step for index in part.indexes] == sorted(index.step for index in part.indexes)
+    docs = spark.createDataFrame([(k, f"{words(300, rng, 9999)} {t} {words(300, rng, 9999)}") for k, t in enumerate(tests)], "doc_id long, text string")
+    assert sorted((r["id"], r["item_id"]) for r in dec.matches(docs, items(spark, tests)).collect()) == [(k, k) for k in range(6)]
