@@ -9,8 +9,9 @@ words' ids in order, so each distinct word is encoded once in the whole corpus:
 2. encode: the blocks' word lists are exploded, dealt out by word and sorted, so that
    one task meets all rows of a word in a row and encodes it once. A row is a word of a
    block, not an occurrence, so a very frequent word weighs no more than a rare one.
-3. join back: each block gets its words' ids by position, joins ids to pieces, and
-   writes out its documents.
+3. join back: each block gets its words' ids by position and so every document's ids.
+4. decode: a document's ids are joined with the table of pieces, whose place is the id,
+   for a batch of documents at once, and its pieces are put together in order.
 
 Splitting is cheap and blocks are large, so both branches split for themselves, and only
 the second moves whole blocks. Should the input's order change in between (it does not
@@ -29,6 +30,7 @@ from functools import cached_property
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -74,10 +76,10 @@ class WordBpe:
         tok.normalizer = normalizers.Sequence([])
         return normalizer, tok.pre_tokenizer, tok
 
-    def pieces(self) -> list[str]:
-        """The piece of each id."""
+    def pieces(self) -> pa.Array:
+        """The table of pieces: each stands at its id."""
         named = {i: p for p, i in (self.vocabulary | self.added).items()}
-        return [named.get(i, "") for i in range(max(named) + 1)]
+        return pa.array([named.get(i, "") for i in range(max(named, default=-1) + 1)], pa.string())
 
     def words(self, text: str) -> list[str]:
         if self.cut is None or not self.cut.search(text):
@@ -235,7 +237,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     return joined.select("n_words", "body", "packs").mapInArrow(render, "id long, ids array<int>, decoded string")
 
 
-def _render(words: int, body: bytes, packs: list[bytes], pieces: list[str]) -> Iterator[pa.RecordBatch]:
+def _render(words: int, body: bytes, packs: list[bytes], pieces: pa.Array) -> Iterator[pa.RecordBatch]:
     ids, nulls, counts, place = _load(body)
     ids = ids.view(np.int64)
     parts = [_load(p) for p in packs]
@@ -246,7 +248,6 @@ def _render(words: int, body: bytes, packs: list[bytes], pieces: list[str]) -> I
     flat = np.concatenate([p[2] for p in parts]).astype(np.int32) if parts else np.zeros(0, np.int32)
     each = np.concatenate([p[1] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
     n[order], start[order] = each, np.cumsum(each) - each
-    texts = [" ".join([pieces[i] for i in flat[a : a + k].tolist()]) for a, k in zip(start.tolist(), n.tolist())]
     ends = np.cumsum(counts.astype(np.int64))
     first = 0
     while first < len(ids):
@@ -257,8 +258,7 @@ def _render(words: int, body: bytes, packs: list[bytes], pieces: list[str]) -> I
         upto = np.r_[0, np.cumsum(n[p])]
         edges = np.r_[0, ends[first:last] - base]
         lists = pa.ListArray.from_arrays(pa.array(upto[edges].astype(np.int32)), pa.array(tokens, pa.int32()))
-        p, edges = p.tolist(), edges.tolist()
-        decoded = [" ".join([texts[i] for i in p[a:z]]) for a, z in zip(edges, edges[1:])]
+        decoded = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, pieces.take(lists.values)), " ")
         keys = pa.array(ids[first:last], mask=nulls[first:last].astype(bool))
-        yield pa.RecordBatch.from_arrays([keys, lists, pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
+        yield pa.RecordBatch.from_arrays([keys, lists, decoded], ["id", "ids", "decoded"])
         first = last

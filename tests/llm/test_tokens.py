@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from silverleaf.llm import bpe, token_counts
 
@@ -42,7 +43,7 @@ def test_encoding_and_decoding_are_the_librarys(spark, docs):
 def test_blocks_without_their_words_fail():
     body = bpe._dump(np.array([1], np.uint64), np.zeros(1, np.uint8), np.ones(1, np.uint32), np.zeros(1, np.uint32))
     with pytest.raises(RuntimeError):
-        list(bpe._render(1, body, [], []))
+        list(bpe._render(1, body, [], pa.array([], pa.string())))
 
 
 @pytest.mark.parametrize("chunk, overlap", [(1 << 16, 256), (50, 4), (7, 2)])
@@ -57,6 +58,20 @@ def test_counts_are_the_librarys_however_texts_are_cut(spark, docs, chunk, overl
         assert (got[r["doc_id"]]["n_tokens"], got[r["doc_id"]]["n_bytes"], got[r["doc_id"]]["over_limit"]) == (n, len((r["text"] or "").encode()), n > 100)
 
 
+def test_counts_of_huge_texts_are_the_librarys(spark):
+    """Texts of several chunks of the usual size, one of them without a boundary for long."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(11)
+    known = [r["text"] for r in table(spark, "documents").select("text").collect() if r["text"]]
+    huge = [" ".join(rng.choices(known, k=150)), "".join(rng.choices(ODD, k=150_000)), " ".join(known)[:100_000] + "a" * 40_000 + " " + " ".join(known)[:60_000], "日本語。" * 30_000]
+    assert all(len(t) > 65_536 + 256 for t in huge)
+    docs = spark.createDataFrame(list(enumerate(huge)), "doc_id long, text string")
+    got = {r["id"]: (r["n_tokens"], r["n_bytes"]) for r in token_counts.count_tokens(docs).collect()}
+    assert got == {k: (len(sp.encode(t)), len(t.encode())) for k, t in enumerate(huge)}
+
+
 def test_cuts_overlap_and_widen():
     pieces = token_counts.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
     assert token_counts.cut(pieces, "a" * 1000, 100, 10) == [(0, 1000, 0, 1000)]  # no boundary is proven
