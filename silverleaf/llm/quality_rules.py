@@ -1,7 +1,8 @@
 """Quality rules: base counts, then a hashed n-gram log-likelihood ratio.
 
-All of it is DataFrame functions. Single words and word pairs are hashed into a fixed
-number of buckets; two multinomials are counted, one over documents that are trusted
+All of it is DataFrame functions. Each word is hashed once; single words and word pairs
+go by these hashes into a fixed number of buckets (as is usual for such ratios: rare
+n-grams share buckets, and a ratio says something only about what is frequent); two multinomials are counted, one over documents that are trusted
 (label quality = 1), one over every document. A document's score is the mean over its
 n-grams of log p_trusted - log p_corpus, and every document is held against one fixed
 threshold, so equal texts always get equal verdicts.
@@ -35,17 +36,17 @@ def _words(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, WORD_SPACE))
 
 
-def _unit(x: Column) -> Column:
-    return F.pmod(F.xxhash64(x), F.lit(BUCKETS))
+def _unit(h: Column) -> Column:
+    return F.pmod(h, F.lit(BUCKETS))
 
 
-def _pair(x: Column, y: Column) -> Column:
-    return F.pmod(F.xxhash64(x, y), F.lit(BUCKETS))
+def _pair(h: Column, g: Column) -> Column:
+    return F.pmod(F.xxhash64(h, g), F.lit(BUCKETS))
 
 
 def with_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.select("id", "text", _words(F.col("text")).alias("w")).select("id", "text", "w", F.size("w").alias("n"))
+    return rows.select("id", "text", _words(F.col("text")).alias("w")).select("id", "text", "w", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,8 +56,8 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL").join(known, F.col("id") == F.col("tid"), "left")
     others = docs.filter(F.col(id_col).isNull()).select(F.col(text_col).alias("text"), F.lit(False).alias("t"))
     rows = with_words(named.select("text", F.col("tid").isNotNull().alias("t")).unionByName(others), "t", "text")
-    units = F.transform("w", _unit)
-    pairs = F.transform(F.slice("w", 1, F.greatest(F.col("n") - 1, F.lit(0))), lambda x, i: _pair(x, F.get("w", i + 1)))
+    units = F.transform("h", _unit)
+    pairs = F.transform(F.slice("h", 1, F.greatest(F.col("n") - 1, F.lit(0))), lambda x, i: _pair(x, F.get("h", i + 1)))
     grams = rows.select(F.col("id").alias("t"), F.explode(F.concat(units, pairs)).alias("bucket"))
     return grams.groupBy("bucket").agg(F.count("*").alias("corpus"), F.count_if("t").alias("trusted"))
 
@@ -88,10 +89,10 @@ def score(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, id
     """
     weights = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
     rows = with_words(docs, id_col, text_col)
-    n, w = F.col("n"), F.col("w")
+    n, w, h = F.col("n"), F.col("w"), F.col("h")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    windows = F.transform(F.slice(w, 1, F.greatest(n - (WINDOW - 1), F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
-    each = F.transform(w, lambda x, i: F.get(weights, _unit(x)) + F.when(i + 1 < n, F.get(weights, _pair(x, F.get(w, i + 1)))).otherwise(0.0))
+    windows = F.transform(F.slice(h, 1, F.greatest(n - (WINDOW - 1), F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))
+    each = F.transform(h, lambda x, i: F.get(weights, _unit(x)) + F.when(i + 1 < n, F.get(weights, _pair(x, F.get(h, i + 1)))).otherwise(0.0))
     made = rows.select(
         "id",
         n.cast("long").alias("n_words"),
