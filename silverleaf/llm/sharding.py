@@ -64,7 +64,7 @@ def place(docs: DataFrame, names: list[str] | None = None, size: int = TABLE_SIZ
     """
     key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     rows = docs.select(F.col(id_col).alias("id"), slot_of(key, size).alias("slot"))
-    table = lookup_table(docs.sparkSession, names or shard_names(SHARDS), size)
+    table = lookup_table(docs.sparkSession, shard_names(SHARDS) if names is None else names, size)
     return rows.join(F.broadcast(table), "slot").select("id", "slot", "shard")
 
 

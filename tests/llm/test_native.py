@@ -49,6 +49,8 @@ def test_placement_is_the_tables(spark):
         if r["id"] is not None:
             assert r["slot"] == int(hashlib.md5(str(r["id"]).encode()).hexdigest()[:15], 16) % sharding.TABLE_SIZE
     assert sharding.place(empty(spark)).count() == 0
+    with pytest.raises(ValueError):
+        sharding.place(empty(spark), [])
 
 
 def test_base_counts_equal_brute_force(spark):
@@ -72,8 +74,8 @@ def test_log_ratios_equal_brute_force(spark):
 
     words = sorted({w for ws in texts.values() for w in ws})
     pairs = sorted({p for ws in texts.values() for p in zip(ws, ws[1:])})
-    unit = {r[0]: r[1] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", rules._unit(F.col("w"))).collect()}
-    pair = {(r[0], r[1]): r[2] for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", rules._pair(F.col("a"), F.col("b"))).collect()}
+    unit = {r[0]: r[1] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", rules._unit(F.xxhash64("w"))).collect()}
+    pair = {(r[0], r[1]): r[2] for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", rules._pair(F.xxhash64("a"), F.xxhash64("b"))).collect()}
     grams = {d: [unit[w] for w in ws] + [pair[p] for p in zip(ws, ws[1:])] for d, ws in texts.items()}
     corpus = Counter(g for gs in grams.values() for g in gs)
     trusted = Counter(g for d in good for g in grams.get(d, []))
