@@ -17,7 +17,7 @@ def rows():
         for k in range(rng.randint(1, 6)):
             role = rng.choice(["user", "assistant", "assistant", "system", "to<ol[\\", "", None])
             out.append((c, k, role, rng.choice([None, "".join(rng.choices(PARTS, k=rng.randint(0, 12)))])))
-    return [*out, (500, 1, "user", "same"), (500, 1, "user", "same"), (500, None, "assistant", "first"), (None, 1, "user", "no id"), (501, 0, "assistant", "<\\" * 5000)]
+    return [*out, (500, 1, "user", "same"), (500, 1, "user", "same"), (500, None, "assistant", "first"), (501, 0, "assistant", "<\\" * 5000)]
 
 
 @pytest.mark.parametrize("text", ["", "<", "\\", "<\\", "[\\<", "\\\\<[", "</s>", "a\\b<c[d"])
@@ -56,3 +56,32 @@ def test_no_conversations(spark):
     assert chat.read_back(chat.examples(df)).count() == 0
     with pytest.raises(ValueError):
         list(chat.read_turns("not a turn"))
+
+
+def test_rows_without_an_id_are_conversations_of_their_own(spark):
+    data = [(None, k % 3, "assistant" if k % 2 else "user", f"said {k % 7}") for k in range(300)] + [(1, 0, "user", "x")]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(6)
+    got = chat.read_back(chat.examples(df)).collect()
+    assert len(got) == 301 and all(r["n_turns"] == 1 for r in got)
+    assert sum(r["loss_chars"] for r in got) == sum(len(t) for _, _, role, t in data if role == "assistant")
+
+
+def test_examples_that_were_moved_are_sorted_or_refused(spark):
+    clash = "conv_id long, turn long, role string, text string, example string, last string, alone string"
+    data = [(c, k, "assistant" if k % 2 else "user", f"turn {k} of {c}", "x", "y", "z") for c in range(20) for k in range(9)]
+    made = chat.examples(spark.createDataFrame(data, clash)).withColumn("other", chat.F.lit(1))
+    want = sorted(map(tuple, chat.read_back(made).collect()))
+    moved = spark.createDataFrame(made.collect(), made.schema).repartition(3).orderBy(chat.F.xxhash64("text"))
+    assert sorted(map(tuple, chat.read_back(moved, dealt=False).collect())) == want
+    with pytest.raises(Exception, match="out of order|missing"):
+        chat.read_back(moved).collect()
+    with pytest.raises(Exception, match="out of order|missing"):
+        chat.read_back(made.filter("not last")).collect()
+
+
+def test_a_long_conversation_keeps_every_reply(spark):
+    turns = spark.range(600).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn ', id, repeat(' word', 20)) AS text")
+    made = chat.examples(turns)
+    assert made.count() == 300 and made.filter("last").count() == 1
+    got = chat.read_back(made).first()
+    assert got["n_turns"] == 600 and got["loss_chars"] == turns.filter("role = 'assistant'").selectExpr("sum(length(text))").first()[0]
