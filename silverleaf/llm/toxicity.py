@@ -100,43 +100,51 @@ class _Bags:
         for r, text in enumerate(texts):
             bag = Counter(words(text))
             self.sizes[r] = n = sum(bag.values())
-            rows.append(np.full(len(bag), r))
-            cols.append(np.fromiter((place.setdefault(w, len(place)) for w in bag), np.int64, len(bag)))
+            rows.append(np.full(len(bag), r, np.int32))
+            cols.append(np.fromiter((place.setdefault(w, len(place)) for w in bag), np.int32, len(bag)))
             shares.append(np.fromiter(bag.values(), np.float64, len(bag)) / (n + PAD))
-        self.row, self.col, self.share = (np.concatenate(x) if x else np.zeros(0) for x in (rows, cols, shares))
-        grams = [buckets(w) for w in place]
-        self.each = np.fromiter(map(len, grams), np.int64, len(grams))
-        self.gram = np.fromiter((b for g in grams for b in g), np.int64, int(self.each.sum()))
-        self.start = np.cumsum(self.each) - self.each
+        self.row, self.col, self.share = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((rows, np.int32), (cols, np.int32), (shares, np.float64)))
+        self.each = np.fromiter((sum(len(w) + 3 - n for n in range(SHORTEST, LONGEST + 1) if n <= len(w) + 2) + 1 for w in place), np.int64, len(place))
+        self.gram = np.fromiter((b for w in place for b in buckets(w)), np.int32, int(self.each.sum()))
+        self.word = np.repeat(np.arange(len(place), dtype=np.int32), self.each)
+        self.known = BUCKETS  # n-grams are numbered below this
 
     def moments(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each n-gram: how many texts have it, and the weighted mean square of its share of a text."""
-        texts, square = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS)
+        texts, square = np.zeros(self.known, np.int64), np.zeros(self.known)
+        start = np.cumsum(self.each) - self.each
         edges = np.searchsorted(self.row, np.arange(len(self.sizes) + 1))
         for r in np.flatnonzero(weight):
-            at = self.col[edges[r] : edges[r + 1]].astype(np.int64)
+            at = self.col[edges[r] : edges[r + 1]]
             each = self.each[at]
-            grams, place = np.unique(self.gram[_spans(self.start[at], each)], return_inverse=True)
+            grams, place = np.unique(self.gram[_spans(start[at], each)], return_inverse=True)
             share = np.bincount(place, np.repeat(self.share[edges[r] : edges[r + 1]] / each, each))
             texts[grams] += 1
             square[grams] += weight[r] * share * share
         return texts, square
 
+    def keep(self, grams: np.ndarray) -> None:
+        """Number these n-grams from 0 and forget the others; a word's mean stays over all it has."""
+        place = np.full(self.known, -1, np.int32)
+        place[grams] = np.arange(len(grams), dtype=np.int32)
+        place = place[self.gram]
+        kept = place >= 0
+        self.gram, self.word, self.known = place[kept], self.word[kept], len(grams)
+
     def pulls(self, r: np.ndarray) -> np.ndarray:
         """Of each n-gram: the sum of its shares of the texts, each times the text's number."""
-        of_word = np.bincount(self.col.astype(np.int64), r[self.row.astype(np.int64)] * self.share, len(self.each)) / self.each
-        return np.bincount(self.gram, np.repeat(of_word, self.each), BUCKETS)
+        of_word = np.bincount(self.col, r[self.row] * self.share, len(self.each)) / self.each
+        return np.bincount(self.gram, of_word[self.word], self.known)
 
     def entries(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, learned n-gram, share of the text's mean) of the n-grams with a place."""
-        word = np.repeat(np.arange(len(self.each)), self.each)
-        kept = np.flatnonzero(place[self.gram] >= 0)
-        word, gram = word[kept], place[self.gram[kept]]
-        lo = np.searchsorted(word, np.arange(len(self.each)))
+        gram = place[self.gram]
+        kept = np.flatnonzero(gram >= 0)
+        word, gram = self.word[kept], gram[kept]
         n = np.bincount(word, minlength=len(self.each))
-        at = self.col.astype(np.int64)
-        spans = _spans(lo[at], n[at])
-        return np.repeat(self.row.astype(np.int64), n[at]), gram[spans], np.repeat(self.share / self.each[at], n[at])
+        lo = np.cumsum(n) - n
+        spans = _spans(lo[self.col], n[self.col])
+        return np.repeat(self.row, n[self.col]), gram[spans], np.repeat(self.share / self.each[self.col], n[self.col])
 
 
 def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -161,22 +169,23 @@ def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS, steps: int =
         return ToxicityModel({}, float(np.log(share / (1 - share))) if ones else -10.0)
     weight = np.where(y == 1, 0.5 / ones, 0.5 / zeros) * use  # each label weighs as much as the other
     there, square = bags.moments(weight)
-    known = there >= min(MIN_TEXTS, ones)
-    scale = np.where(known, 1 / np.sqrt(np.maximum(square, 1e-300)), 0.0)  # embeddings are of shares of one size
+    kept = np.flatnonzero(there >= min(MIN_TEXTS, ones))
+    bags.keep(kept)
+    scale = 1 / np.sqrt(np.maximum(square[kept], 1e-300))  # embeddings are of shares of one size
     pull = np.abs(bags.pulls(weight * (0.5 - y))) * scale
-    noise = np.sqrt(0.25 * float((weight**2).sum()) * 2 * np.log(max(2, int(known.sum()))))
+    noise = np.sqrt(0.25 * float((weight**2).sum()) * 2 * np.log(max(2, len(kept))))
     penalty = min(PENALTY * noise, PENALTY_BOUND * float(pull.max(initial=0.0)))
 
     rng = np.random.default_rng(seed)
     side = rng.normal(size=DIM)
     side /= np.linalg.norm(side)  # the softmax's weights are -side / 2 and side / 2, of fixed length
-    table, bias = np.zeros((BUCKETS, DIM)), 0.0
-    active = np.zeros(BUCKETS, bool)
+    table, bias = np.zeros((len(kept), DIM)), 0.0
+    active = np.zeros(len(kept), bool)
     r = weight * (1 / (1 + np.exp(-bias)) - y)
     for k in range(rounds):
         last = k + 1 == rounds
         if not last:
-            fresh = known & ~active & (np.abs(bags.pulls(r)) * scale > penalty * 1.01)
+            fresh = ~active & (np.abs(bags.pulls(r)) * scale > penalty * 1.01)
             active |= fresh
             last = not fresh.any()
         if last:  # what is not zero by now, almost freely
@@ -187,12 +196,12 @@ def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS, steps: int =
         if last:
             break
     final = (table @ side) * scale
-    return ToxicityModel({int(b): float(final[b]) for b in np.flatnonzero(final)}, float(bias))
+    return ToxicityModel({int(kept[k]): float(final[k]) for k in np.flatnonzero(final)}, float(bias))
 
 
 def _steps(bags: _Bags, learned: np.ndarray, scale: np.ndarray, table: np.ndarray, side: np.ndarray, bias: float, weight: np.ndarray, y: np.ndarray, penalty: float, decay: float, steps: int) -> tuple[np.ndarray, float, np.ndarray]:
     """Fit the learned n-grams' rows of the table, the softmax's side and bias; then also each text's pull."""
-    place = np.full(BUCKETS, -1, np.int64)
+    place = np.full(len(scale), -1, np.int64)
     place[learned] = np.arange(len(learned))
     row, col, share = bags.entries(place)
     share = share * scale[learned][col]
