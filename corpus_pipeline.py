@@ -49,10 +49,22 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written to the shared folder and read again."""
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
+    """All stages over documents; each is written to the shared folder and read again.
+
+    A stage's folder goes when the next has been written; the last one, which the result
+    reads, when the session's JVM ends. Awkward rows are as the stages' operators say:
+    null and empty texts have no language and go in the first; of rows that repeat, with
+    an id or without, one stays; an empty table gives an empty result. Columns other than
+    doc_id and text are carried along, whatever their names.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(folder)
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        there = f"{folder.toString()}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(there)
+        if before:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(before), True)
+        docs, before = spark.read.parquet(there), there
     return STAGES[-1][1](spark, docs, sf_dir)
