@@ -13,51 +13,51 @@ from . import schema
 class Library:
     """Tables under one folder of any file system that Spark reads.
 
-    A table is a folder of snapshots; ``_current`` names the one in force. A write makes a
-    new snapshot and then replaces the name, so readers see the old table or the new one,
-    a failed job leaves the old one, and a plan may read the table that it rewrites.
+    A table is a folder of snapshots and of empty marker files, each named with a number
+    and the snapshot that it put in force; the highest number counts. A write makes a new
+    snapshot and then its marker, in one step that is done or not, so readers see the old
+    table or the new one, a failed job leaves the old one, and a plan may read the table
+    that it rewrites. Of two writers at once the second fails and can try again.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.listeners: list[Callable[[str], None]] = []
-        stored = self._text("_schema_version")
+        stored = self._current("_schema")
         if stored is None:
-            self._put("_schema_version", str(schema.SCHEMA_VERSION))
+            self._mark("_schema", str(schema.SCHEMA_VERSION))
         elif int(stored) != schema.SCHEMA_VERSION:
-            names = [t for t in schema.TABLES if self._text(f"{t}/_current")]
+            names = [t for t in schema.TABLES if self._current(t)]
             for name, df in schema.migrate({t: self._stored(t) for t in names}, int(stored)).items():
                 self.write(name, df)
-            self._put("_schema_version", str(schema.SCHEMA_VERSION))
+            self._mark("_schema", str(schema.SCHEMA_VERSION))
 
     def _path(self, name: str):
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _text(self, name: str) -> str | None:
-        fs, path = self._path(name)
-        if not fs.exists(path):
-            return None
-        stream = fs.open(path)
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
-        finally:
-            stream.close()
-
-    def _put(self, name: str, text: str) -> None:
-        fs, path = self._path(name)
-        stream = fs.create(path, True)
-        try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
+    def _markers(self, name: str) -> list[tuple[int, str]]:
+        """(number, snapshot) of every marker in order; the snapshot is empty where a number was only claimed."""
+        fs, path = self._path(f"{name}/_markers")
+        found = [s.getPath().getName().partition(".") for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted((int(n), snapshot) for n, _, snapshot in found)
+
+    def _current(self, name: str) -> str | None:
+        return next((snapshot for _, snapshot in reversed(self._markers(name)) if snapshot), None)
+
+    def _mark(self, name: str, snapshot: str) -> None:
+        number = max((n for n, _ in self._markers(name)), default=0) + 1
+        fs, claim = self._path(f"{name}/_markers/{number:012d}")
+        if not fs.createNewFile(claim):
+            raise RuntimeError(f"{name} is being written by someone else")
+        fs.createNewFile(self._path(f"{name}/_markers/{number:012d}.{snapshot}")[1])
 
     def _stored(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{table}/{self._text(f'{table}/_current')}")
+        return self.spark.read.parquet(f"{self.root}/{table}/{self._current(table)}")
 
     def read(self, table: str) -> DataFrame:
-        current = self._text(f"{table}/_current")
+        current = self._current(table)
         if current is None:
             return self.spark.createDataFrame([], schema.struct(table))
         return self.spark.read.schema(schema.struct(table)).parquet(f"{self.root}/{table}/{current}")
@@ -68,15 +68,18 @@ class Library:
         if table in schema.PARTITIONS:
             writer = writer.partitionBy(*schema.PARTITIONS[table])
         writer.parquet(f"{self.root}/{table}/{name}")
-        self._put(f"{table}/_current", name)
+        self._mark(table, name)
         for tell in self.listeners:  # caches built from the table are stale now
             tell(table)
 
     def vacuum(self, table: str) -> None:
-        """Remove the snapshots that are no longer in force."""
+        """Remove the snapshots that are no longer in force, and their markers."""
         fs, path = self._path(table)
-        current = self._text(f"{table}/_current")
-        if fs.exists(path):
-            for status in fs.listStatus(path):
-                if status.getPath().getName() not in (current, "_current"):
-                    fs.delete(status.getPath(), True)
+        markers = [m for m in self._markers(table) if m[1]]
+        if not markers:
+            return
+        for status in fs.listStatus(path):
+            if status.getPath().getName() not in (markers[-1][1], "_markers"):
+                fs.delete(status.getPath(), True)
+        for number, snapshot in markers[:-1]:
+            fs.delete(self._path(f"{table}/_markers/{number:012d}.{snapshot}")[1], False)

@@ -29,11 +29,11 @@ def thumbnail_path(asset_id: Column) -> Column:
     return F.format_string("thumbs/%04d/%d.jpg", F.floor(asset_id / 1000), asset_id)
 
 
-def slug(name: Column) -> Column:
-    """A folder name: safe characters of the name, at most 48, and 12 digits of its hash."""
+def slug(name: Column, hashed: Column | None = None) -> Column:
+    """A folder name: safe characters of the name, at most 48, and 12 digits of the hash of it or of what is given."""
     safe = F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "-")
     trimmed = F.regexp_replace(safe, r"^[.\-_]+|[.\-_]+$", "")
-    return F.concat_ws("-", F.substring(trimmed, 1, 48), F.substring(F.sha2(name, 256), 1, 12))
+    return F.concat_ws("-", F.substring(trimmed, 1, 48), F.substring(F.sha2(name if hashed is None else hashed, 256), 1, 12))
 
 
 def year_utc(seconds: Column) -> Column:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import exif as exif_blocks
 from ..functions import images
 from ..functions.vectors import MIN_NORM
 from . import scoring
@@ -55,7 +56,8 @@ def thumbnails(rows: DataFrame) -> DataFrame:
 
 
 def exif(rows: DataFrame) -> DataFrame:
-    return _each(rows, images.exif_json, "exif", "string")
+    """(asset_id, exif): the EXIF fields of images that have any, as JSON."""
+    return _each(rows, exif_blocks.document, "exif", "string")
 
 
 class SimpleScorer(scoring.Scorer):

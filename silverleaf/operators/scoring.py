@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clamp, rescale
 from ..functions.vectors import dot, softmax_first, unit
+from ..lineage import checkpoint
 from .browse import without_score
 from .dml import upsert_scores
 
@@ -136,13 +137,14 @@ def run_scorer(scorer: type[Scorer], assets: DataFrame, scores: DataFrame, input
     """(new scores table, targets, scored ids).
 
     Targets lack the variant's key metric in the scorer's version; with skip_existing
-    off they are all assets. inputs has asset_id and whatever the scorer reads; targets
+    off they are all assets. The model runs once, and its rows are kept in the checkpoint
+    folder for the three results. inputs has asset_id and whatever the scorer reads; targets
     without an input are seen but not scored.
     """
     v = scorer.spec.variant(variant_id)
     ids = without_score(assets, scores, scorer.spec.scorer_id, v.variant_id, v.key_metric, scorer.spec.version) if skip_existing else assets.select("id")
-    targets = ids.select(F.col("id").alias("asset_id"))
-    rows = score_rows(scorer, inputs.join(targets, "asset_id", "left_semi"), v.variant_id, batch_size)
+    targets = checkpoint(ids.select(F.col("id").alias("asset_id")))
+    rows = checkpoint(score_rows(scorer, inputs.join(targets, "asset_id", "left_semi"), v.variant_id, batch_size))
     return upsert_scores(scores, rows, scorer.spec.scorer_id, v.variant_id, scorer.spec.version, now), targets, rows.select("asset_id").distinct()
 
 

@@ -1,83 +1,66 @@
-"""The registry of known libraries and of tuning settings: one small JSON document."""
+"""Known libraries and tuning settings, each a log of Parquet rows; the latest row counts.
+
+Nothing is ever rewritten: opening a library or changing a setting adds a row, so two
+sessions can do so at once and a job that dies leaves the log as it was.
+"""
 
 from __future__ import annotations
 
-import hashlib
-import json
-import re
 from datetime import UTC, datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import basename, slug
 
 #: Accelerators, batch sizes that may be chosen, and defaults.
 ACCELERATORS = ("auto", "onnx", "torch", "tensorrt")
 BATCH_SIZES = (64, 96, 128, 160)
 DEFAULTS = {"accelerator": "torch", "batch_size": 128, "half_precision": True}
 
-
-def library_id(root: str) -> str:
-    """A safe name of the folder and 12 digits of the whole path's hash."""
-    name = re.sub(r"[^A-Za-z0-9._-]+", "-", root.rstrip("/").rsplit("/", 1)[-1]).strip(".-_")
-    return f"{name[:48] or 'library'}-{hashlib.sha256(root.encode()).hexdigest()[:12]}"
+OPENED = "id string, name string, root string, tables string, last_opened_at timestamp"
+CHANGED = "key string, value string, at timestamp"
+#: What a stored value must be, and how it is read.
+_READ = {"accelerator": {a: a for a in ACCELERATORS}, "batch_size": {str(n): n for n in BATCH_SIZES}, "half_precision": {"true": True, "false": False}}
 
 
 class Registry:
-    """Reads and replaces the document through Spark's file systems; a missing or broken one is empty."""
+    """The two logs under one folder."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def _file(self):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
-
-    def _load(self) -> dict:
-        fs, at = self._file()
-        if not fs.exists(at):
-            return {}
-        stream = fs.open(at)
-        try:
-            found = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        except ValueError:
-            return {}
-        finally:
-            stream.close()
-        return found if isinstance(found, dict) else {}
-
-    def _save(self, data: dict) -> None:
-        fs, at = self._file()
-        stream = fs.create(at, True)
-        try:
-            stream.write(bytearray(json.dumps(data, indent=2).encode()))
-        finally:
-            stream.close()
-
-    def open(self, root: str, tables: str, now: datetime | None = None) -> dict:
-        """Remember a library as the current one."""
-        data = self._load()
-        record = {"id": library_id(root), "name": root.rstrip("/").rsplit("/", 1)[-1], "root": root, "tables": tables, "last_opened_at": (now or datetime.now(UTC)).isoformat()}
-        data["libraries"] = [r for r in self.libraries() if r.get("id") != record["id"]] + [record]
-        data["current"] = record["id"]
-        self._save(data)
-        return record
-
-    def libraries(self) -> list[dict]:
-        """Known libraries, the last opened first."""
-        found = self._load().get("libraries")
-        records = [r for r in found if isinstance(r, dict)] if isinstance(found, list) else []
-        return sorted(records, key=lambda r: r.get("last_opened_at", ""), reverse=True)
+        self.spark, self.path = spark, path.rstrip("/")
 
-    def settings(self) -> dict:
-        """Tuning settings; values that can't be used are replaced by their defaults."""
-        raw = self._load().get("settings")
-        raw = raw if isinstance(raw, dict) else {}
-        good = {"accelerator": raw.get("accelerator") in ACCELERATORS, "batch_size": raw.get("batch_size") in BATCH_SIZES, "half_precision": isinstance(raw.get("half_precision"), bool)}
-        return {k: raw[k] if ok else DEFAULTS[k] for k, ok in good.items()}
+    def _log(self, name: str, schema: str) -> DataFrame:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+    def open(self, root: str, tables: str, now: datetime | None = None) -> None:
+        """Remember that a library was opened."""
+        name = basename(F.rtrim(F.lit(root), F.lit("/")))
+        row = self.spark.range(1).select(slug(name, F.lit(root)).alias("id"), name.alias("name"), F.lit(root).alias("root"), F.lit(tables).alias("tables"), F.lit(now or datetime.now(UTC)).alias("last_opened_at"))
+        row.write.mode("append").parquet(f"{self.path}/opened")
+
+    def libraries(self) -> DataFrame:
+        """Known libraries by their latest opening, the last opened first; the first is the current one."""
+        return latest(self._log("opened", OPENED), "id", "last_opened_at").orderBy(F.desc("last_opened_at"), "id")
 
     def set(self, **values) -> dict:
-        if values.get("accelerator", "auto") not in ACCELERATORS or values.get("batch_size", 64) not in BATCH_SIZES or set(values) - set(DEFAULTS):
+        """Change settings; a value that can't be used is an error."""
+        stored = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in values.items()}
+        if any(v not in _READ.get(k, ()) for k, v in stored.items()):
             raise ValueError(f"not to be set: {values}")
-        data = self._load()
-        data["settings"] = self.settings() | values
-        self._save(data)
+        rows = self.spark.createDataFrame([(k, v, datetime.now(UTC)) for k, v in stored.items()], CHANGED)
+        rows.write.mode("append").parquet(f"{self.path}/settings")
         return self.settings()
+
+    def settings(self) -> dict:
+        """Tuning settings; what is not set, or can't be used, has its default."""
+        held = {r["key"]: r["value"] for r in latest(self._log("settings", CHANGED).filter(F.col("key").isin(*DEFAULTS)), "key", "at").collect()}
+        return {k: _READ[k].get(held.get(k), default) for k, default in DEFAULTS.items()}
+
+
+def latest(log: DataFrame, key: str, at: str) -> DataFrame:
+    """The last row of each key."""
+    return log.groupBy(key).agg(F.max_by(F.struct(*log.columns), at).alias("row")).select("row.*")

@@ -157,8 +157,13 @@ def test_library_snapshots_and_listens(spark, tmp_path):
     lib.write("albums", lib.read("albums").withColumn("name", F.lit("b")))  # reads the table that it replaces
     lib.vacuum("albums")
     assert rows(Library(spark, f"file://{tmp_path}/lib").read("albums"), "id", "name") == [(1, "b")]
-    assert told == ["albums", "albums"]
-    lib._put("_schema_version", "7")
+    assert told == ["albums"] * 2
+    fs, claim = lib._path("albums/_markers/000000000003")
+    assert fs.createNewFile(claim)  # a writer that died before it was done, or is still at it
+    assert rows(lib.read("albums"), "id", "name") == [(1, "b")]
+    lib.write("albums", lib.read("albums").withColumn("name", F.lit("c")))
+    assert rows(lib.read("albums"), "id", "name") == [(1, "c")] and lib._markers("albums")[-1][0] == 4
+    lib._mark("_schema", "7")
     with pytest.raises(schema.SchemaMismatch):
         Library(spark, f"file://{tmp_path}/lib")
 
@@ -462,17 +467,19 @@ def test_sidecar_stream_reads_each_file_once(spark, tree):
 def test_registry(spark, tmp_path):
     from datetime import UTC, datetime
 
-    from silverleaf.plans.registry import DEFAULTS, Registry, library_id
+    from silverleaf.plans.registry import CHANGED, DEFAULTS, Registry
 
-    reg = Registry(spark, f"file://{tmp_path}/registry.json")
-    assert reg.libraries() == [] and reg.settings() == DEFAULTS
-    for k, root in enumerate(["/photos/My Trip!", "/photos/b", "/photos/My Trip!"]):
+    reg = Registry(spark, f"file://{tmp_path}/registry/")
+    assert reg.libraries().isEmpty() and reg.settings() == DEFAULTS
+    for k, root in enumerate(["/photos/My Trip!", "/photos/b/", "/other/b", "/photos/My Trip!"]):
         reg.open(root, f"{root}/lib", datetime(2024, 1, 1 + k, tzinfo=UTC))
-    assert [r["name"] for r in reg.libraries()] == ["My Trip!", "b"]
-    assert library_id("/photos/My Trip!").startswith("My-Trip-")
-    assert reg.set(batch_size=64)["batch_size"] == 64 and len(reg.libraries()) == 2
-    with pytest.raises(ValueError):
-        reg.set(batch_size=7)
-    (tmp_path / "registry.json").write_text('{"settings": {"batch_size": "x", "accelerator": "onnx"}, "libraries": 3}')
-    (tmp_path / ".registry.json.crc").unlink(missing_ok=True)
-    assert reg.libraries() == [] and reg.settings() == DEFAULTS | {"accelerator": "onnx"}
+    found = reg.libraries().collect()
+    assert [r["name"] for r in found] == ["My Trip!", "b", "b"] and len({r["id"] for r in found}) == 3
+    assert found[0]["id"].startswith("My-Trip-") and found[0]["last_opened_at"].day == 4
+    assert reg.set(batch_size=64, half_precision=False) == DEFAULTS | {"batch_size": 64, "half_precision": False} and reg.libraries().count() == 3
+    for bad in ({"batch_size": 7}, {"other": 1}, {"accelerator": None}):
+        with pytest.raises(ValueError):
+            reg.set(**bad)
+    later = [("batch_size", "x", datetime(2099, 1, 1)), ("accelerator", "onnx", datetime(2099, 1, 1)), ("unheard", "1", datetime(2099, 1, 1))]
+    spark.createDataFrame(later, CHANGED).write.mode("append").parquet(f"{tmp_path}/registry/settings")
+    assert reg.settings() == DEFAULTS | {"accelerator": "onnx", "half_precision": False}

@@ -59,6 +59,56 @@ def test_decoding_and_hashing():
     assert flat == pytest.approx({"edge_variance": 0, "mean_luma": 100, "luma_deviation": 0, "residual_rms": 0}, abs=1e-6)
 
 
+def tiff(order, exif=True):
+    """A block of three directories, with a text, numbers, a fraction and raw bytes."""
+    import struct
+
+    fixed, heap = [], b""
+    where = lambda n: 8 + sum(2 + 12 * len(d) + 4 for d in fixed[:n])
+    main = [(0x010F, 2, 5, b"Acme\0"), (0x0112, 3, 1, struct.pack(order + "H", 6)), (0x011A, 5, 1, struct.pack(order + "II", 72, 1)), (0xEEEE, 9, 2, struct.pack(order + "ii", -1, 5)), (0x0110, 2, 9, None)]
+    sub = [(0x829A, 5, 1, struct.pack(order + "II", 1, 4)), (0x9286, 7, 3, b"\xe9\xe8 "), (0x9000, 7, 4, b"0230")]
+    gps = [(1, 2, 2, b"N\0"), (2, 5, 3, struct.pack(order + "6I", 48, 1, 30, 2, 0, 0))]
+    fixed = [main + ([(0x8769, 4, 1, 1), (0x8825, 4, 1, 2)] if exif else []), sub, gps]
+    start = where(3)
+    out = b""
+    for d in fixed:
+        out += struct.pack(order + "H", len(d))
+        for tag, kind, count, value in d:
+            if isinstance(value, int):
+                value = struct.pack(order + "I", where(value))
+            if value is None:  # points outside the block
+                out += struct.pack(order + "HHII", tag, kind, count, 1 << 30)
+            elif len(value) <= 4:
+                out += struct.pack(order + "HHI", tag, kind, count) + value.ljust(4, b"\0")
+            else:
+                out += struct.pack(order + "HHII", tag, kind, count, start + len(heap))
+                heap += value
+        out += bytes(4)
+    return (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8) + out + heap
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_exif_of_every_container(spark, order):
+    import json
+
+    from silverleaf.functions import exif
+
+    want = {
+        "Make": "Acme", "Orientation": 6, "XResolution": 72.0, "0xeeee": [-1, 5],
+        "ExifIFD": {"ExposureTime": 0.25, "UserComment": "éè ", "ExifVersion": "0230"}, "GPSIFD": {"GPSLatitudeRef": "N", "GPSLatitude": [48.0, 15.0, 0.0]},
+    }
+    raw = tiff(order)
+    jpeg = b"\xff\xd8\xff\xe0\0\x06abcd\xff\xe1" + (len(raw) + 8).to_bytes(2, "big") + b"Exif\0\0" + raw + b"\xff\xda"
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\x02IHDRxxcrcc" + len(raw).to_bytes(4, "big") + b"eXIf" + raw
+    for data in (raw, jpeg, png):
+        assert json.loads(exif.document(data)) == want
+    assert "ExifIFD" not in exif.document(tiff(order, False))
+    for data in (None, b"", b"\xff\xd8", raw[:20], raw[:60], b"II*\0" + bytes(3), picture(1)):
+        exif.document(data)  # never fails
+    rows = spark.createDataFrame([(1, jpeg), (2, b"broken"), (3, None)], "asset_id long, content binary")
+    assert [(r["asset_id"], json.loads(r["exif"])) for r in media.exif(rows).collect()] == [(1, want)]
+
+
 def test_hash_cluster_and_export(library, spark):
     lib, root, tmp = library
     for _ in range(2):  # the second run finds nothing missing
