@@ -318,8 +318,9 @@ def face_clusters(faces: DataFrame, method: str = "hdbscan", eps: float = 0.5, m
 
     own = found.join(vecs, "asset_id")
     near = own.join(centroids(own, "cluster_id"), "cluster_id").select("cluster_id", "asset_id", (1 - vectors.dot(vectors.unit(F.col("embedding")), F.col("centroid"))).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy("distance", "asset_id"))
-    return near.select("cluster_id", F.col("asset_id").alias("face_id"), "distance", (rank == 1).alias("is_representative"))
+    first = near.groupBy("cluster_id").agg(F.min_by("asset_id", F.struct(F.round("distance", 9), "asset_id")).alias("first"))
+    placed = near.join(first, "cluster_id").withColumn("is_representative", F.col("asset_id") == F.col("first"))
+    return placed.select("cluster_id", F.col("asset_id").alias("face_id"), "distance", "is_representative")
 
 
 # Centroid methods and the map.

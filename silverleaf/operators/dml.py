@@ -81,15 +81,16 @@ def upsert_assets(assets: DataFrame, paths: DataFrame, new: DataFrame, now: int)
     """(assets, asset_paths) after a scan: known content under a new path is an alias.
 
     Of equal contents in one scan the smallest path is the asset. A path whose content
-    became a duplicate of another asset's leaves the assets and becomes an alias.
+    became a duplicate of another asset's leaves the assets and becomes an alias. Smallest
+    paths are aggregated, so a content that very many files share fills no single task.
     """
     stamped = new.withColumn("indexed_at", F.coalesce(F.col("indexed_at"), F.lit(now)) if "indexed_at" in new.columns else F.lit(now).cast("long"))
     content = F.coalesce("sha256", F.concat(F.lit("path:"), "relpath"))
     known = assets.filter("sha256 IS NOT NULL").groupBy("sha256").agg(F.min(F.struct("id", "relpath")).alias("held"))
-    rank = F.row_number().over(Window.partitionBy(content).orderBy("relpath"))
-    first = F.min("relpath").over(Window.partitionBy(content))
-    ranked = stamped.withColumn("rn", rank).withColumn("first", first).join(known, "sha256", "left")
-    alias = (F.col("held").isNotNull() & (F.col("held.relpath") != F.col("relpath"))) | (F.col("held").isNull() & (F.col("rn") > 1))
+    firsts = stamped.groupBy(content.alias("content")).agg(F.min("relpath").alias("relpath")).select("relpath", F.lit(True).alias("is_first"))
+    least = stamped.filter("sha256 IS NOT NULL").groupBy("sha256").agg(F.min("relpath").alias("first"))
+    ranked = stamped.join(known, "sha256", "left").join(firsts, "relpath", "left").join(least, "sha256", "left")
+    alias = (F.col("held").isNotNull() & (F.col("held.relpath") != F.col("relpath"))) | (F.col("held").isNull() & F.col("is_first").isNull())
     own = ranked.filter(~alias).select(*new.columns, *([] if "indexed_at" in new.columns else ["indexed_at"]))
     aliases = ranked.filter(alias).select("relpath", F.coalesce("held.relpath", "first").alias("canonical"), "indexed_at")
     stay = delete_matching(assets, aliases, {"relpath": "relpath"})
@@ -114,6 +115,23 @@ def upsert_presets(presets: DataFrame, changes: DataFrame, now: int) -> DataFram
     return append_with_ids(old.unionByName(new.filter("id IS NOT NULL"), allowMissingColumns=True), new.filter("id IS NULL").drop("id"), ["name"])
 
 
+def insert_tag(tags: DataFrame, term: str, now: int) -> tuple[DataFrame, bool]:
+    """The tags with a new one, and whether it is new; blank terms are an error."""
+    term = term.strip()
+    if not term:
+        raise ValueError("a tag needs a name")
+    if not tags.filter(F.col("term") == term).isEmpty():
+        return tags, False
+    row = tags.sparkSession.range(1).select(F.lit(term).alias("term"), F.lit(now).cast("long").alias("created_at"))
+    return append_with_ids(tags, row, ["term"]), True
+
+
+def delete_tag(tags: DataFrame, term: str) -> tuple[DataFrame, bool]:
+    """The tags without one, and whether it was there."""
+    test = F.col("term") == term.strip()
+    return delete_where(tags, test), not tags.filter(test).isEmpty()
+
+
 def delete_clustering_run(runs: DataFrame, clusters: DataFrame, members: DataFrame, run_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three tables without a run, its clusters and their members."""
     gone = clusters.filter(F.col("run_id") == run_id)

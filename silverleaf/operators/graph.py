@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from ..lineage import checkpoint
 
 #: Parts that a node's edges are dealt into where they meet the node's minimum.
 SALTS = 32
+#: Edges that a task contracts at once.
+TOGETHER = 1 << 18
 
 
 def _salt(end: str) -> Column:
@@ -21,16 +27,56 @@ def _spread(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("s", F.explode(salts)).drop("mask")
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node that it is connected with) of a few edges, without the smallest ones themselves."""
+    nodes, place = np.unique(np.r_[a, b], return_inverse=True)
+    label = np.arange(len(nodes))
+    one, two = place[: len(a)], place[len(a) :]
+    while True:  # the larger label's node points to the smaller label, then pointers are followed to the end
+        x, y = label[one], label[two]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (label != label[label]).any():
+            label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """(u, v), u > v: edges that connect the same nodes; those of a task are made into stars, some at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _stars(*(np.concatenate(c) for c in zip(*held)))], ["u", "v"])
+
+        for batch in batches:
+            held.append([c.to_numpy(zero_copy_only=False).copy() for c in batch.columns])
+            size += len(held[-1][0])
+            if size >= TOGETHER:
+                yield done()
+                held, size = [], 0
+        if size:
+            yield done()
+
+    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a != b").mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the undirected edges (a, b); the root is the smallest node.
 
-    Alternating large-star and small-star rounds, each cut by a checkpoint, until every
+    Tasks first make stars of their own edges, so that long chains are short before any
+    shuffle. Then alternating large-star and small-star rounds, each cut by a checkpoint, until every
     node with a smaller neighbour has no other. A hub's edges never gather in one task: its
     minimum and the salts that its edges have are aggregated before the shuffle, and edges
     are joined with them by node and salt. Edges whose lower end is already a root, which
     most soon are, find nothing to join and stay as they are.
     """
-    e = checkpoint(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = checkpoint(contracted(edges).distinct())
     while True:
         none = F.lit(0).cast("long")
         both = e.select(F.col("u").alias("node"), F.col("v").alias("other"), none.alias("bit")).unionByName(

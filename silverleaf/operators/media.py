@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -63,7 +64,7 @@ def exif(rows: DataFrame) -> DataFrame:
 class SimpleScorer(scoring.Scorer):
     """Sharpness, brightness and contrast, or noise, of an item's `content`; 0 if unreadable."""
 
-    spec = scoring.SPECS[0]
+    spec = replace(scoring.SPECS[0], needs=())  # plain images are read without any module
 
     def score_batch(self, items: list[dict]) -> list[dict[str, float]]:
         return [self._scores(images.decode(i["content"])) for i in items]

@@ -148,13 +148,19 @@ def run_scorer(scorer: type[Scorer], assets: DataFrame, scores: DataFrame, input
     return upsert_scores(scores, rows, scorer.spec.scorer_id, v.variant_id, scorer.spec.version, now), targets, rows.select("asset_id").distinct()
 
 
-def run_by_id(registry: dict[str, type[Scorer]], scorer_id: str, *args, batch_size: int = BATCH_SIZE, **kwargs):
-    """Like run_scorer, by name; SCORE_BATCH_SIZE counts where the batch size is the default."""
+def by_id(registry: dict[str, type[Scorer]], scorer_id: str) -> type[Scorer]:
+    """A registered scorer that can run here."""
     if scorer_id not in registry:
         raise KeyError(f"no scorer {scorer_id!r}")
     scorer = registry[scorer_id]
     if not scorer.spec.available():
         raise RuntimeError(f"{scorer_id} needs {', '.join(scorer.spec.needs)}")
+    return scorer
+
+
+def run_by_id(registry: dict[str, type[Scorer]], scorer_id: str, *args, batch_size: int = BATCH_SIZE, **kwargs):
+    """Like run_scorer, by name; SCORE_BATCH_SIZE counts where the batch size is the default."""
+    scorer = by_id(registry, scorer_id)
     if batch_size == BATCH_SIZE:
         batch_size = int(os.environ.get("SCORE_BATCH_SIZE", batch_size))
     return run_scorer(scorer, *args, batch_size=batch_size, **kwargs)

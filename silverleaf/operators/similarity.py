@@ -55,11 +55,28 @@ def hash_similar_to_asset(phash: DataFrame, asset_id: int, threshold: float | No
     return similar_to_hash(phash, row[0] if row and row[0] else "", threshold).filter(F.col("asset_id") != asset_id)
 
 
+METHODS = ("clip", "phash")
+
+
+def find_similar(embeddings: DataFrame, phash: DataFrame, asset_id: int, method: str = "clip", metric: str = "cosine", threshold: float | None = None) -> DataFrame:
+    """(asset_id, score) of assets like one of them, by vector or by hash."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}")
+    if method == "phash":
+        return hash_similar_to_asset(phash, asset_id, threshold)
+    return similar_to_asset(embeddings, asset_id, metric, threshold)
+
+
 def with_details(found: DataFrame, assets: DataFrame) -> DataFrame:
     """Results with capture time and file name."""
     return found.join(assets.select(F.col("id").alias("asset_id"), "taken_at", "filename"), "asset_id")
 
 
+def newest_first(detailed: DataFrame) -> DataFrame:
+    """Results by capture time, undated ones last."""
+    return detailed.orderBy(F.desc(F.coalesce("taken_at", F.lit(0))), "asset_id")
+
+
 def similarity_status(found: DataFrame, assets: DataFrame, stored: DataFrame, asset_id: int, method: str = "clip") -> str:
     """``unknown_asset``, ``ok``, ``no_match``, or which derivation the asset lacks."""
     if assets.filter(F.col("id") == asset_id).isEmpty():
@@ -78,19 +95,53 @@ def search(embeddings: DataFrame, vector: list[float], limit: int = 50, page: in
     return rows.orderBy(F.desc("score"), "asset_id").offset(max(0, (page - 1) * size)).limit(size)
 
 
+def search_page(embeddings: DataFrame, vector: list[float] | None, limit: int = 50, page: int = 1) -> DataFrame:
+    """One page of search() with `total`, the number of stored vectors, on every row.
+
+    A page beyond the last, or no vector (a blank query), gives no rows.
+    """
+    total = embeddings.agg(F.count("*").alias("total"))
+    if vector is None:
+        return embeddings.select("asset_id", F.lit(0.0).alias("score")).limit(0).join(F.broadcast(total))
+    return search(embeddings, vector, limit, page).join(F.broadcast(total))
+
+
+def vocabulary_with_novel_tags(vocabulary: DataFrame, tags: DataFrame) -> DataFrame:
+    """(term, vector, user_tag): the vocabulary, then the tags that it lacks; a flag says which terms are tags.
+
+    Both have term and vector; a term that stands there twice counts once, at its first place.
+    """
+    known = vocabulary.groupBy("term").agg(F.min_by("vector", "ord").alias("vector")) if "ord" in vocabulary.columns else vocabulary.dropDuplicates(["term"])
+    tagged = tags.select("term").distinct().withColumn("user_tag", F.lit(True))
+    base = known.select("term", "vector").join(tagged, "term", "left").select("term", "vector", F.coalesce("user_tag", F.lit(False)).alias("user_tag"))
+    novel = tags.dropDuplicates(["term"]).join(known.select("term"), "term", "left_anti").select("term", "vector", F.lit(True).alias("user_tag"))
+    return base.unionByName(novel)
+
+
 def terms_of_assets(embeddings: DataFrame, vocabulary: DataFrame, top_k: int = 20) -> DataFrame:
     """(asset_id, term, score): the best terms of each given asset; vocabulary: term, vector.
 
-    The vocabulary is a fixed list (hundreds of terms), sent to every task as one row; an
-    asset's terms are ranked inside its own row, so nothing is shuffled.
+    With a column user_tag in the vocabulary the result has it, too. The vocabulary is a
+    fixed list (hundreds of terms), sent to every task as one row; an asset's terms are
+    ranked inside its own row, so nothing is shuffled.
     """
     k = max(1, min(100, top_k))
-    terms = vocabulary.agg(F.array_sort(F.collect_list(F.struct("term", vectors.unit(F.col("vector")).alias("v")))).alias("terms"))
+    flagged = "user_tag" in vocabulary.columns
+    flag = F.col("user_tag") if flagged else F.lit(False)
+    terms = vocabulary.agg(F.array_sort(F.collect_list(F.struct("term", vectors.unit(F.col("vector")).alias("v"), flag.alias("tag")))).alias("terms"))
     rows = embeddings.join(F.broadcast(terms)).select("asset_id", vectors.unit(F.col("embedding")).alias("u"), "terms")
     score = lambda t: F.round(vectors.dot(F.col("u"), t["v"]), 4)
-    scored = F.transform("terms", lambda t: F.struct((-score(t)).alias("s"), t["term"].alias("term")))
+    scored = F.transform("terms", lambda t: F.struct((-score(t)).alias("s"), t["term"].alias("term"), t["tag"].alias("tag")))
     best = rows.select("asset_id", F.explode(F.slice(F.array_sort(scored), 1, k)).alias("t"))
-    return best.select("asset_id", "t.term", (-F.col("t.s")).alias("score"))
+    return best.select("asset_id", "t.term", (-F.col("t.s")).alias("score"), *([F.col("t.tag").alias("user_tag")] if flagged else []))
+
+
+def words_status(embeddings: DataFrame, asset_id: int, dim: int, has_encoder: bool = True) -> str:
+    """``ok``, or why an asset's words can't be told: ``no_embedding``, ``embedding_corrupt``, ``clip_unavailable``."""
+    if not has_encoder:
+        return "clip_unavailable"
+    row = embeddings.filter(F.col("asset_id") == asset_id).select(vectors.valid(F.col("embedding"), dim).alias("good")).first()
+    return "no_embedding" if row is None else "ok" if row["good"] else "embedding_corrupt"
 
 
 def centroids(vecs: DataFrame, group: str, dim: int | None = None) -> DataFrame:

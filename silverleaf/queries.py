@@ -508,7 +508,8 @@ def _(phash):
 
 @query("complete_linkage", "clip_embeddings")
 def _(embeddings):
-    return cluster.vector_clusters(embeddings, "cosine", CLUSTER)[0]
+    found = cluster.vector_clusters(embeddings, "cosine", CLUSTER)[0]
+    return found.select("cluster_id", "asset_id", F.round("diameter", 4).alias("diameter"))
 
 
 @query("dbscan", "clip_embeddings")
@@ -522,7 +523,7 @@ ORACLE_SQL["dbscan"] = duck("SELECT 1", "clip_embeddings").replace(" SELECT 1",
 
 @query("face_clusters", "face_embeddings")
 def _(faces):
-    return cluster.face_clusters(faces, "dbscan", 1 - CLUSTER, 2)
+    return cluster.face_clusters(faces, "dbscan", 1 - CLUSTER, 2).withColumn("distance", F.round("distance", 4))
 
 
 @query("hdbscan", "face_embeddings")
@@ -551,9 +552,9 @@ def _(events):
     return events.select("event_id", F.from_json("props", "k BIGINT")["k"].alias("k"))
 
 
-@query("json_schema", "events", "SELECT '$' AS path, count(*) AS seen, NULL::BOOLEAN AS required FROM events UNION ALL SELECT '$.k', count(*), TRUE FROM events WHERE json_exists(props, '$.k')")
+@query("json_schema", "events", "SELECT '$' AS path, count(*) AS seen, NULL::BOOLEAN AS required, '' AS examples FROM events UNION ALL SELECT '$.k', count(*), TRUE, array_to_string(list_sort(list(DISTINCT props->>'$.k'))[:3], ' ') FROM events WHERE json_exists(props, '$.k')")
 def _(events):
-    return json_schema.profile(events, "props").select("path", "seen", "required")
+    return json_schema.profile(events, "props").select("path", "seen", "required", F.array_join("examples", " ").alias("examples"))
 
 
 @query("format_paths", "assets", "SELECT id, format('thumbs/{:04d}/{:d}.jpg', id // 1000, id) AS thumb, '/lib/' || relpath AS full, split_part(relpath, '/', 1) AS album FROM assets")
@@ -604,3 +605,6 @@ def _(events):
 @query("gradient_hash", "clip_embeddings", "SELECT asset_id, lpad(lower(to_hex(list_reduce(list_transform(range(60), lambda k: CASE WHEN embedding[k // 15 * 16 + k % 15 + 1] > embedding[k // 15 * 16 + k % 15 + 2] THEN 1::BIGINT << k ELSE 0 END), lambda a, b: a | b))), 15, '0') AS phash_hex FROM clip_embeddings")
 def _(embeddings):
     return embeddings.select("asset_id", bits.gradient_hash(F.col("embedding"), 4, 15).alias("phash_hex"))
+
+
+from . import queries_more  # noqa: E402,F401  (registers itself)

@@ -6,9 +6,13 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..lineage import checkpoint
+
+#: Examples that are kept of each path.
+EXAMPLES = 3
 _ROW = pa.schema([("path", pa.string()), ("parent", pa.string()), ("kind", pa.string()), ("size", pa.int64()), ("example", pa.string())])
 
 
@@ -44,12 +48,25 @@ def profile(docs: DataFrame, json_col: str = "json") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ROW)] if out else [pa.array([], f.type) for f in _ROW], schema=_ROW)
 
     rows = docs.select(F.col(json_col).cast("string")).mapInArrow(run, "path string, parent string, kind string, size long, example string")
-    # Distinct examples are first counted by value, so a path's examples stay few in a task.
-    values = rows.filter("example IS NOT NULL").groupBy("path").agg(F.min("example").alias("e1"))
+    # Each task passes on no more than its own smallest few of a path.
+    place = F.row_number().over(Window.partitionBy("path").orderBy("example"))
+    few = rows.filter("example IS NOT NULL").select("path", "example").distinct().withColumn("k", place).filter(F.col("k") <= EXAMPLES)
+    values = few.groupBy("path").agg(F.array_sort(F.collect_list("example")).alias("examples"))
     stats = rows.groupBy("path").agg(
         F.array_sort(F.collect_set("kind")).alias("kinds"), F.count("*").alias("seen"), F.min("size").alias("min_items"), F.max("size").alias("max_items"), F.min("parent").alias("parent"),
         F.count_if(F.col("kind") == "object").alias("objects"),
     )
     above = stats.select(F.col("path").alias("parent"), F.col("objects").alias("parents"))
     named = stats.join(above, "parent", "left").join(values, "path", "left")
-    return named.select("path", "kinds", "seen", (F.col("seen") == F.col("parents")).alias("required"), "min_items", "max_items", F.col("e1").alias("example"))
+    return named.select("path", "kinds", "seen", (F.col("seen") == F.col("parents")).alias("required"), "min_items", "max_items", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
+
+
+def profile_files(spark: SparkSession, root: str, pattern: str = "*.json", limit: int | None = None) -> tuple[DataFrame, int, int]:
+    """(profile, files that parse, files that don't) of the JSON files below root, the first `limit` by path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    if limit is not None:
+        files = files.orderBy("path").limit(limit)
+    docs = files.select(F.decode("content", "UTF-8").alias("json"))
+    made = checkpoint(profile(docs))
+    failed = made.filter("path = '!'").agg(F.sum("seen")).first()[0] or 0
+    return made, docs.count() - failed, failed
