@@ -1,14 +1,16 @@
 """Clustering: similarity joins, linkage, density and centroid methods.
 
-Joins give edges, edges give components, and components are split or measured by a task
-each. Component-wise steps are sequential by definition (greedy, in order); callers
-bound them with ``max_size``, and what is skipped is counted.
+Joins give edges, edges give components, and components are split by a task each.
+These steps are sequential by definition (greedy, in order); they hold a component's
+vectors and one row of distances at a time, never all distances, so memory grows with
+the component and time with its square. Callers can bound that with ``max_size``, and
+what is skipped is counted.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -80,18 +82,29 @@ def vector_edges(embeddings: DataFrame, metric: str = "cosine", threshold: float
 
 
 def greedy_complete_linkage(near: np.ndarray) -> np.ndarray:
-    """Labels: each row joins the first group all of whose members are near, else opens one."""
-    groups: list[list[int]] = []
-    label = np.empty(len(near), np.int64)
-    for i in range(len(near)):
-        k = next((k for k, g in enumerate(groups) if near[i, g].all()), len(groups))
-        if k == len(groups):
-            groups.append([])
-        groups[k].append(i)
-        label[i] = k
+    """greedy_groups of a whole matrix."""
+    return greedy_groups(len(near), lambda i: near[i, :i])
+
+
+def greedy_groups(n: int, near: Callable[[int], np.ndarray]) -> np.ndarray:
+    """Labels: each row joins the first group all of whose members are near, else opens one.
+
+    near(i) says of every earlier row whether it is near row i.
+    """
+    label, groups = np.empty(n, np.int64), 0
+    for i in range(n):
+        closed = np.zeros(groups + 1, bool)
+        closed[label[:i][~near(i)]] = True
+        label[i] = np.argmin(closed)
+        groups = max(groups, int(label[i]) + 1)
     return label
 
 
+def _farthest(n: int, distances: Callable[[slice], np.ndarray], rows: int = 512) -> float:
+    """The largest distance within n rows; distances(part) gives a part of them against all."""
+    return float(max(distances(slice(at, at + rows)).max() for at in range(0, n, rows)))
+
+
 def _sized(members: DataFrame, max_size: int | None) -> tuple[DataFrame, int]:
     """Members of components that are not over the limit, and how many components are."""
     if max_size is None:
@@ -118,14 +131,15 @@ def hash_clusters(phash: DataFrame, threshold: int = HASH_THRESHOLD, window: int
         order = sorted(range(len(number)), key=lambda k: (number[k], pdf["asset_id"].iloc[k]))
         ids, number = pdf["asset_id"].to_numpy()[order], [number[k] for k in order]
         words = np.array([[(x >> (64 * k)) & (1 << 64) - 1 for k in range(4)] for x in number], np.uint64)
-        d = np.stack([np.bitwise_count(words ^ w).sum(axis=1) for w in words]).astype(np.int64)
-        label = np.zeros(len(ids), np.int64) if single_linkage else greedy_complete_linkage(d <= threshold)
+        label = np.zeros(len(ids), np.int64) if single_linkage else greedy_groups(len(ids), lambda i: np.bitwise_count(words[:i] ^ words[i]).sum(axis=1) <= threshold)
         out = []
         for k in range(label.max() + 1):
             own = np.flatnonzero(label == k)
             if len(own) >= min_size:
                 first = ids[own].min()
-                out += [(first, i, None, i == first, float(d[np.ix_(own, own)].max())) for i in ids[own]]
+                held = words[own]
+                far = _farthest(len(own), lambda part: np.bitwise_count(held[part, None] ^ held[None]).sum(axis=2), 64)
+                out += [(first, i, None, i == first, far) for i in ids[own]]
         return pd.DataFrame(out, columns=["cluster_id", "asset_id", "distance", "is_representative", "diameter"])
 
     joined = members.join(rows.select("asset_id", "phash_hex"), "asset_id")
@@ -148,29 +162,49 @@ def vector_clusters(embeddings: DataFrame, metric: str = "cosine", threshold: fl
         pdf = pdf.sort_values("asset_id")
         ids, v = pdf["asset_id"].to_numpy(), np.stack(pdf["embedding"]).astype(np.float64)
         v /= np.linalg.norm(v, axis=1, keepdims=True)
-        cos = v @ v.T
-        label = np.zeros(len(ids), np.int64) if single_linkage else greedy_complete_linkage(cos >= least - 1e-12)
+        label = np.zeros(len(ids), np.int64) if single_linkage else greedy_groups(len(ids), lambda i: v[:i] @ v[i] >= least - 1e-12)
         out = []
         for k in range(label.max() + 1):
             own = np.flatnonzero(label == k)
             if len(own) >= min_size:
                 mean = v[own].mean(axis=0)
                 rep = own[np.argmax(v[own] @ (mean / max(1e-9, np.linalg.norm(mean))))]
-                within = cos[np.ix_(own, own)]
-                far = 1 - within.min() if metric == "cosine" else to_metric(within.min())
-                out += [(ids[own].min(), ids[i], float(to_metric(cos[i, rep])), i == rep, float(far)) for i in own]
+                held = v[own]
+                least_within = -_farthest(len(own), lambda part: -(held[part] @ held.T))
+                far = 1 - least_within if metric == "cosine" else to_metric(least_within)
+                out += [(ids[own].min(), ids[i], float(to_metric(v[i] @ v[rep])), i == rep, float(far)) for i in own]
         return pd.DataFrame(out, columns=["cluster_id", "asset_id", "distance", "is_representative", "diameter"])
 
     joined = members.join(embeddings.select("asset_id", "embedding"), "asset_id")
     return joined.groupBy("root").applyInPandas(split, RESULT), skipped
 
 
-def diameters(members: DataFrame, embeddings: DataFrame, group: str) -> DataFrame:
-    """(group, least_cosine): the least similar pair of each group."""
-    v = members.select(group, "asset_id").join(embeddings.select("asset_id", vectors.unit(F.col("embedding")).alias("v")), "asset_id")
-    other = v.select(F.col(group), F.col("asset_id").alias("b"), F.col("v").alias("w"))
-    pairs = v.join(other, group).filter("asset_id < b")
-    return pairs.groupBy(group).agg(F.round(F.min(vectors.dot(F.col("v"), F.col("w"))), 4).alias("least_cosine"))
+def diameters(members: DataFrame, embeddings: DataFrame, group: str, block: int = BLOCK) -> DataFrame:
+    """(group, least_cosine): the least similar pair of each group of two or more.
+
+    A group's vectors are packed into blocks and each pair of its blocks is one matrix
+    product, of which only the least value leaves the task, so a large group is spread
+    over many tasks and its pairs are never written out.
+    """
+    v = members.select(group, "asset_id").join(embeddings.select("asset_id", F.col("embedding").cast("array<float>").alias("v")).filter(vectors.valid(F.col("v"))), "asset_id")
+    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / block).cast("long").alias("n"))
+    packed = v.join(sizes, group).groupBy(group, "n", F.pmod(F.xxhash64("asset_id"), F.col("n")).alias("k")).agg(F.collect_list("v").alias("rows"))
+    left = packed.select(group, F.col("k").alias("ka"), F.explode(F.sequence("k", F.col("n") - 1)).alias("kb"), F.col("rows").alias("l"))
+    right = packed.select(group, F.col("k").alias("kb"), F.explode(F.sequence(F.lit(0).cast("long"), "k")).alias("ka"), F.col("rows").alias("r"))
+    pairs = left.join(right, [group, "ka", "kb"]).select(F.col(group).cast("long").alias("g"), (F.col("ka") == F.col("kb")).alias("same"), "l", "r")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for g, same, l, r in zip(*b.columns):
+                a, c = (np.stack(x.values.to_numpy(zero_copy_only=False)).astype(np.float64) for x in (l, r))
+                if same.as_py() and len(a) < 2:
+                    continue
+                a, c = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, c))
+                out.append((g.as_py(), -_farthest(len(a), lambda part, a=a, c=c: -(a[part] @ c.T))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.float64())], ["g", "least"])
+
+    return pairs.mapInArrow(run, "g long, least double").groupBy(F.col("g").alias(group)).agg(F.round(F.min("least"), 4).alias("least_cosine"))
 
 
 # Density.
@@ -199,15 +233,20 @@ def hdbscan_labels(v: np.ndarray, min_cluster_size: int = 2, min_samples: int =
     n = len(v)
     if n < max(2, min_cluster_size):
         return np.full(n, -1)
-    d = np.sqrt(np.maximum(0, (v * v).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * v @ v.T))
-    core = np.sort(d, axis=1)[:, min(min_samples, n) - 1]
-    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
+    square = (v * v).sum(1)
+
+    def distances(rows: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0, square[rows, None] + square[None] - 2 * v[rows] @ v.T))
+
+    place = min(min_samples, n) - 1
+    core = np.concatenate([np.partition(distances(np.arange(at, min(n, at + 256))), place, axis=1)[:, place] for at in range(0, n, 256)])
     best, source, done = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool)
     edges, at = [], 0
-    for _ in range(n - 1):  # Prim
+    for _ in range(n - 1):  # Prim, with the mutual reachability of one row at a time
         done[at] = True
-        closer = ~done & (reach[at] < best)
-        best[closer], source[closer] = reach[at][closer], at
+        reach = np.maximum(distances(np.array([at]))[0], np.maximum(core, core[at]))
+        closer = ~done & (reach < best)
+        best[closer], source[closer] = reach[closer], at
         at = int(np.argmin(np.where(done, np.inf, best)))
         edges.append((best[at], int(source[at]), at))
     parent, size, children = list(range(2 * n - 1)), [1] * n + [0] * (n - 1), {}
@@ -285,8 +324,9 @@ def hdbscan_labels(v: np.ndarray, min_cluster_size: int = 2, min_samples: int =
 def hdbscan(embeddings: DataFrame, min_cluster_size: int = 2, min_samples: int = 2, group: str | None = None) -> DataFrame:
     """(asset_id, cluster_id) on unit vectors; a cluster is named by its smallest id.
 
-    The method needs all distances of a data set: each group is one task, so groups (a
-    detection run, a component) are what bounds it.
+    The method orders all points of a data set by one tree, so each group is one task: it
+    holds the group's vectors and one row of distances, and its time grows with their
+    square. Groups (a detection run, a component) are what bounds it.
     """
     rows = embeddings.filter(vectors.valid(F.col("embedding"))).select((F.col(group) if group else F.lit(0)).alias("g"), F.col("asset_id").cast("long").alias("asset_id"), "embedding")
 
@@ -343,8 +383,8 @@ def kmeans(points: DataFrame, features: str, k: int, seed: int = 42) -> DataFram
 def dense_labels(df: DataFrame, label: str, name: str = "label") -> DataFrame:
     """Labels renumbered 0.. in order; negative ones (noise) become -1."""
     kept = df.select(label).distinct().filter(F.col(label) >= 0)
-    order = kept.withColumn(name, (F.row_number().over(Window.orderBy(label)) - 1).cast("int"))
-    return df.join(F.broadcast(order), label, "left").withColumn(name, F.coalesce(name, F.lit(-1)))
+    order = ranked(kept, [label], name).withColumn(name, F.col(name).cast("int"))
+    return df.join(order, label, "left").withColumn(name, F.coalesce(name, F.lit(-1)))
 
 
 def cap_clusters(df: DataFrame, max_clusters: int, coords: str = "coords", label: str = "label") -> DataFrame:
