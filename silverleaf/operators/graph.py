@@ -66,17 +66,21 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a != b").mapInArrow(run, "u long, v long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, contract: bool = True) -> DataFrame:
     """(node, root) of every node of the undirected edges (a, b); the root is the smallest node.
 
     Tasks first make stars of their own edges, so that long chains are short before any
-    shuffle. Then alternating large-star and small-star rounds, each cut by a checkpoint, until every
+    shuffle (contract off: edges that are stars of each task already). Then alternating large-star and small-star rounds, each cut by a checkpoint, until every
     node with a smaller neighbour has no other. A hub's edges never gather in one task: its
     minimum and the salts that its edges have are aggregated before the shuffle, and edges
     are joined with them by node and salt. Edges whose lower end is already a root, which
     most soon are, find nothing to join and stay as they are.
     """
-    e = checkpoint(contracted(edges).distinct())
+    if contract:
+        e = contracted(edges)
+    else:
+        e = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    e = checkpoint(e.distinct())
     while True:
         none = F.lit(0).cast("long")
         both = e.select(F.col("u").alias("node"), F.col("v").alias("other"), none.alias("bit")).unionByName(
