@@ -344,7 +344,7 @@ def named(fps: DataFrame) -> tuple[DataFrame, bool]:
 def classes(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(fp, root, component_id, copies) of the distinct fingerprints of (id, fp); root names a component even without ids."""
     distinct, are_ids = named(fps)
-    roots = components(links(distinct.select("fp", "node"), max_bits)).withColumnRenamed("node", "linked")
+    roots = components(links(distinct.select("fp", "node"), max_bits), contract=False).withColumnRenamed("node", "linked")
     found = distinct.join(roots, distinct.node == roots.linked, "left").select("fp", F.coalesce("root", "node").alias("root"), "copies")
     if are_ids:
         return found.withColumn("component_id", F.col("root"))
