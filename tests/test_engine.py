@@ -250,6 +250,37 @@ def test_components_of_chains_stars_and_cycles(spark):
     assert got == {i: 0 for i in range(41)} | {100 + k: 100 for k in range(30)} | {200: 200, 201: 200, 202: 200}
 
 
+@pytest.mark.parametrize("contract", [True, False])
+def test_components_of_hubs_equal_brute_force(spark, contract):
+    """Hubs that are no roots, with many larger and many smaller neighbours, over many partitions."""
+    rng = np.random.default_rng(2)
+    edges = [(1000, int(k)) for k in rng.integers(0, 3000, 400)] + [(5, 1000)] + [tuple(map(int, p)) for p in rng.integers(3000, 9000, (2500, 2))]
+    root = {n: n for e in edges for n in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = dict(rows(graph.components(spark.createDataFrame(edges, "a long, b long").repartition(7), contract), "node", "root"))
+    linked = {n for a, b in edges if a != b for n in (a, b)}
+    assert got == {n: find(n) for n in linked}
+
+
+def test_tags_are_unique_and_removed_by_name(spark):
+    tags = spark.createDataFrame([(1, "a", 5)], "id long, term string, created_at long")
+    one, fresh = dml.insert_tag(tags, "  b ", 6)
+    same, again = dml.insert_tag(one, "b", 7)
+    assert fresh and not again and rows(same, "id", "term", "created_at") == [(1, "a", 5), (2, "b", 6)]
+    left, gone = dml.delete_tag(same, "a")
+    assert gone and rows(left, "id", "term") == [(2, "b")] and not dml.delete_tag(left, "a")[1]
+    with pytest.raises(ValueError):
+        dml.insert_tag(tags, "  ", 1)
+
+
 def hash_table(spark, data):
     return spark.createDataFrame([(i, f"{h:016x}", "dhash16") for i, h in data.items()], "asset_id long, phash_hex string, algo string")
 

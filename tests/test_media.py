@@ -141,6 +141,54 @@ def test_embed_search_and_map(library):
     assert not cache.made
 
 
+def test_search_and_analysis_of_a_picture_handed_in(library, spark, monkeypatch):
+    from silverleaf.plans import upload
+
+    lib, root, _ = library
+    jobs.hash_images(lib, root, 1)
+    jobs.embed_images(lib, root, Encoder, 1)
+    near = upload.search_by_image(lib, picture(1), "phash").collect()
+    assert [r["score"] for r in near] == sorted(r["score"] for r in near) and {r["filename"] for r in near} == {"1.gif", "2.gif"}
+    like = upload.search_by_image(lib, picture(1), encoder=Encoder(), threshold=0.9).collect()
+    assert like[0]["score"] == 1.0 and like[0]["filename"] == "1.gif"
+    vocabulary = spark.createDataFrame([("same", [float(x) for x in upload.vector_of(picture(1), Encoder())], False), ("other", [1.0] + [0.0] * 15, True)], "term string, vector array<double>, user_tag boolean")
+    said = upload.analyze(lib, picture(1), Encoder(), vocabulary, 1)
+    assert (said["rows"], said["columns"], said["exif"]) == (40, 50, None) and said["words"] == [{"term": "same", "score": 1.0, "user_tag": False}]
+    assert upload.analyze(lib, picture(2))["words"] == []
+    monkeypatch.setattr(upload, "MAX_BYTES", 10)
+    for content, limit, status in ((b"broken", 50, 400), (b"", 50, 400), (picture(1), 10, 413)):
+        with pytest.raises(upload.UploadError) as e:
+            upload.checked(content, limit)
+        assert e.value.status == status
+    with pytest.raises(upload.UploadError):
+        upload.search_by_image(lib, picture(1))
+
+
+def test_progress_goes_forward_and_adds_up(spark):
+    from silverleaf.plans.progress import Progress
+
+    told = []
+    p = Progress(lambda phase, percent: told.append((phase, percent)))
+    assert [p.at("scan", 1, 2), p.at("process", 0, 0), p.at("scan", 1, 2), p.at("process", 9, 3)] == [2.5, 5.0, 5.0, 100.0] and len(told) == 4
+    for n in (3, 5):
+        with p.stage("hash") as items:
+            items.append(n)
+    with p.stage("idle"):
+        pass
+    got = {r["stage"]: r for r in p.report(spark).collect()}
+    assert (got["hash"]["runs"], got["hash"]["items"]) == (2, 8) and got["hash"]["ms_per_item"] > 0 and got["idle"]["ms_per_item"] is None
+
+
+def test_profile_of_a_folder(spark, tmp_path, capsys):
+    for k in range(5):
+        (tmp_path / f"{k}.json").write_text('{"a": %d, "b": "x"}' % k if k < 4 else "{")
+    assert cli.main(["profile", str(tmp_path)], spark) == 0
+    out = capsys.readouterr().out
+    assert "4 parsed, 1 failed" in out and "$.a\tinteger\t4\trequired\t0, 1, 2" in out
+    assert cli.main(["profile", str(tmp_path), "--pattern", "*.json", "--limit", "2"], spark) == 0 and "2 parsed, 0 failed" in capsys.readouterr().out
+    assert cli.main(["profile", str(tmp_path), "--pattern", "*.none"], spark) == 2
+
+
 def test_faces(library):
     lib, root, _ = library
     assert jobs.detect(lib, root, Detector, "m", 1) == 5  # the empty vectors drop out
