@@ -583,10 +583,10 @@ def _(documents):
     return documents.select("doc_id", scoring.brisque_quality(n / 10).alias("brisque"), scoring.iqa_quality(n, "niqe").alias("niqe"), scoring.nima_score(n / 1000, "technical").alias("nima"))
 
 
-@query("tags_union_except", "benchmark documents", "SELECT term, bool_or(tag) AS user_tag FROM (SELECT substr(text, 1, 3) AS term, FALSE AS tag FROM benchmark UNION ALL SELECT substr(text, 1, 3), TRUE FROM documents) GROUP BY term")
+@query("tags_union_except", "benchmark documents", "SELECT term, bool_or(tag) AS user_tag FROM (SELECT text AS term, FALSE AS tag FROM benchmark UNION ALL SELECT text, TRUE FROM documents) GROUP BY term")
 def _(benchmark, documents):
-    vocabulary = benchmark.select(F.substring("text", 1, 3).alias("term"), F.col("item_id").alias("ord"))
-    return reports.vocabulary_with_tags(vocabulary, documents.select(F.substring("text", 1, 3).alias("term")))
+    vocabulary = benchmark.select(F.col("text").alias("term"), F.col("item_id").alias("ord"))
+    return reports.vocabulary_with_tags(vocabulary, documents.select(F.col("text").alias("term")))
 
 
 @query("presets_upsert", "nation", "SELECT CASE WHEN n_nationkey < 20 THEN n_nationkey::BIGINT ELSE n_nationkey::BIGINT END AS id, n_name AS name, 5::BIGINT AS created_at, 9::BIGINT AS updated_at FROM nation")
