@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 
 from ..lineage import checkpoint, ranked
 from ..operators.graph import components
+from . import xxh64_sql
 
 SHINGLE_WORDS, MAX_BITS, SEED = 4, 4, 42
 #: Children of a node of the index; rows that the queries walked at once may meet.
@@ -393,3 +394,22 @@ def keep_one(docs: DataFrame) -> DataFrame:
     of_fp = rows.mapInArrow(run, schema).groupBy("fp").agg(F.min_by("row", least).alias("row"))
     mine = of_fp.join(found, "fp").filter(F.col("component_id").eqNullSafe(F.col("row.doc_id").cast("long")))
     return kept.unionByName(mine.groupBy("root").agg(F.min_by("row", least).alias("row")).select("row.*"))
+
+
+_SHINGLES = f"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (SELECT r, unnest(list_transform(range(1, greatest(len(w) - {SHINGLE_WORDS - 1}, 1) + 1), lambda i: array_to_string(w[i : i + {SHINGLE_WORDS - 1}], ' '))) AS s FROM docs WHERE len(w) > 0),
+occurring AS (SELECT DISTINCT s FROM shingles),
+"""
+_LINKED = f"""
+counted AS (SELECT r, count(*) AS n, {", ".join(f"count(*) FILTER (b & {1 << k}::UBIGINT <> 0) AS b{k}" for k in range(64))} FROM (SELECT r, h::UBIGINT AS b FROM shingles JOIN hashed USING (s)) GROUP BY r),
+made AS (SELECT r, {" + ".join(f"CASE WHEN 2 * b{k} > n THEN {1 << k}::UBIGINT ELSE 0::UBIGINT END" for k in range(64))} AS fp FROM counted),
+fps AS (SELECT doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM docs LEFT JOIN made USING (r)),
+classes AS (SELECT fp, min(doc_id) AS least, count(*) AS copies FROM fps GROUP BY fp),
+linked AS (SELECT a.fp, b.fp AS other FROM classes a JOIN classes b ON bit_count(xor(a.fp, b.fp)) <= {MAX_BITS}),
+reached AS (SELECT fp, fp AS other FROM classes UNION SELECT r.fp, l.other FROM reached r JOIN linked l ON l.fp = r.other),
+named AS (SELECT r.fp, min(c.least) AS component_id FROM reached r JOIN classes c ON c.fp = r.other GROUP BY r.fp)
+SELECT f.doc_id, lpad(lower(to_hex(f.fp)), 16, '0') AS fingerprint, n.component_id, c.copies FROM fps f JOIN named n USING (fp) JOIN classes c USING (fp)
+"""
+#: The whole operator as DuckDB SQL, which compares all pairs of distinct fingerprints.
+ORACLE_SQL = _SHINGLES + xxh64_sql.strings("hashed", "occurring") + "," + _LINKED

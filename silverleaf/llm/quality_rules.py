@@ -21,6 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import xxh64_sql
 from .common import WORD_SPACE
 
 BUCKETS = 1 << 14
@@ -122,3 +123,35 @@ def score(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, id
     made = made.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"), (F.col("total") / grams).alias("log_ratio"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return made.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("log_ratio") >= threshold))
+
+
+_GRAMS = f"""
+word_hashes AS (SELECT s, h, (h % {BUCKETS})::INT AS bucket FROM hashed_words),
+docs_words AS (SELECT r, i, w, h, bucket, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(h) OVER o AS g
+  FROM (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM docs) JOIN word_hashes ON s = w WINDOW o AS (PARTITION BY r ORDER BY i)),
+neighbours AS (SELECT DISTINCT h, g FROM docs_words WHERE g IS NOT NULL),
+"""
+_SCORES = f"""
+grams AS (SELECT r, bucket FROM docs_words UNION ALL SELECT r, (q.h % {BUCKETS})::INT FROM docs_words d JOIN pairs q ON q.first = d.h AND q.g = d.g),
+trusted AS (SELECT r FROM docs WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+counts AS (SELECT bucket, count(*) AS c, count(t.r) AS t FROM grams LEFT JOIN trusted t USING (r) GROUP BY bucket),
+ratios AS (SELECT bucket, ln(t + {PRIOR}::DOUBLE) - ln(c * (SELECT sum(t)::DOUBLE / sum(c) FROM counts) + {PRIOR}::DOUBLE) AS ratio FROM counts),
+totals AS (SELECT r, sum(ratio) AS total FROM grams JOIN ratios USING (bucket) GROUP BY r),
+again AS (SELECT r, i FROM docs_words WHERE w3 IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, w, w2, w3) > 1),
+repeated AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM again, range({WINDOW}) AS a(k) GROUP BY r),
+base AS (SELECT r, doc_id, len(ws) AS n_words, list_sum(list_transform(ws, lambda w: length(w))) AS chars, length(t) - length(regexp_replace(t, '{SYMBOL}', '', 'g')) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM docs),
+made AS (SELECT doc_id, n_words, coalesce(chars, 0)::BIGINT AS word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  coalesce(total, 0) / greatest(2 * n_words - 1, 1) AS ratio FROM base LEFT JOIN repeated USING (r) LEFT JOIN totals USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND ratio >= {THRESHOLD} AS kept, round(ratio, 6) + 0 AS log_ratio
+FROM (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS failed FROM made)
+"""
+#: The whole operator as DuckDB SQL; log_ratio is rounded, as sums of doubles depend on their order.
+ORACLE_SQL = (
+    "WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents), "
+    "distinct_words AS (SELECT DISTINCT unnest(ws) AS s FROM docs), "
+    + xxh64_sql.strings("hashed_words", "distinct_words") + "," + _GRAMS
+    + f"seeded AS (SELECT h AS first, g, h AS long, {xxh64_sql.SEED}::UHUGEINT AS seed FROM neighbours), "
+    + xxh64_sql.longs("one", "seeded", "first, g", "long", "seed") + ", "
+    + xxh64_sql.longs("pairs", "one", "first, g", "g", "h") + "," + _SCORES
+)

@@ -65,7 +65,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     ratios = quality_rules.train(docs, read(spark, sf_dir, "labels"))
-    return quality_rules.score(docs, ratios).withColumnRenamed("id", "doc_id")
+    return quality_rules.score(docs, ratios).withColumnRenamed("id", "doc_id").withColumn("log_ratio", F.round("log_ratio", 6))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_chat_format": chat_format.ORACLE_SQL, "op8_sharding": sharding.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat_format": chat_format.ORACLE_SQL,
+    "op8_sharding": sharding.ORACLE_SQL,
+    "op9_quality_rules": quality_rules.ORACLE_SQL,
+    "op10_simhash_near_dedup": near_dedup.ORACLE_SQL,
+}
