@@ -180,7 +180,8 @@ class Index:
             a = start + int(begin[k])
             here = ws[a : a + 2 * self.step]
             passage, line = set(pairs(here)), f" {' '.join(here)} "
-            for item, score in found:
+            for item, raw in found:
+                score = round(raw, 9)  # so that passages that hold as much are told apart by their halves
                 if self.whole[item] is not None and self.whole[item] not in line:
                     continue
                 q, ans = (len(part & passage) / len(part) if part else 1.0 for part in self.parts[item])
@@ -273,3 +274,41 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_B
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
+
+
+_SPLIT = f"regexp_extract_all(regexp_replace(lower(@), '([{_UNSPACED}])', ' \\1 ', 'g'), '[{_UNSPACED}]|[\\p{{L}}\\p{{N}}]+')"
+_ENDS, _LAST = "' .!?' || chr(10)", "'(?s)^.*[.!?\\n]'"
+#: The whole operator as DuckDB SQL, without an index: all scores of all passages, for a benchmark that one index holds.
+ORACLE_SQL = f"""
+WITH given AS (SELECT row_number() OVER () AS d, item_id, text, length(regexp_extract(rtrim(text, {_ENDS}), {_LAST})) AS cut
+  FROM (SELECT DISTINCT item_id::BIGINT AS item_id, text FROM benchmark WHERE text IS NOT NULL)),
+split AS (SELECT d, item_id, {_SPLIT.replace("@", "text")} AS ws, {_SPLIT.replace("@", "substr(text, 1, cut)")} AS qs, {_SPLIT.replace("@", "substr(text, cut + 1)")} AS zs FROM given),
+items AS (SELECT d, item_id, ws, len(ws) AS n, len(qs) >= 2 AND len(zs) >= 2 AS named, len(ws) - greatest(2, len(ws) // 3) AS upto, qs, zs,
+  CASE WHEN len(ws) < {SHORT} THEN 0 ELSE 1 + greatest(0, ceil(ln(len(ws) / {FIRST}) / ln({CLASSES}))) END AS class FROM split),
+sides AS (SELECT d, 'all' AS side, ws FROM items UNION ALL SELECT d, 'question', CASE WHEN named THEN qs ELSE ws[1 : upto] END FROM items
+  UNION ALL SELECT d, 'answer', CASE WHEN named THEN zs ELSE ws[upto + 1 : len(ws)] END FROM items),
+held AS (SELECT d, side, ws[i] AS a, ws[i + 1] AS b, count(*) AS c FROM sides, LATERAL (SELECT unnest(range(1, len(ws))) AS i) GROUP BY ALL),
+frequency AS (SELECT a, b, count(*) AS f FROM held WHERE side = 'all' GROUP BY a, b),
+size AS (SELECT count(*) AS total, greatest(1, sum(length(text)) / count(*) / 6) AS mean FROM given),
+impacts AS (SELECT d, a, b, ln(1 + (total - f + 0.5::DOUBLE) / (f + 0.5)) * c * {K1 + 1}::DOUBLE / (c + {K1}::DOUBLE * ({1 - B}::DOUBLE + {B}::DOUBLE * n / mean)) AS x
+  FROM held JOIN items USING (d) JOIN frequency USING (a, b), size WHERE side = 'all' AND n >= 3),
+shares AS (SELECT d, a, b, x / sum(x) OVER (PARTITION BY d) AS share FROM impacts),
+parts AS (SELECT d, a, b, bool_or(side = 'question') AS q, bool_or(side = 'answer') AS z FROM held GROUP BY d, a, b),
+wholes AS (SELECT d, count(*) FILTER (side = 'question') AS q_all, count(*) FILTER (side = 'answer') AS z_all FROM held GROUP BY d),
+steps AS (SELECT class, greatest({MIN_STEP}, max(n)) AS step FROM items WHERE n >= 3 GROUP BY class),
+docs AS (SELECT row_number() OVER () AS r, doc_id, text, {_SPLIT.replace("@", "text")} AS ws FROM documents WHERE text IS NOT NULL),
+places AS (SELECT r, len(ws) AS n, i - 1 AS p, ws[i] AS a, ws[i + 1] AS b FROM docs, LATERAL (SELECT unnest(range(1, len(ws))) AS i)),
+hits AS (SELECT l.r, l.n, l.p, s.d, s.a, s.b, s.share, coalesce(h.q, FALSE) AS q, coalesce(h.z, FALSE) AS z, step
+  FROM places l JOIN shares s USING (a, b) JOIN parts h USING (d, a, b) JOIN items i ON i.d = s.d JOIN steps t ON t.class = i.class),
+pieces AS (SELECT *, least(n - start, {PIECE} + 2 * step) AS own FROM (SELECT *, unnest(range(0, p + 1, {PIECE})) AS start FROM hits) WHERE p - start <= {PIECE} + 4 * step),
+passages AS (SELECT r, d, start + skip AS first, start, step, a, b, any_value(share) AS share, any_value(q) AS q, any_value(z) AS z, bool_or(p + 1 < start + own) AS seen
+  FROM (SELECT *, unnest(range(greatest(0, (p - start) // step - 1) * step, p - start + 1, step)) AS skip FROM pieces) WHERE skip < own AND p - start - skip <= 2 * step - 2 GROUP BY ALL),
+scored AS (SELECT r, d, first, step, round(sum(share) FILTER (seen), 9) AS score, count(*) FILTER (q) AS q, count(*) FILTER (z) AS z FROM passages GROUP BY r, d, start, first, step HAVING sum(share) FILTER (seen) >= {RETRIEVE} - 1e-9),
+judged AS (SELECT r, c.d, o.doc_id, i.item_id, score, CASE WHEN coalesce(q_all, 0) = 0 THEN 1.0::DOUBLE ELSE q / q_all END AS question, CASE WHEN coalesce(z_all, 0) = 0 THEN 1.0::DOUBLE ELSE z / z_all END AS answer
+  FROM scored c JOIN items i ON i.d = c.d JOIN docs o USING (r) LEFT JOIN wholes w ON w.d = c.d
+  WHERE i.n >= {SHORT} OR contains(' ' || array_to_string(o.ws[first + 1 : first + 2 * step], ' ') || ' ', ' ' || array_to_string(i.ws, ' ') || ' ')),
+best AS (SELECT r, d, any_value(doc_id) AS doc_id, any_value(item_id) AS item_id, max({{'s': score, 'q': question, 'z': answer}}) AS x FROM judged WHERE question >= {QUESTION} AND answer >= {ANSWER} GROUP BY r, d),
+lines AS (SELECT DISTINCT r, doc_id, {_SPLIT.replace("@", "line")} AS ws FROM (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line FROM docs))
+SELECT doc_id, item_id, x.s AS score, x.q AS question, x.z AS answer FROM best
+UNION ALL SELECT doc_id, item_id, 1, 1, 1 FROM lines JOIN items USING (ws) WHERE len(ws) IN (1, 2)
+"""

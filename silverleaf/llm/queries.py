@@ -87,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": decontamination.ORACLE_SQL,
     "op4_chat_format": chat_format.ORACLE_SQL,
     "op8_sharding": sharding.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,

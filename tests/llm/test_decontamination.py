@@ -98,3 +98,25 @@ def test_items_of_all_lengths_keep_their_own_passages(spark):
     assert sorted(i for index in part.indexes for i in index.ids) == list(range(6)) and [index.step for index in part.indexes] == sorted(index.step for index in part.indexes)
     docs = spark.createDataFrame([(k, f"{words(300, rng, 9999)} {t} {words(300, rng, 9999)}") for k, t in enumerate(tests)], "doc_id long, text string")
     assert sorted((r["id"], r["item_id"]) for r in dec.matches(docs, items(spark, tests)).collect()) == [(k, k) for k in range(6)]
+
+
+def test_operator_agrees_with_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(2)) for _ in range(60)]
+    say = lambda n: " ".join(rng.choice(texts) for _ in range(n))
+    bench = [(k, f"{say(rng.randint(5, 40))}? {say(rng.randint(1, 20))}.") for k in range(12)]
+    bench += [(20, say(300)), (21, "one short item stands here"), (22, "two words"), (23, "日本語のテスト問題です。答えは東京です。"), (24, "!!"), (25, None), (None, say(30)), (2, bench[2][1])]
+    docs = [(k, say(rng.randint(0, 400))) for k in range(10)] + [(None, bench[0][1]), (50, ""), (51, None), (52, "x\nTwo  words!\ny"), (53, "and one short item stands here now"), (54, "see 日本語のテスト問題です。答えは東京です。")]
+    for k, (_, t) in enumerate(b for b in bench if b[1]):
+        ws = t.split(" ")
+        docs += [(100 + k, f"{say(70)} {t} {say(70)}"), (200 + k, say(40) + " " + " ".join(ws[: len(ws) * 3 // 4]) + " " + say(9)), (300 + k, " ".join(w for w in ws if rng.random() < 0.9))]
+    docs += docs[-3:]
+    con = duckdb.connect()
+    for name, columns, rows in (("documents", "doc_id BIGINT, text VARCHAR", docs), ("benchmark", "item_id BIGINT, text VARCHAR", bench)):
+        con.execute(f"CREATE TABLE {name} ({columns})")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    got = dec.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    want = con.sql(dec.ORACLE_SQL).fetchall()
+    assert len(want) > 30 and any(r[2] < 1 for r in want)
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
