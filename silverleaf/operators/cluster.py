@@ -321,19 +321,22 @@ def hdbscan_labels(v: np.ndarray, min_cluster_size: int = 2, min_samples: int =
     return label
 
 
-def hdbscan(embeddings: DataFrame, min_cluster_size: int = 2, min_samples: int = 2, group: str | None = None) -> DataFrame:
-    """(asset_id, cluster_id) on unit vectors; a cluster is named by its smallest id.
+def hdbscan(embeddings: DataFrame, min_cluster_size: int = 2, min_samples: int = 2, group: str | None = None, unit: bool = True) -> DataFrame:
+    """(asset_id, cluster_id) on unit vectors, or on points as they are; a cluster is named by its smallest id.
 
     The method orders all points of a data set by one tree, so each group is one task: it
     holds the group's vectors and one row of distances, and its time grows with their
     square. Groups (a detection run, a component) are what bounds it.
     """
-    rows = embeddings.filter(vectors.valid(F.col("embedding"))).select((F.col(group) if group else F.lit(0)).alias("g"), F.col("asset_id").cast("long").alias("asset_id"), "embedding")
+    valid = embeddings.filter(vectors.valid(F.col("embedding"))) if unit else embeddings
+    rows = valid.select((F.col(group) if group else F.lit(0)).alias("g"), F.col("asset_id").cast("long").alias("asset_id"), "embedding")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("asset_id")
         v = np.stack(pdf["embedding"]).astype(np.float64)
-        label = hdbscan_labels(v / np.linalg.norm(v, axis=1, keepdims=True), min_cluster_size, min_samples)
+        if unit:
+            v /= np.linalg.norm(v, axis=1, keepdims=True)
+        label = hdbscan_labels(v, min_cluster_size, min_samples)
         out = pd.DataFrame({"asset_id": pdf["asset_id"].to_numpy(), "k": label})
         out = out[out.k >= 0]
         return out.assign(cluster_id=out.groupby("k")["asset_id"].transform("min"))[["asset_id", "cluster_id"]]
@@ -426,7 +429,7 @@ def embedding_map(embeddings: DataFrame, max_clusters: int = 24, method: str = "
         labelled = kmeans(made.withColumn("f", array_to_vector("coords")), "f", cluster_count(n, max_clusters)).drop("f")
     else:
         size = max(2, math.ceil(n / max_clusters))
-        found = hdbscan(made.select("asset_id", F.col("coords").alias("embedding")), size, 2).withColumnRenamed("cluster_id", "__l")
+        found = hdbscan(made.select("asset_id", F.col("coords").alias("embedding")), size, size, unit=False).withColumnRenamed("cluster_id", "__l")
         joined = made.join(found, "asset_id", "left").withColumn("__l", F.coalesce("__l", F.lit(-1)))
         labelled = cap_clusters(dense_labels(joined, "__l").drop("__l"), max_clusters)
     labelled = checkpoint(labelled)

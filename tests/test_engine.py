@@ -334,6 +334,13 @@ def test_density_methods_find_the_same_blobs(spark):
             cluster.face_clusters(faces, **bad)
 
 
+def test_points_of_one_direction_are_told_apart_by_distance(spark):
+    rng = np.random.default_rng(4)
+    v = np.vstack([r * np.array([1.0, 1.0, 0.0]) + 0.01 * rng.normal(size=(6, 3)) for r in (1, 5, 9)])
+    want = [(1 + i, 1 + 6 * (i // 6)) for i in range(18)]
+    assert rows(cluster.hdbscan(frame(spark, v), 4, 4, unit=False), "asset_id", "cluster_id") == sorted(want, key=repr)
+
+
 def test_map_has_every_point_and_few_clusters(spark):
     points, clusters = cluster.embedding_map(frame(spark, blobs()), 3)
     assert points.count() == 19 and clusters.agg(F.sum("size")).first()[0] == 19 and clusters.count() <= 3
