@@ -25,7 +25,7 @@ def files(spark: SparkSession, root: str) -> DataFrame:
         raise FileNotFoundError(root)
     base = fs.makeQualified(fs_path).toUri().getPath().rstrip("/")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.url_decode(F.regexp_replace(F.regexp_replace("path", r"\+", "%2B"), r"^[a-z0-9]+:(//[^/]*)?", ""))
+    path = F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?", "")
     return rows.select(F.substr(path, F.lit(len(base) + 2)).alias("relpath"), "path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
 
 

@@ -11,7 +11,7 @@ from silverleaf import cli
 from silverleaf.catalog import Library
 from silverleaf.functions import images
 from silverleaf.operators import media
-from silverleaf.plans import jobs
+from silverleaf.plans import ingest, jobs
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -47,6 +47,22 @@ def library(spark, tmp_path_factory):
     return lib, f"{root}/photos", root
 
 
+def test_contents_are_read_by_name_or_with_the_tree(spark, tmp_path, monkeypatch):
+    names = ["a.jpg", "b [1] {x} 100%+? %20é.jpg", "c*d.jpg"]
+    (tmp_path / "photos" / "k=v").mkdir(parents=True)
+    for n in names:
+        (tmp_path / "photos" / "k=v" / n).write_bytes(n.encode())
+    lib = Library(spark, str(tmp_path / "lib"))
+    ingest.index(lib, str(tmp_path / "photos"), 1)
+    queue = lib.read("assets").filter("filename <> 'a.jpg'")
+    want = sorted((r["id"], r["filename"].encode()) for r in queue.collect())
+    assert len(want) == 2
+    for few in (0, 1, 2, 20):
+        monkeypatch.setattr(jobs, "FEW", few)
+        assert sorted((r["asset_id"], bytes(r["content"])) for r in jobs.contents(lib, str(tmp_path / "photos"), queue).collect()) == want
+        assert jobs.contents(lib, str(tmp_path / "photos"), queue.limit(0)).count() == 0
+
+
 def test_decoding_and_hashing():
     assert images.decode(b"") is images.decode(b"nothing") is images.decode(b"P5 9 9 255 x") is None
     pixels = images.decode(b"P6 2 1 255\n" + bytes([255, 0, 0, 0, 0, 255]))
