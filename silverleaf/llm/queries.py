@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontamination, language_id, near_dedup, quality, quality_rules, sharding, token_counts, toxicity
+from . import bpe, chat_format, conversation_repair, decontamination, language_id, near_dedup, quality, quality_rules, sharding, token_counts, toxicity
 from .common import fold_is, read
 
 
@@ -73,6 +73,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "copies")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired_conversations(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_decontamination": op2_decontamination,
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -92,4 +97,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_sharding": sharding.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
     "op10_simhash_near_dedup": near_dedup.ORACLE_SQL,
+    "op11_conversation_repair": conversation_repair.ORACLE_SQL,
 }
