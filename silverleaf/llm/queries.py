@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, conversation_repair, decontamination, language_id, near_dedup, quality, quality_rules, sharding, spelling_variants, token_counts, toxicity
+from . import bpe, chat_format, conversation_repair, decontamination, jaccard_join, language_id, near_dedup, quality, quality_rules, sharding, spelling_variants, token_counts, toxicity
 from .common import fold_is, read
 
 
@@ -77,6 +77,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repaired_conversations(read(spark, sf_dir, "conversations"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.variants(spelling_variants.vocabulary(read(spark, sf_dir, "documents")))
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
@@ -103,5 +108,6 @@ ORACLE_SQL: dict[str, str] = {
     "op9_quality_rules": quality_rules.ORACLE_SQL,
     "op10_simhash_near_dedup": near_dedup.ORACLE_SQL,
     "op11_conversation_repair": conversation_repair.ORACLE_SQL,
+    "op12_jaccard_join": jaccard_join.ORACLE_SQL,
     "op13_spelling_variants": spelling_variants.ORACLE_SQL,
 }
