@@ -13,8 +13,8 @@ from ..lineage import checkpoint
 
 #: Parts that a node's edges are dealt into where they meet the node's minimum.
 SALTS = 32
-#: Edges that a task contracts at once.
-TOGETHER = 1 << 18
+#: Edges that a task contracts at once; edges that one task closes to the end, beyond which all tasks take rounds.
+TOGETHER, FEW = 1 << 18, 1 << 16
 
 
 def _salt(end: str) -> Column:
@@ -74,14 +74,18 @@ def components(edges: DataFrame, contract: bool = True) -> DataFrame:
     node with a smaller neighbour has no other. A hub's edges never gather in one task: its
     minimum and the salts that its edges have are aggregated before the shuffle, and edges
     are joined with them by node and salt. Edges whose lower end is already a root, which
-    most soon are, find nothing to join and stay as they are.
+    most soon are, find nothing to join and stay as they are. No more than FEW edges (a
+    megabyte) are left to one task instead.
     """
     if contract:
         e = contracted(edges)
     else:
         e = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     e = checkpoint(e.distinct())
-    while True:
+    few = e.limit(FEW + 1).count() <= FEW
+    if few:
+        e = checkpoint(contracted(e.select(F.col("u").alias("a"), F.col("v").alias("b")).coalesce(1)))
+    while not few:
         none = F.lit(0).cast("long")
         both = e.select(F.col("u").alias("node"), F.col("v").alias("other"), none.alias("bit")).unionByName(
             e.select(F.col("v").alias("node"), F.col("u").alias("other"), F.call_function("shiftleft", F.lit(1).cast("long"), _salt("u")).alias("bit"))

@@ -244,15 +244,18 @@ def test_windowed_pairs_equal_brute_force(spark, window):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_components_of_chains_stars_and_cycles(spark):
+@pytest.mark.parametrize("few", [0, 1 << 16])
+def test_components_of_chains_stars_and_cycles(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(200, 201), (201, 202), (202, 200)] + [(300, 300)]
     got = dict(rows(graph.components(spark.createDataFrame(edges, "a long, b long").repartition(5)), "node", "root"))
     assert got == {i: 0 for i in range(41)} | {100 + k: 100 for k in range(30)} | {200: 200, 201: 200, 202: 200}
 
 
-@pytest.mark.parametrize("contract", [True, False])
-def test_components_of_hubs_equal_brute_force(spark, contract):
+@pytest.mark.parametrize("contract,few", [(True, 0), (False, 0), (False, 1 << 16)])
+def test_components_of_hubs_equal_brute_force(spark, monkeypatch, contract, few):
     """Hubs that are no roots, with many larger and many smaller neighbours, over many partitions."""
+    monkeypatch.setattr(graph, "FEW", few)
     rng = np.random.default_rng(2)
     edges = [(1000, int(k)) for k in rng.integers(0, 3000, 400)] + [(5, 1000)] + [tuple(map(int, p)) for p in rng.integers(3000, 9000, (2500, 2))]
     root = {n: n for e in edges for n in e}
