@@ -252,10 +252,10 @@ def _candidates(sets: DataFrame) -> DataFrame:
     return known.join(sizes, "comp")
 
 
-def _links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(a, b): a spanning set of the links between different sets, by key."""
+def _links(docs: DataFrame, sets: DataFrame, classes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(a, b): a spanning set of the links between different sets, by key; classes: key and its least id."""
     wanted = checkpoint(_candidates(sets))
-    ids = checkpoint(sets.join(wanted.select("key"), "key").groupBy("key").agg(F.min("id").alias("wanted_id")).select("wanted_id").distinct())
+    ids = checkpoint(classes.join(wanted.select("key"), "key").select(F.col("least").alias("wanted_id")).distinct())
     small = ids.count() <= BROADCAST
     picked = docs.join(F.broadcast(ids) if small else ids, docs[id_col].cast("long").eqNullSafe(ids["wanted_id"]), "left_semi")
     held = incidence(picked, id_col, text_col, width, "grams").drop("n").dropDuplicates(["key"])
@@ -299,7 +299,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     sets = checkpoint(incidence(docs, id_col, text_col, width, "sigs").withColumn("salt", salt))
     known = sets.filter("key IS NOT NULL").select("id", "key", "salt")
     classes = checkpoint(known.groupBy("key").agg(F.min("id").alias("least"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("salt"))).alias("mask")))
-    roots = checkpoint(components(_links(docs, sets.select("id", "key", "n", "sigs"), id_col, text_col, width), contract=False)).withColumnRenamed("node", "key")
+    roots = checkpoint(components(_links(docs, sets, classes, id_col, text_col, width), contract=False)).withColumnRenamed("node", "key")
     mine = classes.join(roots, "key")
     names = mine.groupBy("root").agg(F.min("least").alias("component_id"))
     grouped = mine.join(names, "root").select("key", F.col("component_id"))
