@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write df as a table to the shared folder and read it from there; the table goes when the JVM ends.
+
+    For loops: unlike a checkpoint, the table carries no constraints of the plan that made
+    it, which double with each round's joins until planning takes longer than the work.
+    """
+    spark = df.sparkSession
+    there = f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(there)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(there)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(there)
+
+
 def ranked(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     """df with each row's place, from 0, in the total order of its columns.
 

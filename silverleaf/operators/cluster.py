@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, vectors
 from ..lineage import checkpoint, ranked
+from .density import hdbscan
 from .graph import components
 
 #: Vectors in a block of the all-pairs join.
@@ -228,122 +229,6 @@ def dbscan(embeddings: DataFrame, eps: float = 0.5, min_samples: int = 2) -> Dat
     return cores.unionByName(border.groupBy(F.col("a").alias("asset_id")).agg(F.min("cluster_id").alias("cluster_id")))
 
 
-def hdbscan_labels(v: np.ndarray, min_cluster_size: int = 2, min_samples: int = 2) -> np.ndarray:
-    """HDBSCAN of rows by Euclidean distance: mutual reachability tree, condensed, most stable clusters; -1 is noise."""
-    n = len(v)
-    if n < max(2, min_cluster_size):
-        return np.full(n, -1)
-    square = (v * v).sum(1)
-
-    def distances(rows: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(0, square[rows, None] + square[None] - 2 * v[rows] @ v.T))
-
-    place = min(min_samples, n) - 1
-    core = np.concatenate([np.partition(distances(np.arange(at, min(n, at + 256))), place, axis=1)[:, place] for at in range(0, n, 256)])
-    best, source, done = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool)
-    edges, at = [], 0
-    for _ in range(n - 1):  # Prim, with the mutual reachability of one row at a time
-        done[at] = True
-        reach = np.maximum(distances(np.array([at]))[0], np.maximum(core, core[at]))
-        closer = ~done & (reach < best)
-        best[closer], source[closer] = reach[closer], at
-        at = int(np.argmin(np.where(done, np.inf, best)))
-        edges.append((best[at], int(source[at]), at))
-    parent, size, children = list(range(2 * n - 1)), [1] * n + [0] * (n - 1), {}
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for k, (w, a, b) in enumerate(sorted(edges)):
-        a, b, new = find(a), find(b), n + k
-        parent[a] = parent[b] = new
-        size[new], children[new] = size[a] + size[b], (a, b, w)
-
-    def leaves(x: int) -> list[int]:
-        out, stack = [], [x]
-        while stack:
-            y = stack.pop()
-            stack.extend(children[y][:2]) if y >= n else out.append(y)
-        return out
-
-    # Condense: a split makes two clusters only if both sides are large enough.
-    born, kids, gone, stack = {0: 0.0}, {0: []}, {0: []}, [(2 * n - 2, 0)]
-    while stack:
-        x, c = stack.pop()
-        if x < n:
-            gone[c].append((x, np.inf))
-            continue
-        a, b, w = children[x]
-        lam = 1 / w if w > 0 else np.inf
-        big = [y for y in (a, b) if size[y] >= min_cluster_size]
-        if len(big) == 2:
-            for y in big:
-                k = len(born)
-                born[k], kids[k], gone[k] = lam, [], []
-                kids[c].append((k, lam, size[y]))
-                stack.append((y, k))
-        else:
-            for y in (a, b):
-                if y in big:
-                    stack.append((y, c))
-                else:
-                    gone[c] += [(i, lam) for i in leaves(y)]
-    finite = [l for g in gone.values() for _, l in g if np.isfinite(l)] + [l for l in born.values() if np.isfinite(l)]
-    cap = 2 * max(finite, default=1.0) or 1.0
-    level = lambda l: min(l, cap)
-    stable = {c: sum(level(l) - level(born[c]) for _, l in gone[c]) + sum((level(l) - level(born[c])) * s for _, l, s in kids[c]) for c in born}
-    chosen = {}
-    for c in sorted(born, reverse=True):
-        below = sum(stable[k] for k, _, _ in kids[c])
-        chosen[c] = c > 0 and stable[c] >= below
-        if not chosen[c]:
-            stable[c] = below
-    label, names = np.full(n, -1), 0
-
-    def mark(c: int) -> None:
-        stack = [c]
-        while stack:
-            k = stack.pop()
-            label[[i for i, _ in gone[k]]] = names
-            stack.extend(x for x, _, _ in kids[k])
-
-    stack = [0]
-    while stack:
-        c = stack.pop()
-        if chosen[c]:
-            mark(c)
-            names += 1
-        else:
-            stack.extend(k for k, _, _ in kids[c])
-    return label
-
-
-def hdbscan(embeddings: DataFrame, min_cluster_size: int = 2, min_samples: int = 2, group: str | None = None, unit: bool = True) -> DataFrame:
-    """(asset_id, cluster_id) on unit vectors, or on points as they are; a cluster is named by its smallest id.
-
-    The method orders all points of a data set by one tree, so each group is one task: it
-    holds the group's vectors and one row of distances, and its time grows with their
-    square. Groups (a detection run, a component) are what bounds it.
-    """
-    valid = embeddings.filter(vectors.valid(F.col("embedding"))) if unit else embeddings
-    rows = valid.select((F.col(group) if group else F.lit(0)).alias("g"), F.col("asset_id").cast("long").alias("asset_id"), "embedding")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("asset_id")
-        v = np.stack(pdf["embedding"]).astype(np.float64)
-        if unit:
-            v /= np.linalg.norm(v, axis=1, keepdims=True)
-        label = hdbscan_labels(v, min_cluster_size, min_samples)
-        out = pd.DataFrame({"asset_id": pdf["asset_id"].to_numpy(), "k": label})
-        out = out[out.k >= 0]
-        return out.assign(cluster_id=out.groupby("k")["asset_id"].transform("min"))[["asset_id", "cluster_id"]]
-
-    return rows.groupBy("g").applyInPandas(run, "asset_id long, cluster_id long")
-
-
 def face_clusters(faces: DataFrame, method: str = "hdbscan", eps: float = 0.5, min_samples: int = 2, min_cluster_size: int = 2) -> DataFrame:
     """(cluster_id, face_id, distance, is_representative) of one run's faces."""
     vecs = faces.select(F.col("id").alias("asset_id"), "embedding")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from silverleaf import schema
 from silverleaf.catalog import Library
 from silverleaf.functions import bits, text, vectors
-from silverleaf.operators import browse, cluster, dml, graph, reports, scoring, similarity
+from silverleaf.operators import browse, cluster, density, dml, graph, reports, scoring, similarity
 from silverleaf.plans import ingest, params
 from silverleaf.plans.params import BrowseQuery, Filters, SortCriterion
 from silverleaf.sources import json_schema, scan, sidecar
@@ -327,7 +327,7 @@ def test_density_methods_find_the_same_blobs(spark):
     assert rows(cluster.dbscan(df, 0.05, 3), "asset_id", "cluster_id") == sorted(want, key=repr)
     # The stray point leaves its cluster late, so this method counts it as one of its members.
     assert rows(cluster.hdbscan(df, 3, 2).filter("asset_id < 19"), "asset_id", "cluster_id") == sorted(want, key=repr)
-    assert (cluster.hdbscan_labels(np.zeros((1, 3))) == -1).all()
+    assert (density.hdbscan_labels(np.zeros((1, 3))) == -1).all()
     faces = df.withColumnRenamed("asset_id", "id")
     for method in ("dbscan", "hdbscan"):
         got = cluster.face_clusters(faces, method, 0.05, 2, 3).collect()
