@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, vectors
 from ..lineage import checkpoint, ranked
+from . import projection
 from .density import hdbscan
 from .graph import components
 
 #: Vectors in a block of the all-pairs join.
 BLOCK = 2048
 HASH_WINDOW, HASH_THRESHOLD = 200, 20
+#: Rows from which the map is a UMAP projection.
+MIN_UMAP = 15
 
 
 # Similarity joins.
@@ -289,11 +292,12 @@ def cap_clusters(df: DataFrame, max_clusters: int, coords: str = "coords", label
 
 
 def embedding_map(embeddings: DataFrame, max_clusters: int = 24, method: str = "kmeans", projector=None) -> tuple[DataFrame, DataFrame]:
-    """(points, clusters) of a three-dimensional map: scale, PCA, cluster, nearest to centre.
+    """(points, clusters) of a three-dimensional map: scale, PCA, project, cluster, nearest to centre.
 
-    points: asset_id, x, y, z, label; clusters: label, size, rep_asset_id. `projector`
-    may replace the first three principal components (it maps a DataFrame with a `pcs`
-    vector to one with a `coords` array).
+    points: asset_id, x, y, z, label; clusters: label, size, rep_asset_id. From MIN_UMAP
+    rows on the principal components are projected by UMAP, with cosine distances between
+    them; below that the first three are the map. `projector` may replace that (it maps a
+    DataFrame with a `pcs` vector to one with a `coords` array).
     """
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -308,7 +312,13 @@ def embedding_map(embeddings: DataFrame, max_clusters: int = 24, method: str = "
     scaled = StandardScaler(withMean=True, withStd=True, inputCol="v", outputCol="s").fit(rows).transform(rows)
     pcs = PCA(k=dims, inputCol="s", outputCol="pcs").fit(scaled).transform(scaled)
     a = vector_to_array("pcs")
-    made = projector(pcs) if projector else pcs.withColumn("coords", F.array(*(F.coalesce(F.get(a, k), F.lit(0.0)) for k in range(3))))
+    first_three = pcs.withColumn("coords", F.array(*(F.coalesce(F.get(a, k), F.lit(0.0)) for k in range(3))))
+    if projector:
+        made = projector(pcs)
+    elif n >= MIN_UMAP:
+        made = projection.umap(pcs.select(F.col("asset_id").alias("node"), a.alias("v")), first_three.select(F.col("asset_id").alias("node"), "coords")).withColumnRenamed("node", "asset_id")
+    else:
+        made = first_three
     made = checkpoint(made.select("asset_id", "coords"))
     if method == "kmeans":
         labelled = kmeans(made.withColumn("f", array_to_vector("coords")), "f", cluster_count(n, max_clusters)).drop("f")

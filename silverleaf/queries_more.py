@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import text, vectors
-from .operators import browse, cluster, dml, reports, scoring, similarity
+from .operators import browse, cluster, density, dml, projection, reports, scoring, similarity
 from .plans import ingest, params, progress
 from .queries import _COMPONENTS, _DBSCAN, _DOT, _MEAN, _NORM, _SIM, _UNIT, CLUSTER, HAMMING, ORACLE_SQL, WINDOW, query
 from .sources import scan, sidecar
@@ -252,9 +252,35 @@ _with(
 )
 
 
+#: Distances up to which parts of the mutual reachability graph are counted.
+_REACH = (0.2, 0.4, 0.6, 0.8, 1.0)
+
+
+_with(
+    "reachability_forest", "clip_embeddings",
+    f"u AS (SELECT asset_id AS id, {_UNIT_EMB} AS u FROM clip_embeddings), d AS (SELECT a.id AS a, b.id AS b, round(sqrt(greatest(0, 2 - 2 * list_inner_product(a.u, b.u))), 6) AS d FROM u a JOIN u b ON a.id <> b.id), "
+    "core AS (SELECT a, min(d) AS c FROM d GROUP BY a), pairs AS (SELECT d.a, d.b, greatest(d, x.c, y.c) AS w FROM d JOIN core x ON x.a = d.a JOIN core y ON y.a = d.b), "
+    f"reached AS (SELECT t, id AS a, id AS b FROM u, (SELECT unnest({list(_REACH)}::DOUBLE[]) AS t) UNION SELECT r.t, r.a, p.b FROM reached r JOIN pairs p ON p.a = r.b AND p.w <= r.t)",
+    "SELECT t, count(DISTINCT least) AS parts FROM (SELECT t, a, min(b) AS least FROM reached GROUP BY t, a) GROUP BY t",
+)
+
+
+@query("reachability_forest", "clip_embeddings")
+def _(embeddings):
+    points = embeddings.filter(vectors.valid(F.col("embedding"))).select(F.lit(0).alias("g"), F.col("asset_id").alias("node"), vectors.unit(F.col("embedding")).alias("v"))
+    edges = density.spanning_forest(points, 2).select(F.explode(F.array(*(F.struct(F.lit(t).alias("t"), (F.col("w") <= t).alias("short")) for t in _REACH))).alias("e"))
+    short = edges.groupBy("e.t").agg(F.sum(F.col("e.short").cast("long")).alias("short"))
+    return short.join(F.broadcast(points.agg(F.count("*").alias("n")))).select("t", (F.col("n") - F.col("short")).alias("parts"))
+
+
 @query("map_invariants", "clip_embeddings", "SELECT count(*) AS points, 0.0::DOUBLE AS middle, 0.0::DOUBLE AS related, greatest(2, floor(sqrt(count(*))))::BIGINT AS most, count(*) AS in_clusters, 0::BIGINT AS strangers FROM clip_embeddings")
 def _(embeddings):
-    points, clusters = cluster.embedding_map(embeddings, 1000)
+    def first_three(pcs):
+        from pyspark.ml.functions import vector_to_array
+
+        return pcs.withColumn("coords", F.slice(vector_to_array("pcs"), 1, 3))
+
+    points, clusters = cluster.embedding_map(embeddings, 1000, projector=first_three)
     around = points.agg(F.count("*").alias("points"), F.abs(F.round(F.avg(F.col("x") + F.col("y") + F.col("z")), 3)).alias("middle"), F.abs(F.round(F.corr("x", "y") + F.corr("x", "z") + F.corr("y", "z"), 2)).alias("related"))
     most = clusters.agg(F.max(F.lit(1)).alias("one"), F.count("*").alias("n"), F.sum("size").alias("in_clusters"))
     strangers = clusters.join(points, (points["asset_id"] == clusters["rep_asset_id"]) & (points["label"] == clusters["label"]), "left_anti").agg(F.count("*").alias("strangers"))
@@ -262,6 +288,32 @@ def _(embeddings):
     return around.join(F.broadcast(most)).join(F.broadcast(limit)).join(F.broadcast(strangers)).filter("n <= most").select("points", "middle", "related", "most", "in_clusters", "strangers")
 
 
+_with(
+    "map_neighbours", "clip_embeddings",
+    f"u AS (SELECT asset_id AS id, {_UNIT_EMB} AS u FROM clip_embeddings), d AS (SELECT a.id AS asset_id, 1 - list_inner_product(a.u, b.u) AS d FROM u a JOIN u b ON a.id <> b.id)",
+    "SELECT asset_id, k, round(d, 6) AS distance FROM (SELECT asset_id, d, row_number() OVER (PARTITION BY asset_id ORDER BY d) AS k FROM d) WHERE k <= 15",
+)
+
+
+@query("map_neighbours", "clip_embeddings")
+def _(embeddings):
+    lists = projection.neighbours(embeddings.select(F.col("asset_id").alias("node"), F.col("embedding").cast("array<double>").alias("v")))
+    return lists.select(F.col("node").alias("asset_id"), F.posexplode("near").alias("k", "e")).select("asset_id", (F.col("k") + 1).cast("long").alias("k"), F.round("e.d", 6).alias("distance"))
+
+
+_with("map_clusters", "clip_embeddings", "n AS (SELECT count(*) AS n FROM clip_embeddings)", "SELECT n AS points, least(24, greatest(2, floor(sqrt(n))), n)::BIGINT AS most, n AS in_clusters, 0::BIGINT AS strangers FROM n")
+
+
+@query("map_clusters", "clip_embeddings")
+def _(embeddings):
+    points, clusters = cluster.embedding_map(embeddings)
+    sizes = clusters.agg(F.count("*").alias("n"), F.sum("size").alias("in_clusters"), F.min("size").alias("least"))
+    strangers = clusters.join(points, (points["asset_id"] == clusters["rep_asset_id"]) & (points["label"] == clusters["label"]), "left_anti").agg(F.count("*").alias("strangers"))
+    apart = points.select("x", "y", "z").distinct().agg(F.count("*").alias("places"))
+    limit = embeddings.agg(F.count("*").alias("points")).withColumn("most", F.least(F.lit(24), F.greatest(F.lit(2), F.floor(F.sqrt("points"))), F.col("points")).cast("long"))
+    return limit.join(F.broadcast(sizes)).join(F.broadcast(strangers)).join(F.broadcast(apart)).filter("n <= most AND least > 0 AND 2 * places > points").select("points", "most", "in_clusters", "strangers")
+
+
 @query("kmeans_invariants", "clip_embeddings", "SELECT count(*) AS points, 10::BIGINT AS labels, 0::BIGINT AS lowest, 9::BIGINT AS highest FROM clip_embeddings")
 def _(embeddings):
     from pyspark.ml.functions import array_to_vector

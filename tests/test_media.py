@@ -151,8 +151,9 @@ def test_embed_search_and_map(library):
     assert lib.read("clip_embeddings").count() == 4
     assert jobs.search_text(lib, Encoder(), " ").count() == 0 and jobs.search_text(lib, Encoder(), "word").count() == 4
     assert jobs.cluster_images(lib, 2, "clip") == 1
-    points, _ = cache.get(3)
-    assert points.count() == 4 and cache.get(3)[0] is points
+    found = cache.get(3)
+    points = found.points
+    assert points.count() == 4 == found.total and found.params == {"clustering_method": "kmeans", "max_clusters": 3} and cache.get(3)[0] is points
     jobs.embed_images(lib, root, Encoder, 2)
     assert not cache.made
 
