@@ -43,14 +43,13 @@ def bounded_sample(rows: DataFrame, per_group: int, group: str, key: list[str],
     return rows.filter(keep)
 
 
-def labelled_texts(docs: DataFrame, known: DataFrame, label: str, per_label: int, seed: int) -> list:
-    """(doc_id, text, label) rows: at most about per_label of each label, whole texts, in a fixed order.
+def labelled_rows(docs: DataFrame, known: DataFrame, label: str, per_label: int, seed: int) -> DataFrame:
+    """(doc_id, text, label): at most about per_label rows of each label, whole texts.
 
     known has distinct (doc_id, label). Ids are drawn first, as they are small, and then
     the distinct rows of docs with these ids, so an id that is repeated with many texts
-    counts with each of them.
+    counts with each of them. Null texts and ids are left out; an empty table gives none.
     """
     chosen = bounded_sample(known, per_label, label, ["doc_id"], seed)
     rows = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", label).distinct()
-    drawn = bounded_sample(checkpoint(rows), per_label, label, ["doc_id", "text"], seed + 1).collect()
-    return sorted(drawn, key=lambda r: (r["doc_id"], r["text"], r[label]))
+    return bounded_sample(checkpoint(rows), per_label, label, ["doc_id", "text"], seed + 1)

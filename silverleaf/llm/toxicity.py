@@ -5,14 +5,18 @@ and of the whole word, all hashed into one table; a document is the mean of its
 a two-class softmax reads the mean. A misspelling that was never seen shares most
 n-grams with what was.
 
-Embeddings are signed, start at zero and are fitted together with the softmax in numpy,
-under a penalty on the length of each n-gram's embedding (a group lasso), as there are
-far more n-grams than documents and plain fitting learns documents by heart. The penalty
-is set from the number of n-grams and the noise of the labels, not by hand, and is the
-same for all n-grams once their shares are brought to one scale. Steps work on the
-n-grams that are not zero; whoever else the gradient would move is taken in until none
-is left, so the result is that of fitting all n-grams at once. A last round takes most of
-the penalty off what is left, so that weights are not shrunk.
+Embeddings start at small random values; they, the softmax's two weight vectors and its
+two biases are all free and fitted jointly in numpy, with weight decay. As there are far
+more n-grams than documents, and plain fitting learns documents by heart, which n-grams
+get an embedding is decided by the same joint fit under a penalty on each embedding's
+length times the softmax's (a group lasso). The penalty is set from the number of n-grams
+and the noise of the labels, not by hand, and is the same for all n-grams once their
+shares are brought to one scale. Rounds take in whichever n-grams the gradient would move,
+until none is left; then those that are not zero start anew at small random values, and a
+last round fits them with hardly any penalty, so that weights are not shrunk.
+
+Executors count the words of the sampled documents; these counts come to the driver,
+never a text.
 
 Both steps are linear, so a trained model scores a word by one number and a document
 by the mean of its words' numbers; each worker keeps the numbers of words it has met.
@@ -23,14 +27,14 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_is, labelled_texts
+from .common import fold_is, labelled_rows
 
 #: Training documents of each label, each with its whole text.
 SAMPLE_DOCS = 3_000
@@ -42,6 +46,8 @@ MIN_TEXTS = 2
 #: the same (a share's own curvature is 0.25); and what the last round keeps of both.
 PENALTY, PENALTY_BOUND, DECAY, RELAXED = 0.7, 0.6, 15.0, 1e-3
 ROUNDS, STEPS = 12, 60
+#: The size of first values of embeddings, and the decay of the softmax's weights.
+INITIAL, SOFTMAX_DECAY = 0.05, 1e-3
 #: Words that say nothing, added to every text's mean, so that one word of a very short text isn't all of it.
 PAD = 30
 #: A word is cut into n-grams over its first so many characters; the rest of a longer
@@ -69,10 +75,21 @@ def buckets(word: str) -> list[int]:
 
 
 class ToxicityModel:
-    """weight[b]: the logit of label 1 that n-gram b adds to its word; scores texts."""
+    """Embeddings of n-grams and a softmax over them; scores texts.
 
-    def __init__(self, weight: dict[int, float], bias: float):
-        self.weight, self.bias = weight, bias
+    weight[b] is the logit of label 1 that n-gram b adds to its word: its embedding times
+    the difference of the softmax's two weight vectors.
+    """
+
+    def __init__(self, grams: np.ndarray, table: np.ndarray, softmax: np.ndarray, biases: np.ndarray):
+        self.table, self.softmax, self.biases = table, softmax, biases
+        added = table @ (softmax[:, 1] - softmax[:, 0])
+        self.weight = {int(b): float(x) for b, x in zip(grams, added) if x}
+        self.bias = float(biases[1] - biases[0])
+
+    @classmethod
+    def constant(cls, bias: float) -> ToxicityModel:
+        return cls(np.zeros(0, np.int64), np.zeros((0, DIM)), np.zeros((DIM, 2)), np.array([-bias / 2, bias / 2]))
 
     def word(self, word: str) -> float:
         grams = buckets(word)
@@ -94,11 +111,10 @@ class ToxicityModel:
 class _Bags:
     """The training texts as sparse counts: texts by words, words by n-grams."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, bags: list[Mapping[str, int]]):
         place: dict[str, int] = {}
-        rows, cols, shares, self.sizes = [], [], [], np.zeros(len(texts), np.int64)
-        for r, text in enumerate(texts):
-            bag = Counter(words(text))
+        rows, cols, shares, self.sizes = [], [], [], np.zeros(len(bags), np.int64)
+        for r, bag in enumerate(bags):
             self.sizes[r] = n = sum(bag.values())
             rows.append(np.full(len(bag), r, np.int32))
             cols.append(np.fromiter((place.setdefault(w, len(place)) for w in bag), np.int32, len(bag)))
@@ -153,96 +169,126 @@ def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS, steps: int = STEPS, seed: int = 3) -> ToxicityModel:
-    """Embeddings and softmax together, by accelerated proximal gradient steps.
+def fit(bags: list[Mapping[str, int]], labels: list[int], rounds: int = ROUNDS, steps: int = STEPS, seed: int = 3) -> ToxicityModel:
+    """Embeddings and softmax together, by accelerated proximal gradient steps, from texts' word counts.
 
-    Texts without words are left out, and copies count once. Without texts of both labels
-    the model gives every text the share of label 1 as its score.
+    Texts without words are left out, and equal counts with one label count once. Without
+    texts of both labels the model gives every text the share of label 1 as its score.
     """
-    pairs = sorted(set(zip(texts, map(int, labels))))
-    bags = _Bags([t for t, _ in pairs])
+    pairs = sorted({(tuple(sorted(b.items())), int(k)) for b, k in zip(bags, labels)})
+    held = _Bags([dict(b) for b, _ in pairs])
     y = np.array([k for _, k in pairs], np.float64)
-    use = bags.sizes > 0
+    use = held.sizes > 0
     ones, zeros = int((y[use] == 1).sum()), int((y[use] == 0).sum())
     if not ones or not zeros:
         share = (ones + 0.5) / (ones + zeros + 1)
-        return ToxicityModel({}, float(np.log(share / (1 - share))) if ones else -10.0)
+        return ToxicityModel.constant(float(np.log(share / (1 - share))) if ones else -10.0)
     weight = np.where(y == 1, 0.5 / ones, 0.5 / zeros) * use  # each label weighs as much as the other
-    there, square = bags.moments(weight)
+    there, square = held.moments(weight)
     kept = np.flatnonzero(there >= min(MIN_TEXTS, ones))
-    bags.keep(kept)
+    held.keep(kept)
     scale = 1 / np.sqrt(np.maximum(square[kept], 1e-300))  # embeddings are of shares of one size
-    pull = np.abs(bags.pulls(weight * (0.5 - y))) * scale
+    pull = np.abs(held.pulls(weight * (0.5 - y))) * scale
     noise = np.sqrt(0.25 * float((weight**2).sum()) * 2 * np.log(max(2, len(kept))))
     penalty = min(PENALTY * noise, PENALTY_BOUND * float(pull.max(initial=0.0)))
 
     rng = np.random.default_rng(seed)
-    side = rng.normal(size=DIM)
-    side /= np.linalg.norm(side)  # the softmax's weights are -side / 2 and side / 2, of fixed length
-    table, bias = np.zeros((len(kept), DIM)), 0.0
+    softmax, biases = rng.normal(size=(DIM, 2)) / np.sqrt(2 * DIM), np.zeros(2)
+    table = np.zeros((len(kept), DIM))
     active = np.zeros(len(kept), bool)
-    r = weight * (1 / (1 + np.exp(-bias)) - y)
-    for k in range(rounds):
-        last = k + 1 == rounds
-        if not last:
-            fresh = ~active & (np.abs(bags.pulls(r)) * scale > penalty * 1.01)
-            active |= fresh
-            last = not fresh.any()
-        if last:  # what is not zero by now, almost freely
-            active &= np.linalg.norm(table, axis=1) > 0
-            penalty *= RELAXED
-        learned = np.flatnonzero(active)
-        side, bias, r = _steps(bags, learned, scale, table, side, bias, weight, y, penalty, DECAY * (RELAXED if last else 1), steps * (6 if last else 1))
-        if last:
+    r = weight * (0.5 - y)
+    for _ in range(rounds):
+        fresh = ~active & (np.abs(held.pulls(r)) * scale > penalty * 1.01)
+        if not fresh.any():
             break
-    final = (table @ side) * scale
-    return ToxicityModel({int(kept[k]): float(final[k]) for k in np.flatnonzero(final)}, float(bias))
+        active |= fresh
+        table[fresh] = INITIAL * rng.normal(size=(int(fresh.sum()), DIM))
+        softmax, biases, r = _steps(held, np.flatnonzero(active), scale, table, softmax, biases, weight, y, penalty, DECAY, steps)
+    chosen = np.flatnonzero(np.linalg.norm(table, axis=1) > 0)
+    table[chosen] = INITIAL * rng.normal(size=(len(chosen), DIM))
+    softmax, biases, r = _steps(held, chosen, scale, table, softmax, biases, weight, y, penalty * RELAXED, DECAY * RELAXED, steps * 6)
+    return ToxicityModel(kept[chosen], table[chosen] * scale[chosen][:, None], softmax, biases)
 
 
-def _steps(bags: _Bags, learned: np.ndarray, scale: np.ndarray, table: np.ndarray, side: np.ndarray, bias: float, weight: np.ndarray, y: np.ndarray, penalty: float, decay: float, steps: int) -> tuple[np.ndarray, float, np.ndarray]:
-    """Fit the learned n-grams' rows of the table, the softmax's side and bias; then also each text's pull."""
-    place = np.full(len(scale), -1, np.int64)
-    place[learned] = np.arange(len(learned))
-    row, col, share = bags.entries(place)
-    share = share * scale[learned][col]
-    n, p = len(y), len(learned)
+class Joint:
+    """The weighted cross-entropy of a softmax over texts' mean embeddings, and its gradients."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, share: np.ndarray, n: int, p: int, weight: np.ndarray, y: np.ndarray):
+        """Entries (text, n-gram, share) of n texts over p n-grams; each text's weight and label."""
+        self.row, self.col, self.share, self.n, self.p = row, col, share, n, p
+        self.weight, self.y = weight, y
+
+    def mean(self, table: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.row, table[self.col, k] * self.share, self.n) for k in range(table.shape[1])], 1)
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, r[self.row] * self.share, self.p)
+
+    def pull(self, doc: np.ndarray, softmax: np.ndarray, biases: np.ndarray) -> np.ndarray:
+        """The gradient of each text's logit of label 1; that of label 0 is its negative."""
+        z = np.clip(doc @ (softmax[:, 1] - softmax[:, 0]) + biases[1] - biases[0], -50, 50)
+        return self.weight * (1 / (1 + np.exp(-z)) - self.y)
 
-    def mean(x: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(row, x[col, k] * share, n) for k in range(x.shape[1])], 1)
+    def loss(self, table: np.ndarray, softmax: np.ndarray, biases: np.ndarray) -> float:
+        z = self.mean(table) @ (softmax[:, 1] - softmax[:, 0]) + biases[1] - biases[0]
+        return float((self.weight * np.logaddexp(0, np.where(self.y == 1, -z, z))).sum())
 
-    def back(r: np.ndarray) -> np.ndarray:
-        return np.bincount(col, r[row] * share, p)
+    def gradients(self, table: np.ndarray, softmax: np.ndarray, biases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of table, softmax and biases; and the texts' means."""
+        doc = self.mean(table)
+        r = self.pull(doc, softmax, biases)
+        of_softmax, total = doc.T @ r, float(r.sum())
+        return np.outer(self.back(r), softmax[:, 1] - softmax[:, 0]), np.stack([-of_softmax, of_softmax], 1), np.array([-total, total]), doc
 
-    u = np.ones((p, 1))
+
+def _steps(bags: _Bags, learned: np.ndarray, scale: np.ndarray, table: np.ndarray, softmax: np.ndarray, biases: np.ndarray, weight: np.ndarray, y: np.ndarray, penalty: float, decay: float, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fit the learned n-grams' rows of the table, the softmax and its biases; then also each text's pull.
+
+    Steps on the table, the penalty and the decay are in units of the softmax's own length,
+    so that how the two share the size of a logit makes no difference.
+    """
+    place = np.full(len(scale), -1, np.int64)
+    place[learned] = np.arange(len(learned))
+    row, col, share = bags.entries(place)
+    joint = Joint(row, col, share * scale[learned][col], len(y), len(learned), weight, y)
+    u = np.ones((len(learned), 1))
     for _ in range(15):
-        u = back(weight * mean(u / max(1e-12, np.linalg.norm(u)))[:, 0])[:, None]
+        u = joint.back(weight * joint.mean(u / max(1e-12, np.linalg.norm(u)))[:, 0])[:, None]
     lipschitz = max(1e-9, float(np.linalg.norm(u)) * 0.3)
     emb = ahead = table[learned]
     t = 1.0
     for _ in range(steps):
-        doc = mean(ahead)
-        r = weight * (1 / (1 + np.exp(-np.clip(doc @ side + bias, -50, 50))) - y)
-        new = ahead - np.outer(back(r), side) / lipschitz
+        size = max(1e-6, float(np.linalg.norm(softmax[:, 1] - softmax[:, 0])))
+        of_table, of_softmax, of_biases, doc = joint.gradients(ahead, softmax, biases)
+        new = ahead - of_table / (lipschitz * size**2)
         length = np.linalg.norm(new, axis=1, keepdims=True)
-        new = new * np.maximum(0, 1 - penalty / lipschitz / np.maximum(length, 1e-300)) / (1 + decay / lipschitz)
-        side = side - 0.1 * (doc.T @ r) / max(1e-9, float(np.abs(doc).max(initial=0.0)) ** 2)
-        side = side / np.linalg.norm(side)
-        bias = bias - 2 * float(r.sum())
+        new = new * np.maximum(0, 1 - penalty / (lipschitz * size) / np.maximum(length, 1e-300)) / (1 + decay / lipschitz)
+        curved = 0.5 * float((weight[:, None] * doc**2).sum())
+        softmax = softmax - 0.2 * (of_softmax + SOFTMAX_DECAY * softmax) / (curved + SOFTMAX_DECAY)
+        biases = biases - of_biases
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, emb, t = new + (t - 1) / t2 * (new - emb), new, t2
     table[learned] = emb
-    return side, bias, weight * (1 / (1 + np.exp(-np.clip(mean(emb) @ side + bias, -50, 50))) - y)
+    return softmax, biases, joint.pull(joint.mean(emb), softmax, biases)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ToxicityModel:
     """Fit on at most about sample_docs labelled documents of each label outside fold 1 of 3.
 
-    Texts are read whole. Of an id with several rows or labels each distinct pair is one
-    training row.
+    Texts are read whole, by the executors, which send word counts: a text's distinct words,
+    however often they stand there. Of an id with several rows or labels each distinct pair
+    is one training row.
     """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bags = [Counter(words(t)) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([list(x) for x in bags], pa.list_(pa.string())), pa.array([list(x.values()) for x in bags], pa.list_(pa.int64())), b.column(1)], ["words", "counts", "toxic"])
+
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "toxic").distinct().filter(~fold_is("doc_id", 3, 1))
-    rows = labelled_texts(docs, known, "toxic", sample_docs, 3)
-    return fit([r["text"] for r in rows], [int(r["toxic"]) for r in rows])
+    rows = labelled_rows(docs, known, "toxic", sample_docs, 3).select("text", F.col("toxic").cast("int").alias("toxic"))
+    found = rows.mapInArrow(counted, "words array<string>, counts array<long>, toxic int").collect()
+    return fit([dict(zip(r["words"], r["counts"])) for r in found], [r["toxic"] for r in found])
 
 
 def predict(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

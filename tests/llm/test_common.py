@@ -3,7 +3,7 @@
 import zlib
 
 from pyspark.sql import functions as F
-from silverleaf.llm.common import bounded_sample, fold_is, id_bucket, labelled_texts
+from silverleaf.llm.common import bounded_sample, fold_is, id_bucket, labelled_rows
 
 
 def test_folds_are_crc32_of_the_id_as_text(spark):
@@ -29,6 +29,6 @@ def test_samples_are_bounded_whole_when_small_and_steady(spark):
 def test_an_id_with_many_texts_does_not_outgrow_the_sample(spark):
     docs = spark.range(4_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
     known = spark.createDataFrame([(7, 1)], "doc_id long, toxic int")
-    assert 50 < len(labelled_texts(docs, known, "toxic", 100, 1)) < 200
-    assert len(labelled_texts(docs.limit(30), known, "toxic", 100, 1)) == 30
-    assert labelled_texts(docs.limit(0), known, "toxic", 100, 1) == []
+    assert 50 < labelled_rows(docs, known, "toxic", 100, 1).count() < 200
+    assert labelled_rows(docs.limit(30), known, "toxic", 100, 1).count() == 30
+    assert labelled_rows(docs.limit(0), known, "toxic", 100, 1).count() == 0

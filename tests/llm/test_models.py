@@ -118,15 +118,44 @@ def toxic_texts(n=60):
     return bad + good, [1] * len(bad) + [0] * len(good)
 
 
+def fitted(texts, labels):
+    return toxicity.fit([Counter(toxicity.words(t)) for t in texts], labels)
+
+
+def test_softmax_and_embeddings_are_fitted_jointly():
+    model = fitted(*toxic_texts())
+    first = np.random.default_rng(3).normal(size=(toxicity.DIM, 2)) / np.sqrt(2 * toxicity.DIM)  # where fit() starts
+    assert np.linalg.norm(model.softmax - first) > 0.05 * np.linalg.norm(first)
+    turned, before = (w[:, 1] - w[:, 0] for w in (model.softmax, first))
+    assert turned @ before / np.linalg.norm(turned) / np.linalg.norm(before) < 0.9999
+    sizes = np.linalg.svd(model.table, compute_uv=False)
+    assert sizes[1] > 0.01 * sizes[0]
+
+
+def test_gradients_equal_finite_differences():
+    rng = np.random.default_rng(1)
+    n, p, entries = 6, 5, 20
+    joint = toxicity.Joint(rng.integers(0, n, entries), rng.integers(0, p, entries), rng.random(entries), n, p, rng.random(n), rng.integers(0, 2, n).astype(float))
+    at = [rng.normal(size=(p, toxicity.DIM)), rng.normal(size=(toxicity.DIM, 2)), rng.normal(size=2)]
+    for k, got in enumerate(joint.gradients(*at)[:3]):
+        for place in np.ndindex(at[k].shape):
+            ends = []
+            for step in (1e-6, -1e-6):
+                moved = [x.copy() for x in at]
+                moved[k][place] += step
+                ends.append(joint.loss(*moved))
+            assert got[place] == pytest.approx((ends[0] - ends[1]) / 2e-6, abs=1e-7)
+
+
 def test_toxicity_scores_equal_brute_force():
-    model = toxicity.fit(*toxic_texts())
+    model = fitted(*toxic_texts())
     probe = ["", None, "you blockhead of words", "Blockhaed, FRIENDLY  blockhead!", "x" * 95 + " blockhead", "Ärger mit dem blockhead_und so 12", "word " * 3000 + "blockhead " * 50]
     assert model.scores(probe, {}) == pytest.approx([brute_toxicity(model, t) for t in probe], abs=1e-9)
 
 
 def test_pulls_and_moments_equal_brute_force():
     texts = ["a blockhead is a blockhead", "here and there", "there is a head"]
-    bags, r, weight = toxicity._Bags(texts), np.array([0.5, -1.0, 2.0]), np.array([0.2, 0.3, 0.5])
+    bags, r, weight = toxicity._Bags([Counter(toxicity.words(t)) for t in texts]), np.array([0.5, -1.0, 2.0]), np.array([0.2, 0.3, 0.5])
     shares = []
     for t in texts:
         ws, share = toxicity.words(t), Counter()
@@ -137,7 +166,7 @@ def test_pulls_and_moments_equal_brute_force():
     pulls, (there, square) = bags.pulls(r), bags.moments(weight)
     known = sorted({b for s in shares for b in s})
     kept = np.array(known[::3])
-    few = toxicity._Bags(texts)
+    few = toxicity._Bags([Counter(toxicity.words(t)) for t in texts])
     few.keep(kept)
     assert few.pulls(r) == pytest.approx(pulls[kept]) and few.each.tolist() == [len(toxicity.buckets(w)) for w in dict.fromkeys(w for t in texts for w in toxicity.words(t))]
     for b in known:
@@ -146,7 +175,7 @@ def test_pulls_and_moments_equal_brute_force():
 
 
 def test_embeddings_are_signed_and_misspellings_score_as_toxic():
-    model = toxicity.fit(*toxic_texts())
+    model = fitted(*toxic_texts())
     s = model.scores(["you blockhead of words", "blockhaed, you blockhaed of words", "you blokhead of words here", "you clever one of words", "friendly words", ""], {})
     assert min(s[:3]) > 0.7 > max(s[3:]) and model.word("blockhead") > 0 > model.word("friendly")
 
