@@ -24,10 +24,11 @@ by the mean of its words' numbers; each worker keeps the numbers of words it has
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -111,9 +112,9 @@ class ToxicityModel:
 class _Bags:
     """The training texts as sparse counts: texts by words, words by n-grams."""
 
-    def __init__(self, bags: list[Mapping[str, int]]):
+    def __init__(self, bags: Iterable[Mapping[str, int]], count: int):
         place: dict[str, int] = {}
-        rows, cols, shares, self.sizes = [], [], [], np.zeros(len(bags), np.int64)
+        rows, cols, shares, self.sizes = [], [], [], np.zeros(count, np.int64)
         for r, bag in enumerate(bags):
             self.sizes[r] = n = sum(bag.values())
             rows.append(np.full(len(bag), r, np.int32))
@@ -169,15 +170,31 @@ def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def fit(bags: list[Mapping[str, int]], labels: list[int], rounds: int = ROUNDS, steps: int = STEPS, seed: int = 3) -> ToxicityModel:
+class _Counted(Sequence):
+    """Word counts of texts in Arrow columns; a text's are made into a dictionary when asked for."""
+
+    def __init__(self, table: pa.Table):
+        self.words, self.counts = table.column("words"), table.column("counts")
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def __getitem__(self, k: int) -> dict[str, int]:
+        return dict(zip(filter(None, self.words[k].as_py().split(" ")), self.counts[k].as_py()))
+
+
+def fit(bags: Sequence[Mapping[str, int]], labels: Sequence[int], rounds: int = ROUNDS, steps: int = STEPS, seed: int = 3) -> ToxicityModel:
     """Embeddings and softmax together, by accelerated proximal gradient steps, from texts' word counts.
 
     Texts without words are left out, and equal counts with one label count once. Without
     texts of both labels the model gives every text the share of label 1 as its score.
     """
-    pairs = sorted({(tuple(sorted(b.items())), int(k)) for b, k in zip(bags, labels)})
-    held = _Bags([dict(b) for b, _ in pairs])
-    y = np.array([k for _, k in pairs], np.float64)
+    first: dict[bytes, int] = {}
+    for k in range(len(bags)):
+        first.setdefault(hashlib.sha256(repr((sorted(bags[k].items()), int(labels[k]))).encode()).digest(), k)
+    chosen = [first[d] for d in sorted(first)]
+    held = _Bags(map(bags.__getitem__, chosen), len(chosen))
+    y = np.array([int(labels[k]) for k in chosen], np.float64)
     use = held.sizes > 0
     ones, zeros = int((y[use] == 1).sum()), int((y[use] == 0).sum())
     if not ones or not zeros:
@@ -283,12 +300,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bags = [Counter(words(t)) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([list(x) for x in bags], pa.list_(pa.string())), pa.array([list(x.values()) for x in bags], pa.list_(pa.int64())), b.column(1)], ["words", "counts", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(x) for x in bags], pa.string()), pa.array([list(x.values()) for x in bags], pa.list_(pa.int32())), b.column(1)], ["words", "counts", "toxic"])
 
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "toxic").distinct().filter(~fold_is("doc_id", 3, 1))
     rows = labelled_rows(docs, known, "toxic", sample_docs, 3).select("text", F.col("toxic").cast("int").alias("toxic"))
-    found = rows.mapInArrow(counted, "words array<string>, counts array<long>, toxic int").collect()
-    return fit([dict(zip(r["words"], r["counts"])) for r in found], [r["toxic"] for r in found])
+    found = rows.mapInArrow(counted, "words string, counts array<int>, toxic int").toArrow()
+    return fit(_Counted(found), found.column("toxic").to_pylist())
 
 
 def predict(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -155,7 +155,7 @@ def test_toxicity_scores_equal_brute_force():
 
 def test_pulls_and_moments_equal_brute_force():
     texts = ["a blockhead is a blockhead", "here and there", "there is a head"]
-    bags, r, weight = toxicity._Bags([Counter(toxicity.words(t)) for t in texts]), np.array([0.5, -1.0, 2.0]), np.array([0.2, 0.3, 0.5])
+    bags, r, weight = toxicity._Bags([Counter(toxicity.words(t)) for t in texts], len(texts)), np.array([0.5, -1.0, 2.0]), np.array([0.2, 0.3, 0.5])
     shares = []
     for t in texts:
         ws, share = toxicity.words(t), Counter()
@@ -166,7 +166,7 @@ def test_pulls_and_moments_equal_brute_force():
     pulls, (there, square) = bags.pulls(r), bags.moments(weight)
     known = sorted({b for s in shares for b in s})
     kept = np.array(known[::3])
-    few = toxicity._Bags([Counter(toxicity.words(t)) for t in texts])
+    few = toxicity._Bags([Counter(toxicity.words(t)) for t in texts], len(texts))
     few.keep(kept)
     assert few.pulls(r) == pytest.approx(pulls[kept]) and few.each.tolist() == [len(toxicity.buckets(w)) for w in dict.fromkeys(w for t in texts for w in toxicity.words(t))]
     for b in known:
