@@ -13,7 +13,8 @@ telling pairs, must be a line of their own.
 
 Words are runs of letters and digits; in scripts that put no spaces between words every
 character counts as one. Items of like length share an index, whose passages are twice
-as long as its longest item.
+as long as an item of its length class can be; so what is found never depends on which
+other items there are, or on how they are split over indexes.
 
 The index is sent to tasks whole, so its size is bounded: items go into as many indexes
 as it takes for each to stay below ``index_bytes``, and documents are held against one
@@ -38,11 +39,11 @@ K1, B = 1.2, 0.75
 #: Share of an item's own score from which it is retrieved; shares of the pairs of its
 #: question and of its answer that the passage must hold.
 RETRIEVE, QUESTION, ANSWER = 0.4, 0.5, 0.5
-#: Items in a posting block, text in one index, shortest passage step in words.
-BLOCK, INDEX_BYTES, MIN_STEP = 64, 8 << 20, 32
-#: Words below which an item must stand whole and in order; the longest of the first length
-#: class of longer ones, and the factor from one class to the next.
-SHORT, FIRST, CLASSES = 10, 64, 4
+#: Items in a posting block, text in one index.
+BLOCK, INDEX_BYTES = 64, 8 << 20
+#: Words below which an item must stand whole and in order, and the step of their passages;
+#: the longest of the first length class of longer ones, and the factor from one class to the next.
+SHORT, MIN_STEP, FIRST, CLASSES = 10, 32, 64, 4
 #: Words of a document looked at together; passages overlap across the seams.
 PIECE = 1 << 16
 #: Thai to Lao, Myanmar, Khmer, kana, Han: written without spaces.
@@ -58,6 +59,16 @@ def pairs(ws: list[str]) -> list[tuple[str, str]]:
     return list(zip(ws, ws[1:]))
 
 
+def step_of(n: int) -> int:
+    """The passage step, in words, of the length class of an item of n words: the most that such an item has."""
+    if n < SHORT:
+        return MIN_STEP
+    step = FIRST
+    while step < n:
+        step *= CLASSES
+    return step
+
+
 def halves(text: str) -> tuple[list[str], list[str]]:
     """Question and answer: the last sentence is the answer, else the last third."""
     cut = max((m.end() for m in re.finditer(r"[.!?\n]+", text.rstrip(" \n.!?"))), default=0)
@@ -79,7 +90,7 @@ class Index:
         self.ids = [i for i, _, _ in kept]
         self.parts = [tuple(set(pairs(h)) for h in halves(t)) for _, t, _ in kept]
         self.whole = [f" {' '.join(ws)} " if len(ws) < SHORT else None for _, _, ws in kept]
-        self.step = max([MIN_STEP, *(len(ws) for _, _, ws in kept)])
+        self.step = max([MIN_STEP, *(step_of(len(ws)) for _, _, ws in kept)])
         self.word: dict[str, int] = {}
         lists: dict[tuple[str, str], list[tuple[int, float]]] = {}
         for d, (_, _, ws) in enumerate(kept):
@@ -198,8 +209,7 @@ class Items:
         for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])):
             ws = words(t)
             if len(ws) >= 3:
-                k = 0 if len(ws) < SHORT else 1 + max(0, math.ceil(math.log(len(ws) / FIRST, CLASSES)))
-                by_class.setdefault(k, []).append((i, t))
+                by_class.setdefault(step_of(len(ws)), []).append((i, t))
             elif ws:
                 self.lines.setdefault(tuple(ws), []).append(i)
         self.indexes = [Index(part, frequency, total, mean_length) for _, part in sorted(by_class.items())]
@@ -278,13 +288,14 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_B
 
 _SPLIT = f"regexp_extract_all(regexp_replace(lower(@), '([{_UNSPACED}])', ' \\1 ', 'g'), '[{_UNSPACED}]|[\\p{{L}}\\p{{N}}]+')"
 _ENDS, _LAST = "' .!?' || chr(10)", "'(?s)^.*[.!?\\n]'"
-#: The whole operator as DuckDB SQL, without an index: all scores of all passages, for a benchmark that one index holds.
+_STEPS = [FIRST * CLASSES**k for k in range(12)]
+#: The whole operator as DuckDB SQL, without an index: all scores of all passages.
 ORACLE_SQL = f"""
 WITH given AS (SELECT row_number() OVER () AS d, item_id, text, length(regexp_extract(rtrim(text, {_ENDS}), {_LAST})) AS cut
   FROM (SELECT DISTINCT item_id::BIGINT AS item_id, text FROM benchmark WHERE text IS NOT NULL)),
 split AS (SELECT d, item_id, {_SPLIT.replace("@", "text")} AS ws, {_SPLIT.replace("@", "substr(text, 1, cut)")} AS qs, {_SPLIT.replace("@", "substr(text, cut + 1)")} AS zs FROM given),
 items AS (SELECT d, item_id, ws, len(ws) AS n, len(qs) >= 2 AND len(zs) >= 2 AS named, len(ws) - greatest(2, len(ws) // 3) AS upto, qs, zs,
-  CASE WHEN len(ws) < {SHORT} THEN 0 ELSE 1 + greatest(0, ceil(ln(len(ws) / {FIRST}) / ln({CLASSES}))) END AS class FROM split),
+  CASE WHEN len(ws) < {SHORT} THEN {MIN_STEP} ELSE list_min(list_filter({_STEPS}, lambda s: s >= len(ws))) END AS step FROM split),
 sides AS (SELECT d, 'all' AS side, ws FROM items UNION ALL SELECT d, 'question', CASE WHEN named THEN qs ELSE ws[1 : upto] END FROM items
   UNION ALL SELECT d, 'answer', CASE WHEN named THEN zs ELSE ws[upto + 1 : len(ws)] END FROM items),
 held AS (SELECT d, side, ws[i] AS a, ws[i + 1] AS b, count(*) AS c FROM sides, LATERAL (SELECT unnest(range(1, len(ws))) AS i) GROUP BY ALL),
@@ -295,18 +306,17 @@ impacts AS (SELECT d, a, b, ln(1 + (total - f + 0.5::DOUBLE) / (f + 0.5)) * c *
 shares AS (SELECT d, a, b, x / sum(x) OVER (PARTITION BY d) AS share FROM impacts),
 parts AS (SELECT d, a, b, bool_or(side = 'question') AS q, bool_or(side = 'answer') AS z FROM held GROUP BY d, a, b),
 wholes AS (SELECT d, count(*) FILTER (side = 'question') AS q_all, count(*) FILTER (side = 'answer') AS z_all FROM held GROUP BY d),
-steps AS (SELECT class, greatest({MIN_STEP}, max(n)) AS step FROM items WHERE n >= 3 GROUP BY class),
 docs AS (SELECT row_number() OVER () AS r, doc_id, text, {_SPLIT.replace("@", "text")} AS ws FROM documents WHERE text IS NOT NULL),
 places AS (SELECT r, len(ws) AS n, i - 1 AS p, ws[i] AS a, ws[i + 1] AS b FROM docs, LATERAL (SELECT unnest(range(1, len(ws))) AS i)),
 hits AS (SELECT l.r, l.n, l.p, s.d, s.a, s.b, s.share, coalesce(h.q, FALSE) AS q, coalesce(h.z, FALSE) AS z, step
-  FROM places l JOIN shares s USING (a, b) JOIN parts h USING (d, a, b) JOIN items i ON i.d = s.d JOIN steps t ON t.class = i.class),
+  FROM places l JOIN shares s USING (a, b) JOIN parts h USING (d, a, b) JOIN items i ON i.d = s.d),
 pieces AS (SELECT *, least(n - start, {PIECE} + 2 * step) AS own FROM (SELECT *, unnest(range(0, p + 1, {PIECE})) AS start FROM hits) WHERE p - start <= {PIECE} + 4 * step),
 passages AS (SELECT r, d, start + skip AS first, start, step, a, b, any_value(share) AS share, any_value(q) AS q, any_value(z) AS z, bool_or(p + 1 < start + own) AS seen
   FROM (SELECT *, unnest(range(greatest(0, (p - start) // step - 1) * step, p - start + 1, step)) AS skip FROM pieces) WHERE skip < own AND p - start - skip <= 2 * step - 2 GROUP BY ALL),
 scored AS (SELECT r, d, first, step, round(sum(share) FILTER (seen), 9) AS score, count(*) FILTER (q) AS q, count(*) FILTER (z) AS z FROM passages GROUP BY r, d, start, first, step HAVING sum(share) FILTER (seen) >= {RETRIEVE} - 1e-9),
 judged AS (SELECT r, c.d, o.doc_id, i.item_id, score, CASE WHEN coalesce(q_all, 0) = 0 THEN 1.0::DOUBLE ELSE q / q_all END AS question, CASE WHEN coalesce(z_all, 0) = 0 THEN 1.0::DOUBLE ELSE z / z_all END AS answer
   FROM scored c JOIN items i ON i.d = c.d JOIN docs o USING (r) LEFT JOIN wholes w ON w.d = c.d
-  WHERE i.n >= {SHORT} OR contains(' ' || array_to_string(o.ws[first + 1 : first + 2 * step], ' ') || ' ', ' ' || array_to_string(i.ws, ' ') || ' ')),
+  WHERE i.n >= {SHORT} OR contains(' ' || array_to_string(o.ws[first + 1 : first + 2 * c.step], ' ') || ' ', ' ' || array_to_string(i.ws, ' ') || ' ')),
 best AS (SELECT r, d, any_value(doc_id) AS doc_id, any_value(item_id) AS item_id, max({{'s': score, 'q': question, 'z': answer}}) AS x FROM judged WHERE question >= {QUESTION} AND answer >= {ANSWER} GROUP BY r, d),
 lines AS (SELECT DISTINCT r, doc_id, {_SPLIT.replace("@", "line")} AS ws FROM (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line FROM docs))
 SELECT doc_id, item_id, x.s AS score, x.q AS question, x.z AS answer FROM best

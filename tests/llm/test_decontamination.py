@@ -120,3 +120,18 @@ def test_operator_agrees_with_sql(spark):
     want = con.sql(dec.ORACLE_SQL).fetchall()
     assert len(want) > 30 and any(r[2] < 1 for r in want)
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_an_item_is_found_whatever_others_there_are(spark):
+    """Halves of a 40-word item at every distance, alone, beside longer items, and over any number of indexes."""
+    rng = random.Random(11)
+    one = words(40, rng, 5000).split(" ")
+    others = [words(n, rng, 9000) for n in (63, 64, 65, 256, 257, 12)]
+    docs = [(gap, " ".join([words(90, rng, 20000), *one[:20], words(gap, rng, 20000), *one[20:], words(90, rng, 20000)])) for gap in range(0, 120, 6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    alone = {r["id"] for r in dec.matches(df, items(spark, [" ".join(one)])).collect()}
+    assert 0 in alone and len(alone) < len(docs)
+    for size in (400, 4_000, dec.INDEX_BYTES):
+        got = dec.matches(df, items(spark, [" ".join(one), *others]), index_bytes=size).collect()
+        assert {r["id"] for r in got if r["item_id"] == 0} == alone
+    assert [dec.step_of(n) for n in (3, 9, 10, 64, 65, 256, 257, 4096, 4097)] == [32, 32, 64, 64, 256, 256, 1024, 4096, 16384]
