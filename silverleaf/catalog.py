@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from . import schema
 
 
+#: Seconds after which a number that was claimed without a snapshot counts as left by a writer that died.
+CLAIM = 600
+
+
+class Stale(RuntimeError):
+    """Someone else has written a table since it was read."""
+
+
 class Library:
     """Tables under one folder of any file system that Spark reads.
 
@@ -17,12 +26,16 @@ class Library:
     and the snapshot that it put in force; the highest number counts. A write makes a new
     snapshot and then its marker, in one step that is done or not, so readers see the old
     table or the new one, a failed job leaves the old one, and a plan may read the table
-    that it rewrites. Of two writers at once the second fails and can try again.
+    that it rewrites. A write takes the number after the one that was in force when this
+    object last read the table; if that is taken, another's rows would be lost, so the
+    write fails as Stale, and the job can read again. A table that this object has not
+    read since it last wrote it is replaced as it stands.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.listeners: list[Callable[[str], None]] = []
+        self._seen: dict[str, int] = {}
         stored = self._current("_schema")
         if stored is None:
             self._mark("_schema", str(schema.SCHEMA_VERSION))
@@ -46,17 +59,29 @@ class Library:
     def _current(self, name: str) -> str | None:
         return next((snapshot for _, snapshot in reversed(self._markers(name)) if snapshot), None)
 
-    def _mark(self, name: str, snapshot: str) -> None:
-        number = max((n for n, _ in self._markers(name)), default=0) + 1
+    def _version(self, name: str) -> int:
+        """The number in force, or that of a later claim whose writer died."""
+        markers = self._markers(name)
+        version = max((n for n, snapshot in markers if snapshot), default=0)
+        for n in sorted({n for n, _ in markers if n > version}):
+            fs, claim = self._path(f"{name}/_markers/{n:012d}")
+            if time.time() - fs.getFileStatus(claim).getModificationTime() / 1000 < CLAIM:
+                break
+            version = n
+        return version
+
+    def _mark(self, name: str, snapshot: str, after: int | None = None) -> None:
+        number = (self._version(name) if after is None else after) + 1
         fs, claim = self._path(f"{name}/_markers/{number:012d}")
         if not fs.createNewFile(claim):
-            raise RuntimeError(f"{name} is being written by someone else")
+            raise Stale(f"{name} has been written by someone else since it was read")
         fs.createNewFile(self._path(f"{name}/_markers/{number:012d}.{snapshot}")[1])
 
     def _stored(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{table}/{self._current(table)}")
 
     def read(self, table: str) -> DataFrame:
+        self._seen[table] = self._version(table)  # before the snapshot: a write in between is noticed
         current = self._current(table)
         if current is None:
             return self.spark.createDataFrame([], schema.struct(table))
@@ -68,7 +93,7 @@ class Library:
         if table in schema.PARTITIONS:
             writer = writer.partitionBy(*schema.PARTITIONS[table])
         writer.parquet(f"{self.root}/{table}/{name}")
-        self._mark(table, name)
+        self._mark(table, name, self._seen.pop(table, None))
         for tell in self.listeners:  # caches built from the table are stale now
             tell(table)
 

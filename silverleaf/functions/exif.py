@@ -90,10 +90,10 @@ def fields(data: bytes | None) -> list[tuple[str, str, object]]:
         names = GPS_NAMES if section == "GPSIFD" else NAMES
         for tag, kind, values in _directory(tiff, at, order):
             if not section and tag in NESTED:
-                todo += [(NESTED[tag], values[0])] if values else []
+                todo += [(NESTED[tag], values[0])] if values and isinstance(values[0], int) else []  # else it points nowhere
                 continue
             plain = [_text(v, kind) if isinstance(v, bytes) else v for v in values]
-            out.append((section, names.get(tag, f"0x{tag:04x}"), plain[0] if len(plain) == 1 else plain))
+            out.append((section, names.get(tag, f"Tag_0x{tag:04x}"), plain[0] if len(plain) == 1 else plain))
     return out
 
 

@@ -7,15 +7,27 @@ from pyspark.sql import functions as F
 
 from ..catalog import Library
 from ..functions.text import album_of
+from ..lineage import checkpoint
 from ..operators.dml import append_with_ids, insert_or_ignore, upsert_assets, upsert_columns
 from ..schema import INDEXER_VERSION, struct
 from ..sources import scan, sidecar
 
 
-def asset_rows(spark: SparkSession, root: str) -> DataFrame:
-    """Every image below root with its hash and its sidecar's columns (null where invalid)."""
-    pictures = scan.images(scan.files(spark, root))
-    hashes = scan.content_hashes(spark, root)
+def asset_rows(spark: SparkSession, root: str, known: DataFrame | None = None) -> DataFrame:
+    """Every image below root with its hash and its sidecar's columns (null where invalid).
+
+    Of the assets in `known`, those whose file has the size it had and was not touched
+    since they were indexed keep their hash; only other pictures are opened.
+    """
+    listed = scan.files(spark, root)
+    pictures = scan.images(listed)
+    if known is None:
+        hashes = scan.content_hashes(spark, root, pictures)
+    else:
+        touched = listed.select("relpath", F.unix_timestamp("modified").alias("touched"))
+        old = known.filter("sha256 IS NOT NULL").select("relpath", "sha256", F.col("size_bytes").alias("size"), "indexed_at")
+        same = checkpoint(pictures.join(touched, "relpath").join(old, "relpath").filter("size_bytes = size AND touched < indexed_at").select("relpath", "sha256"))
+        hashes = scan.content_hashes(spark, root, pictures.join(same, "relpath", "left_anti")).unionByName(same)
     described = sidecar.parse(scan.sidecar_texts(spark, root)).drop("valid")
     rows = pictures.join(hashes, "relpath", "left").join(described, "sidecar_relpath", "left")
     return rows.withColumn("indexer_version", F.lit(INDEXER_VERSION))
@@ -30,9 +42,11 @@ def album_links(assets: DataFrame, paths: DataFrame) -> DataFrame:
 def index(library: Library, root: str, now: int) -> None:
     """Bring a library up to date with a tree; running it again changes nothing."""
     spark = library.spark
-    new = asset_rows(spark, root)
+    before = library.read("assets")
+    new = checkpoint(asset_rows(spark, root, before))  # the tree is read once, however often the plans below read its rows
     names = {f.name for f in struct("assets")}
-    assets, paths = upsert_assets(library.read("assets"), library.read("asset_paths"), new.select(*(c for c in new.columns if c in names)), now)
+    assets, paths = upsert_assets(before, library.read("asset_paths"), new.select(*(c for c in new.columns if c in names)), now)
+    paths = checkpoint(paths)  # of the assets before
     library.write("assets", assets)
     library.write("asset_paths", paths)
     links = album_links(library.read("assets"), library.read("asset_paths"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ MIME_TYPES = {
     ".heif": "image/heif", ".gif": "image/gif", ".bmp": "image/bmp", ".tiff": "image/tiff", ".tif": "image/tiff",
 }
 DEFAULT_MIME = "application/octet-stream"
+#: Files that are opened by name rather than found in the whole tree.
+FEW = 20_000
+_GLOB, _ESCAPED = re.compile(r"[\[\]{}*?\\]"), r"\\\g<0>"
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
@@ -43,14 +48,30 @@ def images(found: DataFrame) -> DataFrame:
     one = keyed.join(sidecars.withColumnRenamed("s", "s1"), F.col("full") == F.col("s1"), "left")
     two = one.join(sidecars.withColumnRenamed("s", "s2"), F.col("stem") == F.col("s2"), "left")
     mime = F.coalesce(F.try_element_at(mimes, F.col("ext")), F.lit(DEFAULT_MIME))
-    return two.select("relpath", "filename", "ext", "size_bytes", mime.alias("mime"), F.coalesce("s1", "s2").alias("sidecar_relpath")).orderBy("relpath")
+    return two.select("relpath", "filename", "ext", "size_bytes", mime.alias("mime"), F.coalesce("s1", "s2").alias("sidecar_relpath"))
+
+
+def opened(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
+    """wanted, which has relpath, with the content of each of these files, and of no others.
+
+    Up to FEW files are opened by name and meet their rows by broadcast, so a small queue
+    neither reads nor moves what it does not need; more are read with the whole tree.
+    """
+    listed = files(spark, root).select("relpath", "path").join(wanted, "relpath")
+    names = [r["relpath"] for r in listed.select("relpath").distinct().limit(FEW + 1).collect()]
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if not names:
+        return listed.drop("path").withColumn("content", F.lit(None).cast("binary"))
+    if len(names) > FEW:
+        raw = reader.load(root)
+    else:
+        raw, listed = reader.load([f"{root.rstrip('/')}/{_GLOB.sub(_ESCAPED, n)}" for n in names]), F.broadcast(listed)
+    return raw.select("path", "content").join(listed, "path").drop("path")
 
 
-def content_hashes(spark: SparkSession, root: str) -> DataFrame:
-    """(relpath, sha256) of every file's bytes."""
-    listed = files(spark, root).select("relpath", "path")
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.sha2("content", 256).alias("sha256"))
-    return listed.join(content, "path").select("relpath", "sha256")
+def content_hashes(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
+    """(relpath, sha256) of the bytes of the files whose relpath is wanted."""
+    return opened(spark, root, wanted.select("relpath")).select("relpath", F.sha2("content", 256).alias("sha256"))
 
 
 def sidecar_texts(spark: SparkSession, root: str) -> DataFrame:

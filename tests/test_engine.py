@@ -472,7 +472,7 @@ def tree(tmp_path):
 def test_index_of_a_tree_and_again(spark, tree):
     root = f"{tree}/photos"
     found = scan.images(scan.files(spark, root))
-    assert [(r["relpath"], r["mime"], r["size_bytes"], r["sidecar_relpath"]) for r in found.collect()] == [
+    assert [(r["relpath"], r["mime"], r["size_bytes"], r["sidecar_relpath"]) for r in sorted(found.collect(), key=lambda r: r["relpath"])] == [
         ("Photos from 2023/IMG 1.jpg", "image/jpeg", 3, "Photos from 2023/IMG 1.jpg.supplemental-metadata.json"),
         ("Trip+/b.png", "image/png", 3, "Trip+/b.supplemental-metadata.json"),
         ("Trip+/copy.JPG", "image/jpeg", 3, None),

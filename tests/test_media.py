@@ -1,5 +1,6 @@
 """Image derivations, jobs and the command line on a tree of plain Netpbm images."""
 
+import struct
 import sys
 import threading
 
@@ -12,6 +13,7 @@ from silverleaf.catalog import Library
 from silverleaf.functions import images
 from silverleaf.operators import media
 from silverleaf.plans import ingest, jobs
+from silverleaf.sources import scan
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -58,7 +60,7 @@ def test_contents_are_read_by_name_or_with_the_tree(spark, tmp_path, monkeypatch
     want = sorted((r["id"], r["filename"].encode()) for r in queue.collect())
     assert len(want) == 2
     for few in (0, 1, 2, 20):
-        monkeypatch.setattr(jobs, "FEW", few)
+        monkeypatch.setattr(scan, "FEW", few)
         assert sorted((r["asset_id"], bytes(r["content"])) for r in jobs.contents(lib, str(tmp_path / "photos"), queue).collect()) == want
         assert jobs.contents(lib, str(tmp_path / "photos"), queue.limit(0)).count() == 0
 
@@ -110,7 +112,7 @@ def test_exif_of_every_container(spark, order):
     from silverleaf.functions import exif
 
     want = {
-        "Make": "Acme", "Orientation": 6, "XResolution": 72.0, "0xeeee": [-1, 5],
+        "Make": "Acme", "Orientation": 6, "XResolution": 72.0, "Tag_0xeeee": [-1, 5],
         "ExifIFD": {"ExposureTime": 0.25, "UserComment": "éè ", "ExifVersion": "0230"}, "GPSIFD": {"GPSLatitudeRef": "N", "GPSLatitude": [48.0, 15.0, 0.0]},
     }
     raw = tiff(order)
@@ -244,3 +246,69 @@ def test_jobs_run_once_at_a_time_and_can_be_cancelled(spark):
 @pytest.mark.skipif(images.pillow() is None, reason="Pillow is not installed")
 def test_thumbnails_with_pillow():
     assert images.decode(images.thumbnail(picture(1, 800, 1000))).shape[1] == images.THUMB_SIZE
+
+
+def test_pointers_of_any_type_are_no_error(order="<"):
+    from silverleaf.functions import exif
+
+    for kind, raw in ((2, b"ab\0\0"), (11, struct.pack("<f", 8.0)), (5, struct.pack("<I", 8)), (7, b"\x01\x02\x03\x04")):
+        entry = struct.pack("<HHI", 0x8769, kind, 4 if kind in (2, 7) else 1) + raw
+        block = b"II*\0" + struct.pack("<IH", 8, 1) + entry + bytes(40)
+        assert exif.document(block) is None or isinstance(exif.document(block), str)
+
+
+def test_only_new_pictures_are_opened(spark, tmp_path, monkeypatch):
+    root = tmp_path / "photos"
+    root.mkdir()
+    for k in range(3):
+        (root / f"{k}.jpg").write_bytes(b"x" * (k + 1))
+    (root / "film.mp4").write_bytes(b"film")
+    (root / "0.jpg.supplemental-metadata.json").write_text("{}")
+    asked = []
+    plain = scan.opened
+    monkeypatch.setattr(scan, "opened", lambda s, r, wanted: asked.append(sorted(x["relpath"] for x in wanted.collect())) or plain(s, r, wanted))
+    lib = Library(spark, str(tmp_path / "lib"))
+    late = 4_000_000_000
+    ingest.index(lib, str(root), late)
+    (root / "3.jpg").write_bytes(b"new")
+    (root / "1.jpg").write_bytes(b"longer now")
+    ingest.index(lib, str(root), late)
+    assert asked == [["0.jpg", "1.jpg", "2.jpg"], ["1.jpg", "3.jpg"]]
+    assert lib.read("assets").filter("sha256 IS NULL").count() == 0 and lib.read("assets").select("sha256").distinct().count() == 4
+
+
+def test_scoring_opens_what_lacks_a_score(spark, tmp_path, monkeypatch):
+    root = tmp_path / "photos"
+    root.mkdir()
+    for k in range(2):
+        (root / f"{k}.gif").write_bytes(picture(k))
+    lib = Library(spark, str(tmp_path / "lib"))
+    ingest.index(lib, str(root), 1)
+    assert jobs.score_images(lib, str(root), media.SimpleScorer, 2) == (2, 2)
+    (root / "2.gif").write_bytes(picture(7))
+    ingest.index(lib, str(root), 3)
+    asked = []
+    plain = scan.opened
+    monkeypatch.setattr(scan, "opened", lambda s, r, wanted: asked.append(wanted.count()) or plain(s, r, wanted))
+    assert jobs.score_images(lib, str(root), media.SimpleScorer, 4) == (1, 1) and asked == [1]
+
+
+def test_a_write_never_loses_anothers(spark, tmp_path):
+    from silverleaf import catalog
+
+    root, tag = str(tmp_path / "lib"), "id long, term string, created_at long"
+    one, two = Library(spark, root), Library(spark, root)
+    for lib, k in ((one, 1), (two, 2)):
+        lib.held = lib.read("clip_user_tags").unionByName(spark.createDataFrame([(k, f"t{k}", k)], tag))
+    one.write("clip_user_tags", one.held)
+    with pytest.raises(catalog.Stale):
+        two.write("clip_user_tags", two.held)
+    two.write("clip_user_tags", two.read("clip_user_tags").unionByName(spark.createDataFrame([(2, "t2", 2)], tag)))
+    assert sorted(r["term"] for r in one.read("clip_user_tags").collect()) == ["t1", "t2"]
+    fs, claim = one._path(f"clip_user_tags/_markers/{3:012d}")  # a writer that died between claim and snapshot
+    fs.createNewFile(claim)
+    with pytest.raises(catalog.Stale):
+        one.write("clip_user_tags", one.read("clip_user_tags"))
+    fs.setTimes(claim, 1000, -1)
+    one.write("clip_user_tags", one.read("clip_user_tags").filter("id = 1"))
+    assert [r["term"] for r in two.read("clip_user_tags").collect()] == ["t1"]
