@@ -147,11 +147,15 @@ def words_status(embeddings: DataFrame, asset_id: int, dim: int, has_encoder: bo
 def centroids(vecs: DataFrame, group: str, dim: int | None = None) -> DataFrame:
     """(group, centroid): the mean of each group's unit vectors, itself made a unit vector.
 
-    Sums are per group and position, aggregated before the shuffle.
+    Each task keeps one sum a group and adds vectors to it, so vectors are neither taken
+    apart nor moved. Of a group whose vectors differ in length the most frequent counts.
     """
-    units = vecs.filter(vectors.valid(F.col("embedding"), dim)).select(group, F.posexplode(vectors.unit(F.col("embedding"))).alias("pos", "x"))
-    means = units.groupBy(group, "pos").agg(F.avg("x").alias("x"))
-    mean = means.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("mean"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    units = vecs.filter(vectors.valid(F.col("embedding"), dim)).select(group, F.size("embedding").alias("length"), array_to_vector(vectors.unit(F.col("embedding"))).alias("u"))
+    means = units.groupBy(group, "length").agg(Summarizer.mean(F.col("u")).alias("m"), F.count("*").alias("n"))
+    mean = means.groupBy(group).agg(F.max_by(vector_to_array("m"), F.struct("n", "length")).alias("mean"))
     return mean.filter(vectors.norm(F.col("mean")) > vectors.MIN_NORM).select(group, vectors.unit(F.col("mean")).alias("centroid"))
 
 

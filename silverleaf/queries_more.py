@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .functions import text, vectors
-from .operators import browse, cluster, density, dml, projection, reports, scoring, similarity
+from .lineage import checkpoint_dir
+from .operators import browse, cluster, density, dml, hash_index, projection, reports, scoring, similarity, vector_index
 from .plans import ingest, params, progress
 from .queries import _COMPONENTS, _DBSCAN, _DOT, _MEAN, _NORM, _SIM, _UNIT, CLUSTER, HAMMING, ORACLE_SQL, WINDOW, query
 from .sources import scan, sidecar
@@ -252,6 +255,27 @@ _with(
 )
 
 
+_BITS = " + ".join(f"bit_count(xor(('0x' || substr(a.phash_hex, {16 * k + 1}, 16))::UBIGINT, ('0x' || substr(b.phash_hex, {16 * k + 1}, 16))::UBIGINT))" for k in range(4))
+
+
+@query("hash_index_search", "phash_full", f"SELECT a.asset_id, ({_BITS})::BIGINT AS score FROM phash_full a, phash_full b WHERE b.asset_id = 1 AND {_BITS} <= 46")
+def _(phash):
+    path = f"{checkpoint_dir(phash.sparkSession)}/hashes-{uuid.uuid4().hex}"
+    hash_index.write(phash, path)
+    return hash_index.search(phash.sparkSession, path, phash.filter("asset_id = 1").first()["phash_hex"], 46)
+
+
+@query("cell_index_search", "clip_embeddings")
+def _(embeddings):
+    path = f"{checkpoint_dir(embeddings.sparkSession)}/cells-{uuid.uuid4().hex}"
+    vector_index.write(embeddings, path)
+    asked = list(embeddings.filter("asset_id = 0").first()["embedding"])
+    return vector_index.search(embeddings.sparkSession, path, asked, "cosine", 0.1).filter("asset_id <> 0")
+
+
+ORACLE_SQL["cell_index_search"] = ORACLE_SQL["similar_cosine"]
+
+
 #: Distances up to which parts of the mutual reachability graph are counted.
 _REACH = (0.2, 0.4, 0.6, 0.8, 1.0)
 

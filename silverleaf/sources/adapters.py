@@ -60,6 +60,11 @@ _view("phash", "embeddings",
       "SELECT vec_id AS asset_id, lpad(lower(hex(aggregate(sequence(0, 62), 0L, (a, k) -> a | shiftleft(CAST(embedding[k] > embedding[k + 1] AS BIGINT), k)))), 16, '0') AS phash_hex, CASE WHEN label = 0 THEN 'phash' ELSE 'dhash16' END AS algo FROM embeddings",
       "SELECT vec_id AS asset_id, lpad(lower(to_hex(list_reduce(list_transform(range(63), lambda k: (CASE WHEN embedding[k + 1] > embedding[k + 2] THEN 1::BIGINT << k ELSE 0 END)), lambda a, b: a | b))), 16, '0') AS phash_hex, CASE WHEN label = 0 THEN 'phash' ELSE 'dhash16' END AS algo FROM embeddings")
 
+_RISING = "lpad(lower(hex(aggregate(sequence(0, 63), 0L, (a, k) -> a | shiftleft(CAST(embedding[k] > embedding[(k + {d}) % 64] AS BIGINT), k)))), 16, '0')"
+_RISING_DUCK = "lpad(lower(to_hex(list_reduce(list_transform(range(64), lambda k: (CASE WHEN embedding[k + 1] > embedding[(k + {d}) % 64 + 1] THEN 1::UBIGINT << k ELSE 0::UBIGINT END)), lambda a, b: a | b))), 16, '0')"
+#: The same over four distances: 256 bits.
+_view("phash_full", "embeddings", *(f"SELECT vec_id AS asset_id, concat({', '.join(rising.replace('{d}', str(d)) for d in (1, 2, 3, 5))}) AS phash_hex, 'dhash16' AS algo FROM embeddings" for rising in (_RISING, _RISING_DUCK)))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the engine's tables, or a test table as it is."""
