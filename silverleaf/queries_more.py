@@ -255,7 +255,7 @@ _with(
 )
 
 
-_BITS = " + ".join(f"bit_count(xor(('0x' || substr(a.phash_hex, {16 * k + 1}, 16))::UBIGINT, ('0x' || substr(b.phash_hex, {16 * k + 1}, 16))::UBIGINT))" for k in range(4))
+_BITS = " + ".join(f"bit_count(xor(('0x' || substr(a.phash_hex, {16 * k + 1}, 16))::UBIGINT, ('0x' || substr(b.phash_hex, {16 * k + 1}, 16))::UBIGINT))::BIGINT" for k in range(4))
 
 
 @query("hash_index_search", "phash_full", f"SELECT a.asset_id, ({_BITS})::BIGINT AS score FROM phash_full a, phash_full b WHERE b.asset_id = 1 AND {_BITS} <= 46")
