@@ -7,7 +7,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from silverleaf import schema
-from silverleaf.catalog import Library
+from silverleaf.catalog import Library, Stale
 from silverleaf.functions import bits, text, vectors
 from silverleaf.operators import browse, cluster, density, dml, graph, reports, scoring, similarity
 from silverleaf.plans import ingest, params
@@ -161,6 +161,9 @@ def test_library_snapshots_and_listens(spark, tmp_path):
     fs, claim = lib._path("albums/_markers/000000000003")
     assert fs.createNewFile(claim)  # a writer that died before it was done, or is still at it
     assert rows(lib.read("albums"), "id", "name") == [(1, "b")]
+    with pytest.raises(Stale):
+        lib.write("albums", lib.read("albums"))
+    fs.setTimes(claim, 1000, -1)  # so long ago that it must have died
     lib.write("albums", lib.read("albums").withColumn("name", F.lit("c")))
     assert rows(lib.read("albums"), "id", "name") == [(1, "c")] and lib._markers("albums")[-1][0] == 4
     lib._mark("_schema", "7")
