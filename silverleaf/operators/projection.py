@@ -1,9 +1,7 @@
 """UMAP: a low-dimensional map that keeps neighbours together, for any number of rows.
 
-Three steps, each spread over tasks. Neighbours are found by NN-descent: rows are cut into
-cells of nearby rows several times over for a first guess, then every row is compared with
-its neighbours' neighbours, in both directions, until almost no list changes. Distances to
-a row's neighbours become weights by a bisection for the row's own bandwidth, and two
+Three steps, each spread over tasks. Neighbours are exact, from products of all pairs of
+blocks of rows. Distances to a row's neighbours become weights by a bisection for the row's own bandwidth, and two
 directed weights become one. The layout starts from the first principal components; each
 epoch joins every edge with the coordinates of both ends, pulls neighbours together, and
 pushes every row away from a few of a bounded table of drawn rows, new in each epoch. Only
@@ -18,17 +16,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..lineage import stored
+from . import blocks
 
-NEIGHBOURS, MIN_DIST, DIMENSIONS, SEED = 15, 0.1, 3, 42
-#: First guesses by random cells, rows of a cell, sweeps and the share of changed entries at which they stop.
-GUESSES, CELL, SWEEPS, SETTLED = 4, 64, 8, 0.002
-#: Neighbours of a row that offer theirs in a sweep; those that it is itself a neighbour of, too.
-OFFERED = 20
+NEIGHBOURS, MIN_DIST = 15, 0.1
 #: Epochs, the first step, the weight of pushes against pulls, rows that push each row in an epoch, and rows that they are drawn from.
 EPOCHS, ALPHA, NEGATIVES, PUSHES, DRAWN = 60, 0.5, 5, 32, 4_096
 #: Rows that one task may hold: it compares them all, and moves them without a shuffle.
@@ -53,85 +48,15 @@ def curve(min_dist: float = MIN_DIST, spread: float = 1.0) -> tuple[float, float
 # Neighbours.
 
 
-def _closest(rows: DataFrame, k: int) -> DataFrame:
-    """(node, near): the k nearest of (node, other, d), each other once, nearest first."""
-    once = rows.groupBy("node", "other").agg(F.min("d").alias("d"))
-    return once.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, k).alias("near"))
+def neighbours(points: DataFrame, k: int = NEIGHBOURS, local: int = LOCAL) -> DataFrame:
+    """(node, near): the k nearest other rows by cosine distance of each of (node, v), as (d, other), nearest first.
 
-
-def _unit_matrix(cells) -> np.ndarray:
-    v = np.stack([np.asarray(x, np.float64) for x in cells])
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), vectors.MIN_NORM)
-
-
-def _guess(points: DataFrame, seed: int, k: int, n: int, dim: int, cell_rows: int = CELL) -> DataFrame:
-    """(node, other, d): the nearest of each row within one cutting of all rows into cells.
-
-    A cell is the rows on one side of each of several random directions; rows that chance
-    leaves too many for one task are dealt out among parts of it.
-    """
-    bits = max(0, math.ceil(math.log2(max(1, n / cell_rows))))
-    rng = np.random.default_rng(seed)
-    cell: Column = F.lit(0).cast("long")
-    for i in range(bits):
-        side = F.aggregate(F.zip_with("v", F.array(*(F.lit(float(x)) for x in rng.normal(size=dim))), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        cell = cell * 2 + (side > 0).cast("long")
-    coded = points.withColumn("cell", cell)
-    sizes = coded.groupBy("cell").agg(F.ceil(F.count("*") / (4 * cell_rows)).cast("long").alias("parts"))
-    dealt = coded.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("parts")))
-
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        nodes, v = pdf["node"].to_numpy(), _unit_matrix(pdf["v"])
-        d = 1 - v @ v.T
-        np.fill_diagonal(d, np.inf)
-        m = min(k, len(nodes) - 1)
-        j = np.argsort(d, axis=1, kind="stable")[:, :m]
-        return pd.DataFrame({"node": np.repeat(nodes, m), "other": nodes[j].ravel(), "d": np.take_along_axis(d, j, axis=1).ravel()})
-
-    return dealt.groupBy("cell", "part").applyInPandas(nearest, "node long, other long, d double")
-
-
-def _compared(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """(node, other, d) of distinct (node, other): cosine distances, vectors joined from both ends."""
-    v = points.select("node", vectors.unit(F.col("v")).alias("v"))
-    one = pairs.join(v, "node")
-    two = one.join(v.select(F.col("node").alias("other"), F.col("v").alias("w")), "other")
-    return two.select("node", "other", (1 - F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)).alias("d"))
-
-
-def neighbours(points: DataFrame, k: int = NEIGHBOURS, seed: int = SEED, local: int = LOCAL) -> DataFrame:
-    """(node, near): about the k nearest rows by cosine distance of each of (node, v), as (d, other), nearest first.
-
-    A sweep offers a row to the neighbours of its neighbours: of those, OFFERED at most on
-    either side of a row go on (the nearest, and a hashed choice of those that it is a
-    neighbour of), so a row that many are near to makes no more pairs than others.
-    Up to `local` rows are all compared in one task. A row that stands alone has no list.
+    All pairs are compared, in blocks of `local` rows or more. A row that stands alone has no list.
     """
-    n = points.count()
-    dim = len(points.first()["v"]) if n else 0
-    k = min(k, n - 1)
-    if n <= local:  # one cell, so all are compared
-        return _closest(_guess(points, seed, k, n, dim, max(1, n)), k)
-    found = None
-    for g in range(GUESSES):
-        more = _guess(points, seed + g, k, n, dim)
-        found = more if found is None else found.unionByName(more)
-    lists = stored(_closest(found, k))
-    for sweep in range(SWEEPS):
-        flat = lists.select("node", F.explode("near").alias("e")).select("node", "e.other", "e.d")
-        ahead = lists.select("node", F.transform(F.slice("near", 1, OFFERED), lambda e: e["other"]).alias("ahead"))
-        by_chance = flat.withColumn("h", F.xxhash64("node", "other", F.lit(sweep))).groupBy(F.col("other").alias("to"), F.pmod("h", F.lit(OFFERED)).alias("slot"))
-        back = by_chance.agg(F.min_by("node", "h").alias("o")).groupBy(F.col("to").alias("node")).agg(F.collect_list("o").alias("b"))
-        both = ahead.join(back, "node", "left").select(F.array_distinct(F.concat("ahead", F.coalesce("b", F.array().cast("array<long>")))).alias("all"))
-        pairs = both.select(F.explode("all").alias("node"), "all").select("node", F.explode("all").alias("other")).filter("node != other").distinct()
-        fresh = pairs.join(flat.select("node", "other"), ["node", "other"], "left_anti")
-        new = stored(_closest(flat.unionByName(_compared(fresh, points)), k))
-        changed = new.select("node", F.explode("near.other").alias("other")).join(flat.select("node", "other"), ["node", "other"], "left_anti").count()
-        lists = new
-        if changed <= SETTLED * n * k:
-            break
-    return lists
+    least = F.lit(vectors.MIN_NORM)
+    unit = vectors.once(F.greatest(vectors.norm(F.col("v")), least), lambda length: F.transform("v", lambda x: x.cast("double") / length))
+    held = stored(blocks.packed(points.select(F.lit(0).alias("g"), "node", unit.alias("v")), local))
+    return blocks.nearest(held, k, lambda v, left: v, lambda a, b: 1 - np.einsum("ij,ij->i", a, b))
 
 
 # Weights.
@@ -258,7 +183,7 @@ def layout(graph: DataFrame, start: DataFrame, epochs: int = EPOCHS, local: int
     return at
 
 
-def umap(points: DataFrame, start: DataFrame, k: int = NEIGHBOURS, epochs: int = EPOCHS, seed: int = SEED, local: int = LOCAL) -> DataFrame:
+def umap(points: DataFrame, start: DataFrame, k: int = NEIGHBOURS, epochs: int = EPOCHS, local: int = LOCAL) -> DataFrame:
     """(node, coords) of (node, v), v not null and of one length; start: (node, coords), which are scaled to a span of about ten.
 
     Equal rows stay together unless start tells them apart. Fewer than three rows stay
@@ -269,4 +194,4 @@ def umap(points: DataFrame, start: DataFrame, k: int = NEIGHBOURS, epochs: int =
     at = start.select("node", F.transform("coords", lambda x: x * (10.0 / max(1e-12, wide))).alias("coords"))
     if held.count() < 3:
         return at
-    return layout(weights(neighbours(held, k, seed, local)), at, epochs, local)
+    return layout(weights(neighbours(held, k, local)), at, epochs, local)

@@ -37,6 +37,16 @@ def test_neighbours_are_found(spark, local):
     assert recall == 1 if local > 600 else recall >= 0.9
 
 
+def test_neighbours_over_blocks_are_exact(spark):
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(size=(900, 24)), np.repeat(rng.normal(size=(3, 24)), 40, axis=0)])  # far apart all, and copies
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    np.fill_diagonal(d, np.inf)
+    got = {r["node"]: [e["d"] for e in r["near"]] for r in projection.neighbours(frame(spark, v), 15, local=100).collect()}
+    assert np.allclose([got[i] for i in range(len(v))], np.sort(d, axis=1)[:, :15], atol=1e-9)
+
+
 def test_weights_add_up_and_are_symmetric(spark):
     lists = projection.neighbours(frame(spark, cloud(80)), 10)
     d = np.array([[e["d"] for e in r["near"]] for r in lists.collect()])
