@@ -3,7 +3,7 @@
 Three steps, each spread over tasks. Neighbours are exact, from products of all pairs of
 blocks of rows. Distances to a row's neighbours become weights by a bisection for the row's own bandwidth, and two
 directed weights become one. The layout starts from the first principal components; each
-epoch joins every edge with the coordinates of both ends, pulls neighbours together, and
+epoch brings the coordinates of two blocks of rows to the edges between them, pulls neighbours together, and
 pushes every row away from a few of a bounded table of drawn rows, new in each epoch. Only
 coordinates and edges move between tasks, and no task holds more than LOCAL rows.
 """
@@ -16,11 +16,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..lineage import stored
+from ..lineage import ranked, stored
 from . import blocks
 
 NEIGHBOURS, MIN_DIST = 15, 0.1
@@ -28,6 +29,8 @@ NEIGHBOURS, MIN_DIST = 15, 0.1
 EPOCHS, ALPHA, NEGATIVES, PUSHES, DRAWN = 60, 0.5, 5, 32, 4_096
 #: Rows that one task may hold: it compares them all, and moves them without a shuffle.
 LOCAL = 4_096
+#: Blocks that the rows of a layout are dealt into, and rows of a block at most.
+SPREAD, MOST = 6, 1 << 20
 
 
 def curve(min_dist: float = MIN_DIST, spread: float = 1.0) -> tuple[float, float]:
@@ -107,6 +110,14 @@ def _pull(gap: np.ndarray, w: np.ndarray, a: float, b: float) -> np.ndarray:
     return np.clip((-2 * a * b * square ** (b - 1) / (1 + a * square**b))[:, None] * gap, -4, 4) * w[:, None]
 
 
+def _hashed(nodes: np.ndarray, epoch: int) -> np.ndarray:
+    """A number from 0 to 1 of each node, new in each epoch."""
+    mixed = (nodes.astype(np.uint64) + np.uint64((epoch + 1) * 0xD6E8FEB86659FD93 % (1 << 64))) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0x94D049BB133111EB)
+    return (mixed >> np.uint64(34)) / float(1 << 30)
+
+
 def _push(nodes: np.ndarray, x: np.ndarray, table: np.ndarray, epoch: int, a: float, b: float) -> np.ndarray:
     """The mean push of PUSHES rows of a table, drawn by hash, on each row."""
     turn = np.arange(PUSHES, dtype=np.uint64) + np.uint64(PUSHES * epoch)
@@ -127,9 +138,11 @@ def _moved(nodes: np.ndarray, x: np.ndarray, pulled: np.ndarray, total: np.ndarr
 def layout(graph: DataFrame, start: DataFrame, epochs: int = EPOCHS, local: int = LOCAL) -> DataFrame:
     """(node, coords) after some epochs from (node, coords), along (a, b, w).
 
-    An epoch adds up what all edges pull at a row, in every task before the shuffle, so a
-    row with very many edges is no burden, and moves each row once. Pushes come from DRAWN
-    rows or so, new in each epoch, which are sent to all tasks. Up to `local` rows take
+    Rows are dealt into SPREAD blocks (of MOST rows at most), and edges are held by the pair
+    of blocks that they are between. An epoch sends each block's coordinates to its pairs,
+    adds up there what edges pull at a row, so a row with very many edges is no burden, and
+    moves each row once. Pushes come from DRAWN rows or so, new in each epoch, which are
+    sent to all tasks. Up to `local` rows take
     the same steps in one task, where pushes come from all of them.
     """
     a_, b_ = curve()
@@ -151,36 +164,77 @@ def layout(graph: DataFrame, start: DataFrame, epochs: int = EPOCHS, local: int
 
         one = F.lit(0).alias("g")
         return at.select("node", "coords", one).groupBy("g").cogroup(graph.select("a", "b", "w", one).groupBy("g")).applyInPandas(all_epochs, "node long, coords array<double>")
-    edges = stored(graph.filter("w > 0").repartition("b"))
-    totals = edges.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("total"))
-    dims = len(at.first()["coords"])
-    named = [f"f{k}" for k in range(dims)]
-
-    def matrix(column: pa.ListArray) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dims)
+    dims, parts = len(at.first()["coords"]), max(SPREAD, math.ceil(n / MOST))
+    # A row's place from 0 says its block and its place within it. Edges between two blocks are held once, as both ways have one weight.
+    places = ranked(at, ["node"], "place")
+    of = places.select("node", F.pmod("place", F.lit(parts)).alias("k"), F.floor(F.col("place") / parts).cast("int").alias("i"))
+    one, two = (of.select(F.col("node").alias(x), F.col("k").alias(f"k{x}"), F.col("i").alias(f"i{x}")) for x in "ab")
+    placed = graph.filter("w > 0").join(one, "a").join(two, "b").filter("ka <= kb")
+    packed = placed.groupBy("ka", "kb").agg(F.collect_list(F.struct("ia", "ib", "w")).alias("e"))
+    # Held by the key that every epoch joins by, so that edges don't move again.
+    edges = stored(packed.select("ka", "kb", "e.ia", "e.ib", "e.w")).repartition(parts * parts, "ka", "kb").persist(StorageLevel.DISK_ONLY)
+    totals = graph.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("total"))
+    rows = places.join(totals, "node", "left").groupBy(F.pmod("place", F.lit(parts)).alias("k"))
+    rows = rows.agg(F.array_sort(F.collect_list(F.struct("place", "node", "coords", F.coalesce("total", F.lit(0.0)).alias("total")))).alias("r"))
+    rows = stored(rows.select("k", F.col("r.node").alias("nodes"), F.col("r.total").alias("totals"), F.flatten("r.coords").alias("coords")))
+    fixed = rows.select("k", "nodes", "totals").repartition(parts, "k").persist(StorageLevel.DISK_ONLY)
+    at = rows.select("k", "coords")
+
+    def matrix(cell: pa.ListScalar) -> np.ndarray:
+        return cell.values.to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+    def points(nodes: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dims, dtype=np.int32)), pa.array(x.ravel()))], ["node", "coords"])
+
+    def summed(i: np.ndarray, moved: np.ndarray, rows: int) -> pa.Array:
+        return pa.array([np.stack([np.bincount(i, moved[:, k], rows) for k in range(dims)], 1).ravel()], pa.list_(pa.float64()))
 
     def pulls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                moved = _pull(matrix(batch.column(1)) - matrix(batch.column(2)), batch.column(3).to_numpy(), a_, b_)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(moved[:, k]) for k in range(dims))], ["a", *named])
-
+            for ka, kb, ia, ib, w, l, r in zip(*batch.columns):
+                (i, j, w), x, y = (c.values.to_numpy(zero_copy_only=False) for c in (ia, ib, w)), matrix(l), matrix(r)
+                moved = _pull(x[i] - y[j], w, a_, b_)
+                yield pa.RecordBatch.from_arrays([pa.array([ka.as_py()]), summed(i, moved, len(x))], ["k", "force"])
+                if ka.as_py() != kb.as_py():
+                    yield pa.RecordBatch.from_arrays([pa.array([kb.as_py()]), summed(j, -moved, len(y))], ["k", "force"])
+
+    zero = F.lit(0).cast("long")
     for epoch in range(epochs):
-        unit = F.pmod(F.xxhash64("node", F.lit(epoch)), F.lit(1 << 30)) / float(1 << 30)
-        table = np.array([r["coords"] for r in at.filter(unit < min(1.0, DRAWN / n)).select("coords").collect()])  # about DRAWN rows of whatever number
-        ends = edges.join(at.select(F.col("node").alias("b"), F.col("coords").alias("to")), "b").join(at.select(F.col("node").alias("a"), "coords"), "a").select("a", "coords", "to", "w")
-        force = ends.mapInArrow(pulls, "a long, " + ", ".join(f"{c} double" for c in named)).groupBy(F.col("a").alias("node")).agg(F.array(*(F.sum(c) for c in named)).alias("force"))
+        share = min(1.0, DRAWN / n)  # about DRAWN rows of whatever number
+
+        def drawn(batches: Iterator[pa.RecordBatch], epoch: int = epoch, share: float = share) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for nodes, coords in zip(*batch.columns):
+                    x = matrix(coords)
+                    yield points(*(v[_hashed(nodes.values.to_numpy(zero_copy_only=False), epoch) < share] for v in (np.arange(len(x)), x)))
+
+        table = np.array([r["coords"] for r in fixed.join(at, "k").select("nodes", "coords").mapInArrow(drawn, "node long, coords array<double>").collect()])
+        left = at.select(F.col("k").alias("ka"), F.explode(F.sequence("k", F.lit(parts - 1).cast("long"))).alias("kb"), F.col("coords").alias("l"))
+        right = at.select(F.explode(F.sequence(zero, "k")).alias("ka"), F.col("k").alias("kb"), F.col("coords").alias("r"))
+        ends = edges.join(left, ["ka", "kb"]).join(right, ["ka", "kb"]).select("ka", "kb", "ia", "ib", "w", "l", "r")
+        force = ends.mapInArrow(pulls, "k long, force array<double>").groupBy("k").agg(F.collect_list("force").alias("forces"))
 
         def move(batches: Iterator[pa.RecordBatch], epoch: int = epoch, table: np.ndarray = table) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    x = _moved(batch.column(0).to_numpy(), matrix(batch.column(1)), matrix(batch.column(2)), batch.column(3).to_numpy(), table, epoch, epochs, a_, b_)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dims, dtype=np.int32)), pa.array(x.ravel()))], ["node", "coords"])
-
-        still = F.array(*(F.lit(0.0) for _ in named))
-        rows = at.join(force, "node", "left").join(totals, "node", "left").select("node", "coords", F.coalesce("force", still).alias("force"), F.coalesce("total", F.lit(0.0)).alias("total"))
-        at = stored(rows.mapInArrow(move, "node long, coords array<double>"))
-    return at
+                for k, nodes, totals, coords, forces in zip(*batch.columns):
+                    x, total = matrix(coords), totals.values.to_numpy(zero_copy_only=False)
+                    pulled = sum((matrix(f) for f in (forces if forces.is_valid else ())), np.zeros_like(x))
+                    ids = nodes.values.to_numpy(zero_copy_only=False)
+                    out = [_moved(ids[p], x[p], pulled[p], total[p], table, epoch, epochs, a_, b_) for p in (slice(s, s + LOCAL) for s in range(0, len(x), LOCAL))]
+                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()]), pa.array([np.concatenate(out).ravel()], pa.list_(pa.float64()))], ["k", "coords"])
+
+        now = fixed.join(at, "k").join(force, "k", "left").select("k", "nodes", "totals", "coords", "forces")
+        at = stored(now.mapInArrow(move, "k long, coords array<double>"))
+    edges.unpersist()
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nodes, coords in zip(*batch.columns):
+                yield points(nodes.values.to_numpy(zero_copy_only=False), matrix(coords))
+
+    made = stored(fixed.join(at, "k").select("nodes", "coords").mapInArrow(unpacked, "node long, coords array<double>"))
+    fixed.unpersist()
+    return made
 
 
 def umap(points: DataFrame, start: DataFrame, k: int = NEIGHBOURS, epochs: int = EPOCHS, local: int = LOCAL) -> DataFrame:

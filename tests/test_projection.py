@@ -88,3 +88,15 @@ def test_few_and_equal_rows(spark):
     same = frame(spark, np.ones((20, 4)))
     start = same.select("node", F.array(F.lit(0.0), F.lit(0.0), F.col("node").cast("double")).alias("coords"))
     assert np.isfinite(np.array([r["coords"] for r in projection.umap(same, start).collect()])).all()
+
+
+def test_layout_over_blocks_moves_as_in_one_task_and_leaves_edges_in_place(spark, monkeypatch):
+    monkeypatch.setattr(projection, "NEGATIVES", 0)  # pulls alone, as pushes are drawn from other tables
+    v = cloud(90)
+    start = spark.createDataFrame([(7 * i, x[:3].tolist()) for i, x in enumerate(v)], "node long, coords array<double>")
+    graph = projection.weights(projection.neighbours(frame(spark, v).withColumn("node", 7 * F.col("node")), 5)).persist()
+    plans, stored = [], projection.stored
+    monkeypatch.setattr(projection, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    one, many = (np.array([r["coords"] for r in projection.layout(graph, start, 3, local).orderBy("node").collect()]) for local in (4096, 10))
+    assert np.allclose(one, many, atol=1e-9) and not np.allclose(one, v[:, :3], atol=1e-3)
+    assert sum("InMemoryTableScan [ka" in p for p in plans) == 3
