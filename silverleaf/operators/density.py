@@ -1,9 +1,9 @@
 """HDBSCAN: clusters of any density, from a minimum spanning forest of mutual reachability.
 
 Large data sets are spread over tasks at every step. Vectors are packed into blocks, and
-pairs of blocks are multiplied: once for the core distances, then in rounds (Boruvka) that
-give each component its nearest point outside; pairs of blocks that lie within one
-component are left out before any vector is moved. The forest's edges, in order of weight,
+pairs of blocks are multiplied once for the nearest of each point, from which core
+distances and most edges follow in rounds (Boruvka). Only points whose lists can't tell
+their component's nearest point outside are compared with all others. The forest's edges, in order of weight,
 are then merged a chunk at a time. A merged set is known by four numbers (its least point,
 its size, and two sums from which stabilities follow), so a chunk needs these of the sets
 that it touches and nothing of what is below. A second pass over the chunks, from the top,
@@ -27,10 +27,13 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..lineage import ranked, stored
+from . import blocks
 from .graph import components
 
 #: Points of a data set that one task holds; vectors of a block; edges merged at once.
 LOCAL, BLOCK, CHUNK = 2_048, 4_096, 1 << 20
+#: Nearest points that each point knows; points of a block that are compared with all.
+NEAR, SEARCHED = 10, 1 << 14
 PLACES = 6
 NOISE = -1
 
@@ -167,81 +170,119 @@ def hdbscan_labels(v: np.ndarray, min_cluster_size: int = 2, min_samples: int =
 # The forest over blocks.
 
 
-def _unpack(cell: pa.ListScalar) -> np.ndarray:
-    return np.stack(cell.values.to_numpy(zero_copy_only=False)).astype(np.float64)
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """distances of rows one by one."""
+    gap = a - b
+    return np.round(np.sqrt(np.einsum("ij,ij->i", gap, gap)), PLACES)
 
 
-def _pairs(blocks: DataFrame, keys: DataFrame) -> DataFrame:
-    """Pairs (g, ka, kb) of blocks with what both hold, columns prefixed l_ and r_."""
-    left = blocks.select("g", F.col("k").alias("ka"), *(F.col(c).alias(f"l_{c}") for c in blocks.columns if c not in ("g", "k")))
-    right = blocks.select("g", F.col("k").alias("kb"), *(F.col(c).alias(f"r_{c}") for c in blocks.columns if c not in ("g", "k")))
-    return keys.join(left, ["g", "ka"]).repartition("g", "ka", "kb").join(right, ["g", "kb"])
+def _scored(v: np.ndarray, left: bool) -> np.ndarray:
+    """Rows whose products, one from the left and one not, fall with the distance: (|a|^2 - d^2) / 2."""
+    return np.c_[v, np.ones(len(v))] if left else np.c_[v, -(v * v).sum(1) / 2]
 
 
-def _core(blocks: DataFrame, keys: DataFrame, sizes: DataFrame, min_samples: int) -> DataFrame:
-    """(node, core): the distance to the point's own (min_samples - 1)th neighbour."""
+def _least_outside(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(comp, other, w, a, b): edges by which rows may be nearest to another component, the best of each few rows.
+
+    a: nodes, vectors, components, core distances and the weights above which edges are not
+    looked for; b: the same without the last.
+    """
+    (an, av, ac, ak, most), (bn, bv, bc, bk) = a, b
+    left, right = _scored(av, True), _scored(bv, False)
+    wrong, blur = 4 * blocks.slack(left, right) + 1e-12, 2 * 10.0**-PLACES
+    square, core = (av * av).sum(1), (bk * bk).astype(np.float32)
+    own = np.maximum(most, ak) + blur
+    for at, of, c in blocks.tiles(left, right):
+        part, there = slice(at, at + len(c)), slice(of, of + c.shape[1])
+        c *= -2
+        c += square[part, None].astype(np.float32)
+        np.maximum(c, core[None, there], out=c)
+        c[ac[part, None] == bc[None, there]] = np.inf
+        reach = np.sqrt(np.maximum(np.maximum(c.min(axis=1).astype(np.float64) + wrong, ak[part] ** 2), 0)) + blur
+        i, j = np.divmod(np.flatnonzero(c <= (np.minimum(reach, own[part]) ** 2 + wrong)[:, None]), c.shape[1])
+        i, j = i[np.isfinite(c[i, j])] + at, j[np.isfinite(c[i, j])] + of
+        for few in range(0, len(i), 1 << 16):
+            x, y = i[few : few + (1 << 16)], j[few : few + (1 << 16)]
+            w = np.maximum(_apart(av[x], bv[y]), np.maximum(ak[x], bk[y]))
+            yield _best(ac[x], bc[y], w, np.minimum(an[x], bn[y]), np.maximum(an[x], bn[y]))
+
+
+def _best(c: np.ndarray, other: np.ndarray, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The first edge of each component."""
+    order = np.lexsort((b, a, w, c))
+    order = order[np.r_[True, c[order][1:] != c[order][:-1]][: len(order)]]
+    return tuple(x[order] for x in (c, other, w, a, b))
+
+
+_FOUND = "comp long, other long, w double, a long, b long"
+
+
+def _searched(packed: DataFrame, points: DataFrame, core: DataFrame, comp: DataFrame, rows: DataFrame) -> DataFrame:
+    """Edges from (node, most) to other components: the best of each component is among them."""
+    state = packed.select("g", "k", F.explode("nodes").alias("node")).join(comp, "node").join(core, "node")
+    state = state.groupBy("g", "k").agg(F.array_sort(F.collect_list(F.struct("node", "comp", "core"))).alias("s"))
+    right = packed.join(state.select("g", "k", F.col("s.comp").alias("comps"), F.col("s.core").alias("cores")), ["g", "k"])
+    own = stored(points.join(rows, "node").join(comp, "node").join(core, "node"))
+    shares = own.groupBy("g").agg(F.ceil(F.count("*") / SEARCHED).cast("long").alias("parts"))
+    ends = F.broadcast(shares.join(packed.groupBy("g").agg(F.max("n").alias("n")), "g"))
+    dealt = own.join(ends, "g").withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")))
+    row = F.collect_list(F.struct("node", "v", "comp", "core", "most"))
+    left = dealt.groupBy("g", "p", "n").agg(row.alias("l")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    right = right.drop("n").join(F.broadcast(shares), "g").withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    both = left.select("g", "p", "k", *(F.col(f"l.{c}").alias(f"l_{c}") for c in ("node", "v", "comp", "core", "most"))).join(right, ["g", "p", "k"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for same, ln, lv, rn, rv in zip(*batch.columns):
-                a, b = _unpack(lv), _unpack(rv)
-                for nodes, x, y in [(ln, a, b)] if same.as_py() else [(ln, a, b), (rn, b, a)]:
-                    k = min(min_samples, len(y))
-                    near = np.concatenate([np.sort(np.partition(distances(x[at : at + 512], y), k - 1, axis=1)[:, :k], axis=1) for at in range(0, len(x), 512)])
-                    ends = pa.array(np.arange(0, near.size + 1, k, dtype=np.int32))
-                    yield pa.RecordBatch.from_arrays([nodes.values, pa.ListArray.from_arrays(ends, pa.array(near.ravel()))], ["node", "near"])
+            for cells in zip(*batch.columns):
+                arrays = [blocks.matrix(c) if place in (1, 6) else c.values.to_numpy(zero_copy_only=False) for place, c in enumerate(cells)]
+                found = list(_least_outside(tuple(arrays[:5]), tuple(arrays[5:])))
+                if found:
+                    best = _best(*(np.concatenate(x) for x in zip(*found)))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], ["comp", "other", "w", "a", "b"])
 
-    made = _pairs(blocks.select("g", "k", "nodes", "vs"), keys).select((F.col("ka") == F.col("kb")).alias("same"), "l_nodes", "l_vs", "r_nodes", "r_vs").mapInArrow(run, "node long, near array<double>")
-    place = F.least(F.lit(min_samples), F.size("all"))
-    return made.groupBy("node").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("all")).select("node", F.get("all", place - 1).alias("core"))
+    return both.select("l_node", "l_v", "l_comp", "l_core", "l_most", "nodes", "vs", "comps", "cores").mapInArrow(run, _FOUND)
 
 
 def spanning_forest(points: DataFrame, min_samples: int) -> DataFrame:
-    """(g, w, a, b), a < b: the minimum spanning tree of each set of (g, node, v), by mutual reachability."""
-    sizes = stored(points.groupBy("g").agg(F.count("*").alias("n")))
-    spread = points.join(sizes.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("long")), "g").withColumn("k", F.pmod(F.xxhash64("node"), F.col("parts")))
-    row = F.array_sort(F.collect_list(F.struct("node", "v")))
-    blocks = stored(spread.groupBy("g", "k").agg(row.alias("rows")).select("g", "k", F.col("rows.node").alias("nodes"), F.col("rows.v").alias("vs")))
-    names = blocks.select("g", "k")
-    keys = names.select("g", F.col("k").alias("ka")).join(names.select("g", F.col("k").alias("kb")), "g").filter("ka <= kb")
-    core = stored(_core(blocks, keys, sizes, min_samples))
-    comp = core.select("node", F.col("node").alias("comp"))
-    forest: DataFrame | None = None
-    at = blocks.select("g", "k", F.explode("nodes").alias("node"))
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["comp", "other", "w", "a", "b"]
-        for batch in batches:
-            for g, same, ln, lc, lk, lv, rn, rc, rk, rv in zip(*batch.columns):
-                nodes, comps, cores = ([x.values.to_numpy(zero_copy_only=False) for x in two] for two in ((ln, rn), (lc, rc), (lk, rk)))
-                v = _unpack(lv), _unpack(rv)
-                for one, two in ((0, 1),) if same.as_py() else ((0, 1), (1, 0)):
-                    out = []
-                    for top in range(0, len(nodes[one]), 512):
-                        part = slice(top, top + 512)
-                        reach = np.maximum(distances(v[one][part], v[two]), np.maximum(cores[one][part, None], cores[two][None]))
-                        reach[comps[one][part, None] == comps[two][None]] = np.inf
-                        j = reach.argmin(axis=1)  # the first of equals is the least, as nodes are in order
-                        w = reach[np.arange(len(j)), j]
-                        own = np.flatnonzero(np.isfinite(w))
-                        a, b = nodes[one][part][own], nodes[two][j[own]]
-                        out.append((comps[one][part][own], comps[two][j[own]], w[own], np.minimum(a, b), np.maximum(a, b)))
-                    c, other, w, a, b = (np.concatenate(x) for x in zip(*out))
-                    order = np.lexsort((b, a, w, c))
-                    order = order[np.r_[True, c[order][1:] != c[order][:-1]][: len(order)]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (c, other, w, a, b)], names)
+    """(g, w, a, b), a < b: the minimum spanning tree of each set of (g, node, v), by mutual reachability.
 
+    Every point has a list of its nearest, which also say how near all others are at least.
+    In a round, a component takes the best edge of its lists if all that is not listed is
+    farther. Where few components can, points that may have better edges outside are
+    compared with all points; the largest component of each set needn't be.
+    """
+    k = max(NEAR, min_samples - 1)
+    packed = stored(blocks.packed(points, BLOCK))
+    lists = stored(blocks.nearest(packed, k, _scored, _apart))
+    place = F.least(F.lit(min_samples - 1), F.size("near")) - 1
+    own = F.get("near", place)["d"] if min_samples > 1 else F.lit(0.0)
+    near = points.select("g", "node").join(lists, "node", "left").select("g", "node", F.coalesce(own, F.lit(0.0)).alias("core"), F.slice("near", 1, NEAR).alias("near"))
+    near = stored(near)
+    core = near.select("node", "core")
+    bound = near.select("g", "node", F.when(F.size("near") == NEAR, F.greatest("core", F.element_at("near", -1)["d"])).otherwise(F.lit(math.inf)).alias("bound"))
+    edge = near.select(F.col("node").alias("x"), "core", F.explode("near").alias("e")).select("x", "core", F.col("e.other").alias("y"), "e.d")
+    edge = edge.join(core.select(F.col("node").alias("y"), F.col("core").alias("core_y")), "y").select("x", "y", F.greatest("d", "core", "core_y").alias("w"))
+    edge, comp = stored(edge), core.select("node", F.col("node").alias("comp"))
+    forest: DataFrame | None = None
     while True:
-        state = at.join(comp, "node").join(core, "node").groupBy("g", "k").agg(F.array_sort(F.collect_list(F.struct("node", "comp", "core"))).alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        state = stored(state.select("g", "k", F.col("rows.comp").alias("comps"), F.col("rows.core").alias("cores"), "low", "high"))
-        ends = state.select("g", "k", "low", "high")
-        left, right = ends.withColumnsRenamed({"k": "ka", "low": "la", "high": "ha"}), ends.withColumnsRenamed({"k": "kb", "low": "lb", "high": "hb"})
-        open_ = left.join(right, "g").filter("ka <= kb AND NOT (la = ha AND lb = hb AND la = lb)").select("g", "ka", "kb")
-        both = _pairs(blocks.join(state.drop("low", "high"), ["g", "k"]), open_)
-        found = both.select("g", (F.col("ka") == F.col("kb")).alias("same"), "l_nodes", "l_comps", "l_cores", "l_vs", "r_nodes", "r_comps", "r_cores", "r_vs").mapInArrow(nearest, "comp long, other long, w double, a long, b long")
-        chosen = stored(found.groupBy("comp").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("comp", "e.*"))
-        if chosen.isEmpty():
+        ends = edge.join(comp.select(F.col("node").alias("x"), "comp"), "x").join(comp.select(F.col("node").alias("y"), F.col("comp").alias("other")), "y").filter("comp != other")
+        edge = stored(ends.select("x", "y", "w", "comp", "other"))
+        listed = edge.groupBy("comp").agg(F.min(F.struct("w", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "other")).alias("e"))
+        sets = stored(bound.join(comp, "node").groupBy("comp").agg(F.min("g").alias("g"), F.count("*").alias("size"), F.min("bound").alias("bound")).join(listed, "comp", "left"))
+        edge = edge.select("x", "y", "w")
+        several = sets.groupBy("g").agg(F.count("*").alias("n"), F.max(F.struct("size", "comp"))["comp"].alias("largest")).filter("n > 1")
+        open_ = stored(sets.join(F.broadcast(several), "g").withColumn("settled", F.coalesce(F.col("e.w") < F.col("bound"), F.lit(False))))
+        count = open_.agg(F.count("*").alias("n"), F.sum(F.col("settled").cast("long")).alias("settled")).first()
+        if not count["n"]:
             break
+        chosen = open_.filter("settled").select("comp", "e.*")
+        if 4 * count["settled"] < count["n"]:
+            asked = open_.filter("NOT settled AND comp != largest").select("comp", F.coalesce("e.w", F.lit(math.inf)).alias("most"))
+            rows = bound.join(comp, "node").join(asked, "comp").filter("bound <= most").select("node", "most")
+            best = _searched(packed, points, core, comp, rows).select("comp", F.struct("w", "a", "b", "other").alias("e"))
+            best = best.unionByName(open_.filter("NOT settled AND comp != largest AND e IS NOT NULL").select("comp", "e")).groupBy("comp").agg(F.min("e").alias("e"))
+            chosen = chosen.unionByName(best.select("comp", "e.*"))
+        chosen = stored(chosen)
         new = chosen.select("w", "a", "b").distinct()
         forest = new if forest is None else forest.unionByName(new)
         roots = components(chosen.select(F.col("comp").alias("a"), F.col("other").alias("b")))

@@ -106,6 +106,18 @@ def test_spread_over_tasks_is_the_same(spark, monkeypatch):
     assert sorted(map(tuple, density.hdbscan(df, 3, 3, "run", False, local=0).collect())) == want and len({c for _, c in want}) > 4
 
 
+def test_only_points_whose_lists_end_within_their_component_are_compared_again(spark, monkeypatch):
+    monkeypatch.setattr(density, "BLOCK", 25)
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(size=(80, 3)) * 5, rng.normal(size=(40, 3)) * 0.01 + 20, np.full((15, 3), 30.0)]).round(6)
+    asked, searched = [], density._searched
+    monkeypatch.setattr(density, "_searched", lambda packed, points, core, comp, rows: asked.append(rows.count()) or searched(packed, points, core, comp, rows))
+    df = spark.createDataFrame([(0, i, x.tolist()) for i, x in enumerate(v)], "g long, node long, v array<double>")
+    got = sorted((r["w"], r["a"], r["b"]) for r in density.spanning_forest(df, 3).collect())
+    assert got == [(w, a, b) for w, a, b in kruskal(v, 3)]
+    assert asked and sum(asked) < 2 * len(v)  # a round of block pairs compares every point
+
+
 def test_merging_in_chunks_is_the_same(spark):
     edges = [(0, float(w), int(a), int(b)) for w, a, b in kruskal(points(3, 60), 2)]
     df = spark.createDataFrame(edges, "g long, w double, a long, b long")
